@@ -1,0 +1 @@
+"""No operator of the engine keeps streaming state; this package is reserved."""
