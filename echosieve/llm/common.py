@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,23 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+class _Hashes(dict):
+    """Hash of a word, kept for repeated words; emptied when it grows too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_hashes = _Hashes()
+
+
+def word_hashes(parts: list[list[bytes]], total: int) -> np.ndarray:
+    """64-bit hashes of the words of all texts, one after the other."""
+    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, total)

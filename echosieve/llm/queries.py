@@ -62,7 +62,30 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", at(0), at(1))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_language_id, op3_lm_score, op4_line_dedup, op5_quality_rules, op6_token_count, op7_mixing)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from echosieve.llm.substring_dedup import drop_repeated_windows
+
+    kept = drop_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("es_n_words").alias("n_words"), F.col("es_n_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from echosieve.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from echosieve.llm.packing import pack, pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(pieces(docs, str(public_tokenizers.path("word_bpe_49k.json"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_language_id, op3_lm_score, op4_line_dedup, op5_quality_rules, op6_token_count, op7_mixing, op8_substring_dedup, op9_simhash, op10_packing)}
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
