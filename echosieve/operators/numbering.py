@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echosieve.storage import materialize
 
 
-def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str] | list[Column], name: str) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... by the columns ``order``.
 
     Rows are sorted by ranges, numbered within their partition, and shifted by

@@ -10,13 +10,13 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from echosieve.config import AnalysisConfig, DetectConfig, IntraConfig, Scope
 from echosieve.functions import columns as C
 from echosieve.operators.blocks import extract_blocks, tokenize
 from echosieve.operators.detect import detect_clones
 from echosieve.operators.intra import detect_intra
+from echosieve.operators.numbering import number_rows
 from echosieve.operators.scope import categorize_changed, changed_blocks, filter_changed, filter_scope, within_and_across
 from echosieve.sources.diff import diff_lines, git_diff, parse_diff
 from echosieve.sources.encoding import parse_encoding, to_utf8_col
@@ -70,9 +70,8 @@ class Session:
         """Groups by the raw length of their first block; members in the order of blocks."""
         size = self.blocks.select("block_id", (F.col("token_end") - F.col("token_start")).alias("raw"))
         heads = self._members.groupBy("group_id", "file_id").agg(F.min("block_id").alias("block_id"), F.count("*").alias("size"), F.first("avg_similarity").alias("avg_similarity"))
-        order = Window.orderBy(F.desc("raw"), F.desc("size"), "first_block")
         ranked = heads.join(size, "block_id").select("group_id", "file_id", F.col("block_id").alias("first_block"), "size", "avg_similarity", "raw")
-        self._groups = materialize(ranked.withColumn("group_index", F.row_number().over(order) - 1), "groups")
+        self._groups = materialize(number_rows(ranked, [F.desc("raw"), F.desc("size"), F.asc("first_block")], "group_index"), "groups")
 
     def restrict_to_diff(self, base: str, source: str = "HEAD") -> bool:
         """Keep the groups and regions that touch lines changed since ``base``; False if nothing relevant changed."""
