@@ -6,8 +6,8 @@ program (every length covered as often as it occurs, fewest sequences) is solved
 by multiplicative weights: each round prices the lengths, a knapsack dynamic
 program finds the configuration of highest price, which is added as often as the
 scarcest of its lengths allows, and lengths that are now covered get cheaper. The
-fractional counts are scaled and rounded down; what is left over goes through
-further rounds, and the last few thousand pieces by best fit, largest first.
+fractional counts are scaled and rounded down; what is left over goes by best
+fit, largest first, equal sequences being filled together.
 
 Only the histogram reaches the driver, and only the list of configurations goes
 back: both are bounded by the capacity, not by the documents. Pieces of a length
@@ -22,7 +22,10 @@ places between reruns, never lengths. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,42 +35,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echosieve.llm.common import chunks
+from echosieve.llm.common import chunks, text_bytes
+from echosieve.llm.token_count import byte_of_letter
 from echosieve.storage import materialize
 
 
 # --- tokens -----------------------------------------------------------------
 
+#: Letters whose lower case and composition depend on nothing around them, and the marks that may follow a word.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?]*)")
+
+
+def _little(ids: list[int]) -> bytes:
+    """Numbers as little-endian 32-bit."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+#: Runs, and letters, whose ids a worker keeps.
+_KEPT = 200_000
+
+
 class _Ids(dict):
-    """Ids of a run of text without white space, as little-endian bytes; kept for repeated ones."""
+    """Ids of a run of text without white space, as little-endian bytes; kept for repeated ones.
+
+    The tokenizer cuts letters from other characters before it looks for pieces,
+    so a run of plain letters and final marks goes to its model in two parts, in
+    lower case, and the letters' ids serve every run with the same letters. Any
+    other run goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, parts: set[bytes]) -> None:
-        if len(self) > 400_000:
-            self.clear()
-        new = [p for p in parts if p not in self]
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False), strict=True):
-                self[p] = np.array(e.ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_of_letter().items()}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) > _KEPT:
+                self.parts.clear()
+            known = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[text] = _little([t.id for t in self.model.tokenize(known)])
+        return ids
+
+    def __missing__(self, run: bytes) -> bytes:
+        text = run.decode()
+        if run.isalpha() and len(run) <= 64:  # true of ASCII letters only
+            ids = self._part(text.lower())
+        elif len(run) <= 64 and (m := _PLAIN.fullmatch(text)):
+            ids = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
+        else:
+            ids = _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(run) <= 64:
+            if len(self) > _KEPT:
+                self.clear()
+            self[run] = ids
+        return ids
 
 
 _known: dict[str, _Ids] = {}
 
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
+def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text. The tokenizer's words never cross white space, so each run between ASCII white space is encoded once and its ids reused."""
     if path not in _known:
         _known[path] = _Ids(path)
-    ids = _known[path]
-    parts = [x.split() for x in texts]
-    ids.learn(set().union(*parts))
-    return [b"".join(map(ids.__getitem__, p)) for p in parts]
+    ids = _known[path].__getitem__
+    for x in texts:
+        yield b"".join(map(ids, x.split()))
 
 
 def _pieces(path: str, capacity: int, end_id: int, names: list[str]):
@@ -76,8 +118,7 @@ def _pieces(path: str, capacity: int, end_id: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             row, piece, start, length, crc = [], [], [], [], []
-            texts = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            for i, ids in enumerate(token_bytes(texts, path)):
+            for i, ids in enumerate(token_bytes(text_bytes(batch.column("text")), path)):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
@@ -102,110 +143,121 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
 
 # --- the program --------------------------------------------------------------
 
-def _price(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
-    """Number of each length in the configuration of highest price (lengths ascending)."""
+def _price(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """Number of each size (ascending) in the configuration of highest price: a knapsack, by the best value of every capacity."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        m = fits[c]
-        if m:
-            got = best[c - lengths[:m]] + price[:m]
-            k = int(got.argmax())
-            best[c], pick[c] = got[k], k
-        if best[c - 1] > best[c]:
-            best[c], pick[c] = best[c - 1], -2
-    out, c = np.zeros(len(lengths), np.int64), capacity
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    for c in range(int(sizes[0]), capacity + 1):
+        got = best[c - sizes[: fits[c]]] + price[: fits[c]]
+        k = int(got.argmax())
+        best[c], pick[c] = (got[k], k) if got[k] >= best[c - 1] else (best[c - 1], -2)
+    out, c = np.zeros(len(sizes), np.int64), capacity
     while c > 0 and pick[c] != -1:
         if pick[c] == -2:
             c -= 1
         else:
             out[pick[c]] += 1
-            c -= int(lengths[pick[c]])
+            c -= int(sizes[pick[c]])
     return out
 
 
-def _fit(config: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration cut to what is left, and filled up with the largest lengths that fit."""
-    config = np.minimum(config, left)
-    room = capacity - int((config * lengths).sum())
-    k = int(np.searchsorted(lengths, room, "right")) - 1
-    while k >= 0:
-        n = min(int(left[k] - config[k]), room // int(lengths[k]))
-        if n > 0:
-            config[k] += n
-            room -= n * int(lengths[k])
-        k = min(k - 1, int(np.searchsorted(lengths, room, "right")) - 1)
-    return config
+def fractional(sizes: np.ndarray, count: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[np.ndarray, float]]:
+    """Configurations and their fractional numbers for the covering program, by multiplicative weights.
 
-
-def _fractional(lengths: np.ndarray, left: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[np.ndarray, float]]:
-    """Configurations and their fractional counts, by multiplicative weights."""
-    price, covered = lengths / capacity, np.zeros(len(lengths))
+    A size's weight is its share of the capacity, times exp(-rate) for every time
+    that its count is covered.
+    """
+    weight, covered = sizes / capacity, np.zeros(len(sizes))
     found: dict[bytes, list] = {}
     for _ in range(rounds):
-        config = _fit(_price(lengths, price, capacity), lengths, left, capacity)
+        config = _price(sizes, weight, capacity)
+        config = np.minimum(config, count)
         used = config > 0
-        times = float((left[used] / config[used]).min()) * step
+        times = float((count[used] / config[used]).min())
         found.setdefault(config.tobytes(), [config, 0.0])[1] += times
-        covered += times * config
-        price = price * np.exp(-np.minimum(1.0, times * config / left))
-        price = np.maximum(price, 1e-9 * lengths / capacity)
-        if (covered >= left).all():
-            break
-    scale = float((left * lengths).sum() / max(1.0, (covered * lengths).sum()))
-    return [(config, times * min(1.0, scale)) for config, times in found.values()]
-
-
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 60, outer: int = 4, step: float = 1.0, by_hand: int = 4000) -> list[tuple[dict[int, int], int]]:
-    """(length -> number, copies) of configurations that hold the histogram exactly."""
-    plan: list[tuple[dict[int, int], int]] = []
-    if histogram.get(capacity):
-        plan.append(({capacity: 1}, histogram[capacity]))
-    count = {k: v for k, v in histogram.items() if k != capacity and v}
-    lengths = np.array(sorted(count), np.int64)
-    left = np.array([count[k] for k in lengths.tolist()], np.int64)
-
-    def take(config: np.ndarray, copies: int) -> None:
-        nonlocal left
-        left = left - copies * config
-        plan.append(({int(k): int(n) for k, n in zip(lengths, config, strict=True) if n}, copies))
-
-    def most(config: np.ndarray) -> int:
-        return int((left[config > 0] // config[config > 0]).min())
-
-    turn = 0
-    while len(lengths) and left.sum() > by_hand:
-        some = left > 0
-        lengths, left = lengths[some], left[some]
-        before = int(left.sum())
-        if turn < outer:
-            full = lambda x: -int((x[0] * lengths).sum())
-            for config, times in sorted(_fractional(lengths, left, capacity, rounds, step), key=full):
-                copies = min(int(times), most(config))
-                if copies:
-                    take(config, copies)
-        turn += 1
-        if int(left.sum()) > by_hand and before - int(left.sum()) < before // 4:
-            some = left > 0
-            lengths, left = lengths[some], left[some]
-            config = _fit(_price(lengths, lengths / capacity, capacity), lengths, left, capacity)
-            take(config, max(1, most(config)))
-    # best fit, largest first: bins by the room they have left
-    room: list[list[Counter]] = [[] for _ in range(capacity + 1)]
-    open_rooms = np.zeros(capacity + 1, np.int64)
-    for k, n in sorted(zip(lengths.tolist(), left.tolist(), strict=True), reverse=True):
-        for _ in range(n):
-            fit = k + int((open_rooms[k:] > 0).argmax())
-            if open_rooms[fit]:
-                bin_ = room[fit].pop()
-                open_rooms[fit] -= 1
+        share = times * config / count
+        covered += share * count
+        weight = weight * np.exp(-rate * share)
+        weight /= weight.max()
+    scale = float((count * sizes).sum() / (covered * sizes).sum())
+    return [(config, times * scale) for config, times in found.values()]
+
+
+class _Bins:
+    """Sequences under way, equal ones together, by the room that they have left."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.groups: list[list[tuple[dict[int, int], int]]] = [[] for _ in range(capacity + 1)]
+        self.some = np.zeros(capacity + 1, bool)
+
+    def put(self, config: dict[int, int], copies: int) -> None:
+        room = self.capacity - sum(k * n for k, n in config.items())
+        self.groups[room].append((config, copies))
+        self.some[room] = True
+
+    def best_fit(self, k: int, n: int) -> None:
+        """Place n pieces of length k, each where the least room is left."""
+        while n:
+            room = k + int(self.some[k:].argmax())
+            if not self.some[room]:
+                room, config, copies = self.capacity, {}, n
             else:
-                fit, bin_ = capacity, Counter()
-            bin_[k] += 1
-            room[fit - k].append(bin_)
-            open_rooms[fit - k] += 1
-    same: Counter = Counter(tuple(sorted(b.items())) for bins in room for b in bins)
-    return plan + [(dict(config), n) for config, n in sorted(same.items())]
+                config, copies = self.groups[room].pop()
+                self.some[room] = bool(self.groups[room])
+            each = min(room // k, n)
+            full = min(copies, n // each)
+            self.put({**config, k: config.get(k, 0) + each}, full)
+            if config and copies > full:
+                self.put(config, copies - full)
+            n -= full * each
+
+
+def solve(histogram: dict[int, int], capacity: int, grain: int = 1, small: int = 200, rounds: int = 150, rate: float = 0.3) -> list[tuple[dict[int, int], int]]:
+    """(length -> number, copies) of configurations that hold the histogram exactly.
+
+    The program is over sizes in units of ``grain``, rounded up; pieces up to
+    ``small`` wait for the room that rounding leaves.
+    """
+    left = {k: n for k, n in histogram.items() if n}
+    bins = _Bins(capacity)
+    if n := left.pop(capacity, 0):
+        bins.put({capacity: 1}, n)
+    by_size: dict[int, list[int]] = {}
+    for k in sorted(left, reverse=True):
+        if k > small and -(-k // grain) * grain <= capacity:
+            by_size.setdefault(-(-k // grain), []).append(k)
+    if by_size:
+        sizes = np.array(sorted(by_size), np.int64)
+        open_ = np.array([sum(left[k] for k in by_size[c]) for c in sizes.tolist()], np.int64)
+        found = fractional(sizes, open_, capacity // grain, rounds, rate)
+        for config, times in sorted(found, key=lambda x: (-int((x[0] * sizes).sum()), -x[1])):
+            used = config > 0
+            copies = min(int(times), int((open_[used] // config[used]).min()))
+            if not copies:
+                continue
+            open_ = open_ - copies * config
+            # every slot takes its size's lengths in turn; where a slot goes on to another length, the copies are divided
+            slots = []
+            for c, n in zip(sizes[used].tolist(), config[used].tolist(), strict=True):
+                for _ in range(n):
+                    run, need = [], copies
+                    while need:
+                        k = by_size[c][0]
+                        n_k = min(need, left[k])
+                        run.append((k, n_k))
+                        left[k] -= n_k
+                        need -= n_k
+                        if not left[k]:
+                            by_size[c].pop(0)
+                    slots.append(run)
+            while slots[0]:
+                n = min(run[0][1] for run in slots)
+                bins.put(dict(Counter(run[0][0] for run in slots)), n)
+                slots = [([(run[0][0], run[0][1] - n)] if run[0][1] > n else []) + run[1:] for run in slots]
+    for k in sorted(left, reverse=True):
+        bins.best_fit(k, left[k])
+    return [x for groups in bins.groups for x in groups]
 
 
 def runs(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -243,13 +295,13 @@ def _place(held, names: list[str]):
     return run
 
 
-def pack(cut: DataFrame, capacity: int = 4096, range_rows: int = 1 << 16, **how) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, range_rows: int = 4096, **how) -> DataFrame:
     """``cut`` (any columns, with ``length``) and the columns ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
     names = cut.columns
     cut = materialize(cut.withColumn("es_salt_key", F.xxhash64(*names)), "pieces")
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    ranges = max(1, -(-sum(histogram.values()) // range_rows))
+    ranges = min(4096, max(1, -(-sum(histogram.values()) // range_rows)))
     cut = cut.withColumn("es_range", F.pmod("es_salt_key", F.lit(ranges)))
     counts = cut.groupBy("length", "es_range").count()
     before = counts.select("length", "es_range", (F.sum("count").over(Window.partitionBy("length").orderBy("es_range")) - F.col("count")).alias("es_before"))
