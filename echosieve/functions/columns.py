@@ -61,10 +61,12 @@ def poly_windows(ids: Column, size: int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: poly_hash(F.slice(ids, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def histogram(ids: Column) -> Column:
-    """Map from each id to its count; linear in the sorted array. ``ids`` should be a settled column."""
-    distinct = F.array_distinct(ids)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda x: F.size(F.filter(ids, lambda y: y == x))))
+def histogram(ordered: Column) -> Column:
+    """Map from each id to its count, from a settled column of sorted ids: the lengths of its runs."""
+    n = F.size(ordered)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))))
+    ends = F.concat(F.slice(starts, F.lit(2), n), F.when(n > 0, F.array(n)).otherwise(F.array().cast("array<int>")))
+    return F.map_from_entries(F.zip_with(starts, ends, lambda i, j: F.struct(F.get(ordered, i), j - i)))
 
 
 def length_ratio_ok(a: Column, b: Column, percent: int) -> Column:

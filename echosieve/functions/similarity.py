@@ -8,6 +8,7 @@ operations per 30 places.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Hashable, Sequence
 
 import pandas as pd
@@ -101,8 +102,13 @@ def lcs_dice_udf():
     return run
 
 
-def blended_udf(weight: float, threshold: float, mode: str):
-    """Similarity of (sa, sb, ta, tb) in ``exact`` or ``compat`` mode."""
+def bag_dice(a: Sequence[Hashable], b: Sequence[Hashable]) -> float:
+    """Upper bound of ``lcs_dice``: the common multiset in place of the common subsequence."""
+    return 2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if len(a) or len(b) else 0.0
+
+
+def blended_udf(weight: float, threshold: float, mode: str, bound: bool = False):
+    """Similarity of (sa, sb, ta, tb) in ``exact`` or ``compat`` mode; with ``bound``, -1 where the structural bags can't reach the threshold."""
 
     @F.pandas_udf("double")
     def run(sa: pd.Series, sb: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.Series:
@@ -110,6 +116,9 @@ def blended_udf(weight: float, threshold: float, mode: str):
         for w, x, y, z in zip(sa, sb, ta, tb, strict=True):
             y, z = ([] if v is None else v.tolist() for v in (y, z))
             w, x = w.tolist(), x.tolist()
+            if bound and bag_dice(w, x) < threshold:
+                out.append(-1.0)
+                continue
             out.append(blended_threshold(w, x, y, z, weight, threshold) if mode == "compat" else blended(w, x, y, z, weight))
         return pd.Series(out, dtype="float64")
 

@@ -7,7 +7,8 @@ frequency cap, the averages and the group sizes count blocks. ``expand_pairs``
 gives the pairs of blocks for whoever wants them.
 
 Order of the cascade: windows shared, adaptive least number, length ratio, then
-the sequences are fetched for the bag bound, and for what is left the alignment.
+the sequences are fetched, once, for the bag bound and, for what it leaves, the
+alignment.
 """
 
 from __future__ import annotations
@@ -81,13 +82,16 @@ def bag_counts(classes: DataFrame) -> DataFrame:
     return classes.select("class_id", F.explode("struct_ids").alias("id")).groupBy("class_id", "id").agg(F.count("*").alias("c"))
 
 
-def bag_filter(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose common multiset of ids can still reach the threshold; counts are joined, so no row holds more than a pair and an id."""
+def bag_overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, len_a, len_b, shared) with ``common``, the size of their common multiset of ids, where it isn't empty.
+
+    Counts are joined, so no row holds more than a pair and an id.
+    """
     counts = materialize(bag_counts(classes), "bags")
     side = lambda s: counts.select(F.col("class_id").alias(s), "id", F.col("c").alias(f"c_{s}"))
-    common = pairs.filter("a < b").join(side("a"), "a").join(side("b"), ["b", "id"]).groupBy("a", "b", "len_a", "len_b", "shared").agg(F.sum(F.least("c_a", "c_b")).alias("common"))
-    kept = common.filter(2.0 * F.col("common") / (F.col("len_a") + F.col("len_b")) >= threshold).drop("common")
-    return kept.unionByName(pairs.filter("a = b"))
+    keys = ["a", "b", "len_a", "len_b", "shared"]
+    across = pairs.filter("a < b").join(side("a"), "a").join(side("b"), ["b", "id"]).groupBy(*keys).agg(F.sum(F.least("c_a", "c_b")).alias("common"))
+    return across.unionByName(pairs.filter("a = b").select(*keys, F.col("len_a").alias("common")))
 
 
 def detect_clones(blocks: DataFrame, cfg: DetectConfig = DetectConfig()) -> Detection:
@@ -100,13 +104,12 @@ def detect_clones(blocks: DataFrame, cfg: DetectConfig = DetectConfig()) -> Dete
     pairs = shared_windows(materialize(capped(prints, frequency_cap(n)), "capped")).filter(F.col("shared") >= cfg.min_shared)
     least = C.least_shared(F.col("len_a"), F.col("len_b"), cfg.window, cfg.min_shared, cfg.threshold)
     pairs = materialize(pairs.filter((F.col("shared") >= least) & _ratio_ok(cfg.threshold)), "pairs")
-    pairs = bag_filter(pairs, classes, cfg.threshold)
     texts = "text_ids" if cfg.text_weight > 0 else None
     side = lambda s: classes.select(F.col("class_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("struct_ids").alias(f"s_{s}"), (F.col(texts) if texts else F.lit(None).cast("array<bigint>")).alias(f"t_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    similarity = blended_udf(cfg.text_weight, cfg.threshold, cfg.mode)("s_a", "s_b", "t_a", "t_b")
+    similarity = blended_udf(cfg.text_weight, cfg.threshold, cfg.mode, bound=True)("s_a", "s_b", "t_a", "t_b")
     scored = both.filter("a < b").withColumn("similarity", similarity).unionByName(both.filter("a = b").withColumn("similarity", F.lit(1.0)))
-    scored = scored.filter(F.col("similarity") >= cfg.threshold)
+    scored = scored.filter((F.col("similarity") >= cfg.threshold) & (F.col("similarity") >= 0))
     weight = F.when(F.col("a") == F.col("b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("bigint")
     pairs = materialize(scored.select("a", "b", "shared", "similarity", weight.alias("weight")), "similar")
     groups, averages = group_pairs(pairs, members)

@@ -100,11 +100,7 @@ class _Found:
     def bags(self) -> DataFrame:
         """Pairs whose bags reach the threshold, with the size of the common bag."""
         near = materialize(self.near(), "near")
-        counts = materialize(D.bag_counts(self.classes), "bags")
-        side = lambda s: counts.select(F.col("class_id").alias(s), "id", F.col("c").alias(f"c_{s}"))
-        keys = ["a", "b", "len_a", "len_b", "shared"]
-        across = near.filter("a < b").join(side("a"), "a").join(side("b"), ["b", "id"]).groupBy(*keys).agg(F.sum(F.least("c_a", "c_b")).alias("common"))
-        rows = across.select(*keys, "common").unionByName(near.filter("a = b").select(*keys, F.col("len_a").alias("common")))
+        rows = D.bag_overlaps(near, self.classes)
         rows = rows.filter(200 * F.col("common") >= PERCENT * (F.col("len_a") + F.col("len_b")))
         return rows.withColumn("similarity", 2.0 * F.col("common") / (F.col("len_a") + F.col("len_b")))
 
