@@ -20,6 +20,17 @@ def glob_matches(pattern: str, name: str) -> bool:
     return re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern), name, re.DOTALL) is not None
 
 
+def _hadoop_glob(patterns: list[str], any_case: bool = False) -> str:
+    """One glob of the file system for all patterns, in which only * and ? have a meaning."""
+
+    def part(c: str) -> str:
+        if any_case and c.isalpha():
+            return f"[{c.lower()}{c.upper()}]"
+        return f"\\{c}" if c in "[]{},\\" else c
+
+    return "{" + ",".join("".join(map(part, p)) for p in patterns) + "}"
+
+
 def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None, globs: list[str] | None = None, respect_ignore: bool = False) -> DataFrame:
     """(file_id, path, language, content) of the files below ``root``, numbered by path.
 
@@ -28,15 +39,16 @@ def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     """
     if "://" not in root and not Path(root).is_dir():
         raise NotADirectoryError(root)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    wanted = registry.code_extensions() if extensions is None else [e.lower() for e in extensions]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if globs or wanted:
+        reader = reader.option("pathGlobFilter", _hadoop_glob(globs) if globs else _hadoop_glob([f"*{e}" for e in wanted], True))
     clean = F.regexp_replace("path", "^file:/+", "/")
-    rows = rows.select(clean.alias("path"), "content")
+    rows = reader.load(root).select(clean.alias("path"), "content")
     if globs:
         rows = rows.filter(C.glob_match(C.file_name(F.col("path")), globs))
-    else:
-        wanted = registry.code_extensions() if extensions is None else [e.lower() for e in extensions]
-        if wanted:
-            rows = rows.filter(C.extension(F.col("path")).isin(wanted))
+    elif wanted:
+        rows = rows.filter(C.extension(F.col("path")).isin(wanted))
     if respect_ignore and (kept := non_ignored_files(root)) is not None:
         known = spark.createDataFrame([(p,) for p in kept], "path string")
         rows = rows.join(known, "path", "left_semi")
