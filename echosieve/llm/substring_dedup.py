@@ -1,16 +1,17 @@
 """Removal of repeated word windows with a count-min prefilter.
 
 First pass: every partition counts its windows in a count-min sketch of two rows
-of cells. Sketches are sent by segments of cells, each segment as the list of its
-cells in use, and segments merge by addition. What the next pass needs of the
-merged sketch is one bit a cell: whether its count is two or more. Counts are
-never underestimated, so a window whose two cells aren't both set is unique.
+of cells. Sketches are sent by segments of cells, each as the gaps between its
+cells in use, and segments merge by addition. Counts are never underestimated,
+so a window whose two cells aren't both counted twice is unique.
 
-Second pass: the other windows alone are grouped exactly, by a 128-bit hash, with
-the smallest document of each. A window whose sequence starts in a smaller
-document marks its words, and marked words go.
+Second pass: the other windows alone are grouped exactly, by an 80-bit hash, and
+those behind the smallest document of their group mark their words; marked words
+go. Windows so frequent that their cell holds over 65,536 windows and a 2**20th of
+all (at most 2**20 cells) don't meet in one task: their smallest documents are
+pre-aggregated where they are read, and the few results are broadcast.
 
-The sketch has ``cells_per_word`` cells a row for every word of the corpus, up to
+The sketch has ``cells_per_word`` cells a row for every 8 bytes of the corpus, up to
 ``max_cells`` a row (2**28: 32 MB a row sent to the workers). Beyond that bound
 more windows reach the exact pass; no window is lost, whatever the size.
 
@@ -22,6 +23,7 @@ Repeated rows are returned each time. Other columns pass through.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echosieve.llm.common import WORD, chunks, text_bytes, word_hashes
-from echosieve.storage import materialize
-
+from echosieve.llm.common import chunks, text_bytes, word_hashes
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SEGMENT = 1 << 16
 _LAST = 2**63 - 1
+#: Bytes of text for each word, about; it only sizes the sketch.
+_BYTES = 8
+#: A cell is frequent from this many windows on (a small part of a bucket), and from a share of all windows that at most so many cells can have.
+_HOT_LEAST, _HOT_CELLS = 1 << 16, 1 << 20
+#: Windows of the corpus for each bucket of the exact pass.
+_BUCKET_WINDOWS = 1 << 22
 
 
 def _final(h: np.ndarray) -> np.ndarray:
@@ -83,52 +89,91 @@ def _cells(a: np.ndarray, b: np.ndarray, cells: int) -> list[np.ndarray]:
     return [(v >> np.uint64(8)) % np.uint64(cells) for v in (a, b)]
 
 
-def _sketch(size: int, cells: int):
+def _gaps(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gaps as bytes, 255 adding up with what follows, and where each gap's bytes end."""
+    end = np.cumsum(d // 255 + 1)
+    out = np.full(int(end[-1]) if len(end) else 0, 255, np.uint8)
+    out[end - 1] = d % 255
+    return out, end
+
+
+def _steps(ascending: np.ndarray) -> bytes:
+    return _gaps(np.diff(ascending.astype(np.int64), prepend=0))[0].tobytes()
+
+
+def _ids(gaps: bytes) -> np.ndarray:
+    g = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(g, dtype=np.int64)[g < 255]
+
+
+def _sketch(size: int, cells: int, at_once: int = 6 << 20):
+    def send(row: int, cell: np.ndarray) -> pa.RecordBatch:
+        used, n = np.unique(cell, return_counts=True)
+        segment, local = used // _SEGMENT, used % _SEGMENT
+        cut = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True])))
+        pieces = list(zip(cut, cut[1:], strict=False))
+        again = [np.flatnonzero(n[x:y] > 1) for x, y in pieces]
+        return pa.RecordBatch.from_pydict(
+            {
+                "segment": pa.array(segment[cut[:-1]].astype(np.int64) * 2 + row),
+                "used": pa.array([_steps(local[x:y]) for x, y in pieces], pa.binary()),
+                "again": pa.array([np.stack((k, n[x:y][k])).astype("<u4").tobytes() for k, (x, y) in zip(again, pieces, strict=True)], pa.binary()),
+            }
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=48 << 20):
+        held: list[list[np.ndarray]] = []
+        count = 0
+        for batch in chunks(batches):
             a, b, _, _ = windows(text_bytes(batch.column("text")), size)
-            if not len(a):
-                continue
-            for row, cell in enumerate(_cells(a, b, cells)):
-                used, n = np.unique(cell, return_counts=True)
-                segment = (used // np.uint64(_SEGMENT)).astype(np.int64)
-                cut = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True])))
-                local, twice = (used % np.uint64(_SEGMENT)).astype("<u2"), n > 1
-                ids = pa.array(segment[cut[:-1]] * 2 + row)
-                data = local.tobytes()
-                once = pa.array([data[2 * x : 2 * y] for x, y in zip(cut, cut[1:], strict=False)], pa.binary())
-                more = pa.array([local[x:y][twice[x:y]].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_pydict({"segment": ids, "once": once, "more": more})
+            if len(a):
+                held.append([c.astype(np.uint32) for c in _cells(a, b, cells)])
+                count += len(a)
+            if count >= at_once:
+                yield from (send(row, np.concatenate(v)) for row, v in enumerate(zip(*held, strict=True)))
+                held, count = [], 0
+        if held:
+            yield from (send(row, np.concatenate(v)) for row, v in enumerate(zip(*held, strict=True)))
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bit for each cell of each segment: whether it was counted twice. The rows of a segment follow each other."""
-    now, count = None, np.zeros(_SEGMENT, np.uint8)
+def _merge(hot: int):
+    """For each segment a bit for each cell, whether it was counted twice, and the cells counted ``hot`` times. The rows of a segment follow each other."""
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int64()), "bits": pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count = None, np.zeros(_SEGMENT, np.int64)
+
+        def done() -> pa.RecordBatch:
+            bits = np.packbits(count > 1, bitorder="little").tobytes()
+            return pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int64()), "bits": pa.array([bits], pa.binary()), "hot": pa.array([np.flatnonzero(count >= hot)], pa.list_(pa.int64()))})
+
+        for batch in batches:
+            for segment, used, again in zip(*(batch.column(c).to_pylist() for c in ("segment", "used", "again")), strict=True):
+                if segment != now:
+                    if now is not None:
+                        yield done()
+                    now, count = segment, np.zeros(_SEGMENT, np.int64)
+                ids = _ids(used)
+                count[ids] += 1
+                k, n = np.frombuffer(again, "<u4").reshape(2, -1)
+                count[ids[k]] += n.astype(np.int64) - 1
+        if now is not None:
+            yield done()
 
-    for batch in batches:
-        for segment, once, more in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "more")), strict=True):
-            if segment != now:
-                if now is not None:
-                    yield done()
-                now, count = segment, np.zeros(_SEGMENT, np.uint8)
-            ids = np.frombuffer(once, "<u2")
-            count[ids] = np.minimum(count[ids] + 1, 2)
-            count[np.frombuffer(more, "<u2")] = 2
-    if now is not None:
-        yield done()
+    return run
 
 
 class Repeated:
-    """The merged sketch: cells counted twice or more, for each row of cells."""
+    """The merged sketch: for each row of cells those counted twice or more; of the first row the most frequent cells."""
 
-    def __init__(self, cells: int):
-        self.cells = cells
+    def __init__(self, cells: int, windows: int):
+        self.cells, self.windows = cells, windows
         self.bits = [np.zeros(-(-cells // _SEGMENT) * _SEGMENT // 8, np.uint8) for _ in range(2)]
+        self.hot = np.zeros(0, np.int64)
+        #: exact keys of the frequent windows, and their smallest documents
+        self.known = np.zeros(0, _KEY)
+        self.first = np.zeros(0, np.int64)
 
     def put(self, segment: int, bits: bytes) -> None:
         at = segment // 2 * _SEGMENT // 8
@@ -140,30 +185,195 @@ class Repeated:
             out &= (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
 
+    def frequent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.isin(_cells(a, b, self.cells)[0].astype(np.int64), self.hot) if len(self.hot) else np.zeros(len(a), bool)
+
+
+_KEY = np.dtype([("a", "<i8"), ("b", "<u2")])
+
+
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a), _KEY)
+    out["a"], out["b"] = a.view(np.int64), (b >> np.uint64(48)).astype(np.uint16)
+    return out
+
 
 def prefilter(docs: DataFrame, size: int, cells_per_word: int, max_cells: int) -> Repeated:
     """The sketch of the windows of ``docs``, which must be cheap to read again."""
-    n = docs.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))).alias("n")).first().n or 0
+    n = (docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // _BYTES + 1
     cells = max(_SEGMENT, min(max_cells, cells_per_word * n))
-    parts = docs.select("text").mapInArrow(_sketch(size, cells), "segment long, once binary, more binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, bits binary")
-    out = Repeated(cells)
+    parts = docs.select("text").mapInArrow(_sketch(size, cells), "segment long, used binary, again binary")
+    hot = max(_HOT_LEAST, -(-n // _HOT_CELLS))
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge(hot), "segment long, bits binary, hot array<bigint>")
+    out, found = Repeated(cells, n), [np.zeros(0, np.int64)]
     for batch in merged.toArrow().to_batches():
-        for segment, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for segment, bits, often in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             out.put(segment, bits)
+            if segment % 2 == 0 and often:
+                found.append(np.asarray(often, np.int64) + segment // 2 * _SEGMENT)
+    out.hot = np.sort(np.concatenate(found))
     return out
 
 
-def _candidates(held, size: int):
+def _frequent(held, size: int):
+    """Smallest document of each frequent window, as far as a chunk of texts knows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            a, b, doc, place = windows(text_bytes(batch.column("text")), size)
+            a, b, doc, _ = windows(text_bytes(batch.column("text")), size)
             some = held.value.maybe(a, b)
-            doc = doc[some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[some].view(np.int64)), pa.array(b[some].view(np.int64)), batch.column("es_id").take(pa.array(doc)), batch.column("es_hash").take(pa.array(doc)), pa.array(place[some].astype(np.int32))],
-                ["a", "b", "es_id", "es_hash", "place"],
-            )
+            a, b, doc = a[some], b[some], doc[some]
+            some = held.value.frequent(a, b)
+            keys, ids = _keys(a[some], b[some]), batch.column("es_id").to_numpy()[doc[some]]
+            order = np.lexsort((ids, keys["b"], keys["a"]))
+            keys, ids = keys[order], ids[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(keys["a"][first]), "b": pa.array(keys["b"][first].astype(np.int32)), "es_id": pa.array(ids[first])})
+
+    return run
+
+
+_ENTRY = np.dtype([("id", "<i8"), ("hash", "<i4"), ("place", "<i4")])
+
+
+def _packed(at: np.ndarray, starts: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> dict[str, bytes]:
+    """Word positions ``at`` (ascending) of a chunk of texts, and the texts that they fall in: first word, id, hash."""
+    doc = np.unique(np.searchsorted(starts, at, "right") - 1)
+    table = np.stack([np.diff(starts[doc], prepend=0), np.diff(ids[doc], prepend=0), marks[doc].astype(np.int64)]).astype("<i8")
+    return {"at": _steps(at), "texts": zlib.compress(table.tobytes(), 1)}
+
+
+def _unpacked(at: bytes, texts: bytes) -> np.ndarray:
+    pos = _ids(at)
+    table = np.frombuffer(zlib.decompress(texts), "<i8").reshape(3, -1)
+    starts, ids = np.cumsum(table[0]), np.cumsum(table[1])
+    doc = np.searchsorted(starts, pos, "right") - 1
+    out = np.zeros(len(pos), _ENTRY)
+    out["id"], out["hash"], out["place"] = ids[doc], table[2][doc], pos - starts[doc]
+    return out
+
+
+def _candidates(held, size: int, buckets: int):
+    """Windows that may repeat, by bucket of their hash; of the frequent ones those that do, without a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            sketch = held.value
+            texts = text_bytes(batch.column("text"))
+            a, b, doc, place = windows(texts, size)
+            some = sketch.maybe(a, b)
+            a, b, doc, place = a[some], b[some], doc[some], place[some]
+            ids, marks = batch.column("es_id").to_numpy(), batch.column("es_hash").to_numpy()
+            lengths = np.array([len(x) for x in texts], np.int64)  # at least the number of words
+            starts = np.cumsum(lengths) - lengths
+            at = starts[doc] + place
+            keys, sure, unsure = _keys(a, b), np.zeros(len(a), bool), np.ones(len(a), bool)
+            if len(sketch.known):
+                found = np.minimum(np.searchsorted(sketch.known, keys), len(sketch.known) - 1)
+                known = sketch.known[found] == keys
+                sure, unsure = known & (ids[doc] > sketch.first[found]), ~known
+            rows = []
+            bucket = (a >> np.uint64(32)) % np.uint64(buckets)
+            for flag, own in ((False, unsure), (True, sure)):
+                where = np.flatnonzero(own)
+                part = (bucket[where] if not flag else at[where].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                where, part = where[order], part[order]
+                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
+                for x, y in zip(cut, cut[1:], strict=False):
+                    w = where[x:y]
+                    key = b"" if flag else keys["a"][w].tobytes() + keys["b"][w].astype("<u2").tobytes()
+                    rows.append({"bucket": int(part[x]), "keys": key, "sure": flag, **_packed(at[w], starts, ids, marks)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("at", pa.binary()), ("texts", pa.binary()), ("sure", pa.bool_())]))
+
+    return run
+
+
+def _by_document(entries: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """First entry of each document in sorted ``entries``, their places as gaps that start anew with each document, and where a document's bytes end."""
+    new = np.concatenate(([True], (entries["id"][1:] != entries["id"][:-1]) | (entries["hash"][1:] != entries["hash"][:-1])))
+    place = entries["place"].astype(np.int64)
+    data, end = _gaps(np.where(new, place, np.diff(place, prepend=0)))
+    first = np.flatnonzero(new)
+    return first, data.tobytes(), end[np.append(first[1:], len(entries)) - 1]
+
+
+def _marks(entries: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Marked places for each part of the documents."""
+    own = (_final(entries["id"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((entries["place"], entries["hash"], entries["id"], own))
+    entries, own = entries[order], own[order]
+    cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
+    rows = []
+    for x, y in zip(cut, cut[1:], strict=False):
+        first, data, end = _by_document(entries[x:y])
+        head = entries[x:y][first]
+        table = np.stack([np.diff(head["id"], prepend=0), head["hash"].astype(np.int64), np.diff(end, prepend=0)]).astype("<i8")
+        rows.append({"part": int(own[x]), "places": data, "texts": zlib.compress(table.tobytes(), 1)})
+    return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("places", pa.binary()), ("texts", pa.binary())]))
+
+
+def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All places of each document. The rows of a part follow each other."""
+
+    def done(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            entries = np.sort(np.concatenate(held), order=("id", "hash", "place"))
+            first, data, end = _by_document(entries)
+            blobs = [data[x:y] for x, y in zip(np.concatenate(([0], end[:-1])), end, strict=True)]
+            yield pa.RecordBatch.from_pydict({"es_id": pa.array(entries["id"][first]), "es_hash": pa.array(entries["hash"][first]), "es_places": pa.array(blobs, pa.binary())})
+
+    now, held = None, []
+    for batch in batches:
+        for part, places, texts in zip(*(batch.column(c).to_pylist() for c in ("part", "places", "texts")), strict=True):
+            if part != now:
+                yield from done(held)
+                now, held = part, []
+            table = np.frombuffer(zlib.decompress(texts), "<i8").reshape(3, -1)
+            g = np.frombuffer(places, np.uint8)
+            last = np.flatnonzero(g < 255)
+            size = table[2]
+            doc = np.searchsorted(np.cumsum(size), last, "right")
+            total = np.cumsum(g, dtype=np.int64)
+            before = np.concatenate(([0], total))[(np.cumsum(size) - size)[doc]]
+            entry = np.zeros(len(last), _ENTRY)
+            entry["id"], entry["hash"], entry["place"] = np.cumsum(table[0])[doc], table[1][doc], total[last] - before
+            held.append(entry)
+    yield from done(held)
+
+
+def _behind_first(parts: int):
+    """Of each bucket the entries that are sure or behind the first document of their window. The rows of a bucket follow each other."""
+
+    def done(keys: list[np.ndarray], entries: list[np.ndarray], sure: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = list(sure)
+        if keys:
+            key, entry = np.concatenate(keys), np.concatenate(entries)
+            order = np.lexsort((entry["id"], key["b"], key["a"]))
+            key, entry = key[order], entry[order]
+            start = np.concatenate(([True], key[1:] != key[:-1]))
+            first = entry["id"][start][np.cumsum(start) - 1]
+            out.append(entry[entry["id"] > first])
+        gone = np.concatenate(out) if out else np.zeros(0, _ENTRY)
+        if len(gone):
+            yield _marks(gone, parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, entries, sure = None, [], [], []
+        for batch in batches:
+            for bucket, key, at, texts, flag in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "at", "texts", "sure")), strict=True):
+                if bucket != now:
+                    yield from done(keys, entries, sure)
+                    now, keys, entries, sure = bucket, [], [], []
+                entry = _unpacked(at, texts)
+                if flag:
+                    sure.append(entry)
+                else:
+                    own = np.zeros(len(entry), _KEY)
+                    own["a"], own["b"] = np.frombuffer(key, "<i8", len(entry)), np.frombuffer(key, "<u2", len(entry), 8 * len(entry))
+                    keys.append(own)
+                    entries.append(entry)
+        yield from done(keys, entries, sure)
 
     return run
 
@@ -172,12 +382,12 @@ def _remove(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             texts, total, gone = [], [], []
-            for text, places in zip(text_bytes(batch.column("text")), batch.column("es_places"), strict=True):
+            for text, places in zip(text_bytes(batch.column("text")), batch.column("es_places").to_pylist(), strict=True):
                 words = text.split()
                 total.append(len(words))
-                if places.is_valid:
+                if places:
                     marks = np.zeros(len(words) + 1, np.int64)
-                    at = np.asarray(places.values.to_numpy(), np.int64)
+                    at = _ids(places)
                     np.add.at(marks, at, 1)
                     np.add.at(marks, at + size, -1)
                     keep = np.cumsum(marks)[:-1] == 0
@@ -196,13 +406,22 @@ def _remove(size: int, names: list[str]):
 def drop_repeated_windows(docs: DataFrame, size: int = 13, cells_per_word: int = 4, max_cells: int = 1 << 28) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``), ``text`` as its kept words joined by spaces, and ``es_n_words`` and ``es_n_removed``."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({"es_id": F.coalesce("doc_id", F.lit(_LAST)).cast("long"), "es_hash": F.xxhash64("text")})
-    held = spark.sparkContext.broadcast(prefilter(docs.select("text"), size, cells_per_word, max_cells))
-    schema = "a long, b long, es_id long, es_hash long, place int"
-    found = materialize(keyed.select("text", "es_id", "es_hash").mapInArrow(_candidates(held, size), schema), "windows")
-    first = found.groupBy("a", "b").agg(F.min("es_id").alias("first"), F.max("es_id").alias("last")).filter(F.col("first") < F.col("last")).select("a", "b", "first")
-    marked = found.join(first, ["a", "b"]).filter(F.col("es_id") > F.col("first")).select("es_id", "es_hash", "place").distinct()
-    places = marked.groupBy("es_id", "es_hash").agg(F.collect_list("place").alias("es_places"))
+    keyed = docs.withColumns({"es_id": F.coalesce("doc_id", F.lit(_LAST)).cast("long"), "es_hash": F.hash("text")})
+    texts = keyed.select("text", "es_id", "es_hash")
+    sketch = prefilter(docs.select("text"), size, cells_per_word, max_cells)
+    if len(sketch.hot):
+        held = spark.sparkContext.broadcast(sketch)
+        often = texts.mapInArrow(_frequent(held, size), "a long, b int, es_id long").groupBy("a", "b").agg(F.min("es_id").alias("first")).toArrow()
+        known = np.zeros(often.num_rows, _KEY)
+        known["a"], known["b"] = often.column("a").to_numpy(), often.column("b").to_numpy()
+        order = np.argsort(known, order=("a", "b"))
+        sketch.known, sketch.first = known[order], often.column("first").to_numpy()[order]
+    held = spark.sparkContext.broadcast(sketch)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sketch.windows // _BUCKET_WINDOWS))
+    found = texts.mapInArrow(_candidates(held, size, buckets), "bucket long, keys binary, at binary, texts binary, sure boolean")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_behind_first(parts), "part long, places binary, texts binary")
+    places = marked.repartition("part").sortWithinPartitions("part").mapInArrow(_collect, "es_id long, es_hash int, es_places binary")
     names = [c for c in docs.columns if c not in ("text", "es_n_words", "es_n_removed")]
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("text", T.StringType()), T.StructField("es_n_words", T.LongType()), T.StructField("es_n_removed", T.LongType())])
     joined = keyed.join(places, ["es_id", "es_hash"], "left").select(*names, "text", "es_places")
