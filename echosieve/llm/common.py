@@ -57,7 +57,7 @@ class _Hashes(dict):
     """Hash of a word, kept for repeated words; emptied when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:

@@ -25,16 +25,17 @@ each time. Ids may be null or repeat. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import chunks, text_bytes
+from echosieve.llm.common import chunks, text_bytes, word_hashes
 from echosieve.storage import materialize
 
 _MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -43,19 +44,6 @@ END = np.uint64(0x5851F42D4C957F2D)
 HEAVY_SHARE = 1 << 20
 
 
-class _Hashes(dict):
-    """Hash of a word, kept for repeated words; emptied when it grows too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each ended by END, and the number of tokens of each."""
     parts = [x.lower().split() for x in texts]
@@ -64,8 +52,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inner = np.ones(len(out), bool)
     inner[np.cumsum(sizes) - 1] = False
     if inner.any():
-        get = _hashes.__getitem__
-        out[inner] = np.fromiter((get(w) for p in parts for w in p), np.uint64, int(inner.sum()))
+        out[inner] = word_hashes(parts, len(out) - len(parts))
     return out, sizes
 
 
@@ -93,116 +80,159 @@ def level_count(level: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Levelled Bloom filter of ``segments`` equal parts; an n-gram lives in one part."""
-
-    probes = 4
+    """Levelled Bloom filter of ``segments`` equal parts; an n-gram lives in one part, and all bits of one of its levels in one 64-bit word, so a probe reads memory once."""
 
-    def __init__(self, segments: int, segment_bits: int, parts: dict[int, np.ndarray] | None = None):
-        self.segments, self.segment_bits = segments, segment_bits
+    def __init__(self, segments: int, segment_words: int, parts: dict[int, np.ndarray] | None = None):
+        self.segments, self.segment_words = segments, segment_words
         self.parts = parts or {}
         self.flat: np.ndarray | None = None
 
-    def segment(self, h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(40)) % np.uint64(self.segments)).astype(np.int64)
-
-    def _bits(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        a = mixed(h + np.uint64(level * int(_MIX) % 2**64))
-        b = mixed(a) | np.uint64(1)
-        for i in range(self.probes):
-            yield ((a + np.uint64(i) * b) >> np.uint64(7)) % np.uint64(self.segment_bits)
-
-    def add(self, h: np.ndarray, level: np.ndarray) -> None:
-        seg = self.segment(h)
-        for s in np.unique(seg):
-            part = self.parts.setdefault(int(s), np.zeros(self.segment_bits // 8, np.uint8))
-            own = seg == s
-            x, q = h[own], level[own]
-            for j in range(1, int(q.max()) + 1):
-                for bit in self._bits(x[q >= j], j):
-                    np.bitwise_or.at(part, (bit >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)))
+    @staticmethod
+    def place(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segment of an n-gram's hash, and the 40 bits that name it there. Equal names only merge counts, upwards."""
+        return ((h >> np.uint64(40)) % np.uint64(segments)).astype(np.int64), h & np.uint64((1 << 40) - 1)
+
+    def _probe(self, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word within the part, and the four bits there."""
+        a = mixed(key + np.uint64(level * int(_MIX) % 2**64))
+        one, low = np.uint64(1), np.uint64(63)
+        bits = one << (a & low) | one << (a >> np.uint64(6) & low) | one << (a >> np.uint64(12) & low) | one << (a >> np.uint64(18) & low)
+        return ((a >> np.uint64(24)) % np.uint64(self.segment_words)).astype(np.int64), bits
+
+    def put(self, segment: int, key: np.ndarray, level: np.ndarray) -> None:
+        part = self.parts.setdefault(segment, np.zeros(self.segment_words, np.uint64))
+        for j in range(1, int(level.max()) + 1):
+            np.bitwise_or.at(part, *self._probe(key[level >= j], j))
+
+    def join(self) -> "Filter":
+        """All parts in one array, ready for probes."""
+        if self.flat is None:
+            self.flat = np.zeros(self.segments * self.segment_words, np.uint64)
+            for s in sorted(self.parts):
+                self.flat[s * self.segment_words : (s + 1) * self.segment_words] = self.parts.pop(s)
+        return self
 
     def level(self, h: np.ndarray, most: int = 50) -> np.ndarray:
-        if self.flat is None:
-            self.flat = np.zeros(self.segments * self.segment_bits // 8, np.uint8)
-            for s, part in self.parts.items():
-                self.flat[s * self.segment_bits // 8 : (s + 1) * self.segment_bits // 8] = part
-            self.parts = {}
+        self.join()
         out = np.zeros(len(h), np.int64)
         alive = np.arange(len(h))
+        segment, key = self.place(h, self.segments)
+        start = segment * self.segment_words
         for j in range(1, most):
-            x = h[alive]
-            base = self.segment(x) * (self.segment_bits // 8)
-            hit = np.ones(len(x), bool)
-            for bit in self._bits(x, j):
-                byte = self.flat[base + (bit >> np.uint64(3)).astype(np.int64)]
-                hit &= (byte >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[hit]
+            word, bits = self._probe(key, j)
+            hit = self.flat[start + word] & bits == bits
+            alive, key, start = alive[hit], key[hit], start[hit]
             out[alive] = j
             if not len(alive):
                 break
         return out
 
 
-def _counted(h: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    u, first, n = np.unique(h, return_index=True, return_counts=True)
-    return u, n, *(m[first] for m in more)
-
-
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, limit=32 << 20):
+    for batch in chunks(batches):
         h, _ = tokens(text_bytes(batch.column("text")))
-        u, n = _counted(h)
+        code, u = pd.factorize(h)
+        n = np.bincount(code, minlength=len(u))
         yield pa.RecordBatch.from_pydict({"h": pa.array(u.view(np.int64)), "c": pa.array(n.astype(np.int64))})
 
 
-def _pair_rows(words: Filter):
+def _packed(key: np.ndarray, count: np.ndarray, kind: np.ndarray) -> dict[str, bytes]:
+    """Ascending 40-bit keys with counts and kinds: low words of the gaps, and the mostly equal rest, compressed."""
+    gap = np.diff(key, prepend=np.uint64(0))
+    many = np.flatnonzero(count > 255)
+    rest = [(gap >> np.uint64(32)).astype(np.uint8), np.where(count > 255, 0, count).astype(np.uint8), kind.astype(np.uint8), count[many].astype("<u8").view(np.uint8)]
+    return {"low": gap.astype("<u4").tobytes(), "rest": zlib.compress(np.concatenate(rest).tobytes(), 1)}
+
+
+def _unpacked(low: bytes, rest: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low, rest = np.frombuffer(low, "<u4"), np.frombuffer(zlib.decompress(rest), np.uint8)
+    n = len(low)
+    key = np.cumsum(low.astype(np.uint64) | rest[:n].astype(np.uint64) << np.uint64(32), dtype=np.uint64)
+    count = rest[n : 2 * n].astype(np.int64)
+    count[count == 0] = rest[3 * n :].view("<u8")
+    return key, count, rest[2 * n : 3 * n]
+
+
+def _pair_rows(words: Filter, segments: int):
+    """The pairs of each chunk of texts, by segment of the filter to build."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=32 << 20):
+        for batch in chunks(batches):
             h, sizes = tokens(text_bytes(batch.column("text")))
-            u, n, before = _counted(*pairs(h, sizes))
-            seen, at = np.unique(before, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(u.view(np.int64)), "c": pa.array(n.astype(np.int64)), "kind": pa.array(words.level(seen)[at].astype(np.int32))})
+            gram, before = pairs(h, sizes)
+            code, seen = pd.factorize(before)
+            kind = words.level(seen)[code]
+            segment, key = Filter.place(gram, segments)
+            order = np.lexsort((key, segment))
+            segment, key, kind = segment[order], key[order], kind[order]
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])))) if len(key) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(key)))
+            segment, key, kind = segment[first], key[first], kind[first]
+            cut = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True]))) if len(key) else []
+            rows = [{"segment": int(segment[x]), **_packed(key[x:y], count[x:y], kind[x:y])} for x, y in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("segment", pa.int32()), ("low", pa.binary()), ("rest", pa.binary())]))
 
     return run
 
 
-def _build(segments: int, segment_bits: int):
+_PART = pa.schema([("segment", pa.int32()), ("bits", pa.binary()), ("types", pa.list_(pa.int64())), ("uses", pa.list_(pa.int64()))])
+_PART_DDL = "segment int, bits binary, types array<bigint>, uses array<bigint>"
+
+
+def _build(segments: int, segment_words: int):
+    """Parts of the filter from packed n-grams. The rows of a segment follow each other."""
+
+    def done(segment: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, count, kind = (np.concatenate(v) for v in zip(*held, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, count, kind = key[order], count[order], kind[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key, count, kind = key[first], np.add.reduceat(count, first), kind[first]
+        own = Filter(segments, segment_words)
+        own.put(segment, key, levels(count))
+        types, uses = np.bincount(kind, minlength=64), np.bincount(kind, count, 64).astype(np.int64)
+        return pa.RecordBatch.from_pylist([{"segment": segment, "bits": own.parts[segment].tobytes(), "types": types.tolist(), "uses": uses.tolist()}], _PART)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(segments, segment_bits)
-        types, uses = np.zeros(64, np.int64), np.zeros(64, np.int64)
+        now, held = -1, []
         for batch in batches:
-            if batch.num_rows:
-                c, kind = batch.column("c").to_numpy(), batch.column("kind").to_numpy()
-                own.add(batch.column("h").to_numpy().view(np.uint64), levels(c))
-                types += np.bincount(kind, minlength=64)
-                uses += np.bincount(kind, c, 64).astype(np.int64)
-        for s, part in own.parts.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([part.tobytes()], pa.binary()), "types": pa.array([None], pa.list_(pa.int64())), "uses": pa.array([None], pa.list_(pa.int64()))})
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([None], pa.int32()), "bits": pa.array([None], pa.binary()), "types": pa.array([types.tolist()], pa.list_(pa.int64())), "uses": pa.array([uses.tolist()], pa.list_(pa.int64()))})
+            for segment, low, rest in zip(*(batch.column(c).to_pylist() for c in ("segment", "low", "rest")), strict=True):
+                if segment != now:
+                    if held:
+                        yield done(now, held)
+                    now, held = segment, []
+                held.append(_unpacked(low, rest))
+        if held:
+            yield done(now, held)
 
     return run
 
 
-def _filter(counted: DataFrame, bits: int, merge: bool) -> tuple[Filter, np.ndarray, np.ndarray]:
-    """The filter of (h, c, kind), with the numbers of n-grams and of uses by kind.
+def _word_rows(segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segment, key = Filter.place(batch.column("h").to_numpy().view(np.uint64), segments)
+            count = batch.column("c").to_numpy()
+            order = np.lexsort((key, segment))
+            segment, key, count = segment[order], key[order], count[order]
+            cut = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True]))) if len(key) else []
+            rows = [{"segment": int(segment[x]), **_packed(key[x:y], count[x:y], np.zeros(y - x, np.uint8))} for x, y in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("segment", pa.int32()), ("low", pa.binary()), ("rest", pa.binary())]))
+
+    return run
+
 
-    merge: several rows may hold parts of an n-gram's count.
-    """
-    segments = max(1, min(1 << 12, bits >> 20))
-    segment_bits = -(-bits // segments // 8) * 8
-    segment = F.pmod(F.shiftrightunsigned("h", 40), F.lit(segments)).cast("int")
-    rows = counted.select(segment.alias("s"), "h", "c", "kind").repartition("s")
-    if merge:
-        rows = rows.groupBy("s", "h").agg(F.sum("c").alias("c"), F.max("kind").alias("kind"))
-    out = rows.select("h", "c", "kind").mapInArrow(_build(segments, segment_bits), "segment int, bits binary, types array<bigint>, uses array<bigint>")
-    made, types, uses = Filter(segments, segment_bits), np.zeros(64, np.int64), np.zeros(64, np.int64)
+def _filter(rows: DataFrame, packed, segments: int, bits: int) -> tuple[Filter, np.ndarray, np.ndarray]:
+    """The filter of what ``packed`` makes of ``rows``, with the numbers of n-grams and of uses by kind."""
+    segment_words = -(-bits // segments // 64)
+    parts = rows.mapInArrow(packed, "segment int, low binary, rest binary").repartition("segment").sortWithinPartitions("segment")
+    out = parts.mapInArrow(_build(segments, segment_words), _PART_DDL)
+    made, types, uses = Filter(segments, segment_words), np.zeros(64, np.int64), np.zeros(64, np.int64)
     for part in out.toArrow().to_batches():
         for s, b, t, u in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-            if s is None:
-                types, uses = types + np.array(t), uses + np.array(u)
-            else:
-                made.parts[s] = np.frombuffer(b, np.uint8)
-    return made, types, uses
+            types, uses = types + np.array(t), uses + np.array(u)
+            made.parts[s] = np.frombuffer(b, np.uint64)
+    return made.join(), types, uses
 
 
 class Model:
@@ -211,20 +241,17 @@ class Model:
     def __init__(self, words: Filter, both: Filter, n: int, v: int, weight: np.ndarray):
         self.words, self.both, self.n, self.v, self.weight = words, both, n, v, weight
 
-    def log10(self, h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 p of each token."""
-        seen, at = np.unique(np.concatenate(([END], h)), return_inverse=True)
+    def log10(self, h: np.ndarray, sizes: np.ndarray, code: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """log10 p of each token; ``code`` and ``seen`` are the tokens by number, END among them."""
         level = self.words.level(seen)
-        single = (level_count(level) + 0.5) / (self.n + 0.5 * (self.v + 1))
-        gram, before = pairs(h, sizes)
-        context = level[np.searchsorted(seen, before)]
-        there = np.zeros(len(h))
-        if self.n:
-            distinct, where = np.unique(gram, return_inverse=True)
-            there = level_count(self.both.level(distinct))[where]
-        m = self.weight[context]
-        share = np.minimum(1.0, there / np.maximum(level_count(context), 1.0))
-        return np.log10(np.minimum(1.0, m * share + (1 - m) * single[at[1:]]))
+        single = ((level_count(level) + 0.5) / (self.n + 0.5 * (self.v + 1)))[code]
+        gram, _ = pairs(h, sizes)
+        before = np.concatenate(([0], code[:-1]))
+        starts = np.cumsum(sizes) - sizes
+        before[starts] = code[starts + sizes - 1]
+        there = level_count(np.arange(64))[self.both.level(gram)] if self.n else np.zeros(len(h))
+        m, most = self.weight[level][before], np.maximum(level_count(level), 1.0)[before]
+        return np.log10(np.minimum(1.0, m * np.minimum(1.0, there / most) + (1 - m) * single))
 
 
 def train(texts: DataFrame, bits_per_token: int = 8, max_bits: int = 1 << 31) -> tuple[Model, DataFrame]:
@@ -233,14 +260,14 @@ def train(texts: DataFrame, bits_per_token: int = 8, max_bits: int = 1 << 31) ->
     vocabulary = materialize(rows.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
     total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    words, _, _ = _filter(vocabulary.withColumn("kind", F.lit(0)), max(1 << 16, min(max_bits // 4, bits_per_token * 3 * v)), False)
+    segments = max(1, min(1 << 14, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n >> 22) + 1)))
+    words, _, _ = _filter(vocabulary, _word_rows(segments), segments, max(1 << 16, min(max_bits // 4, bits_per_token * 3 * v)))
     held = texts.sparkSession.sparkContext.broadcast(words)
 
     def pair_rows(batches):
-        yield from _pair_rows(held.value)(batches)
+        yield from _pair_rows(held.value, segments)(batches)
 
-    counted = rows.mapInArrow(pair_rows, "h long, c long, kind int")
-    both, types, uses = _filter(counted, max(1 << 16, min(max_bits, bits_per_token * n)), True)
+    both, types, uses = _filter(rows, pair_rows, segments, max(1 << 16, min(max_bits, bits_per_token * n)))
     weight = uses / np.maximum(1, uses + types)
     weight[0] = 0.0
     return Model(words, both, n, v, weight), vocabulary
@@ -249,21 +276,24 @@ def train(texts: DataFrame, bits_per_token: int = 8, max_bits: int = 1 << 31) ->
 def _score(model, heavy, n: int, v: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (heavy_h, heavy_c) = model.value, heavy.value
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=4 << 20):
             h, sizes = tokens(text_bytes(batch.column("text")))
             ends = np.cumsum(sizes)
             starts = ends - sizes
-            score = np.add.reduceat(m.log10(h, sizes), starts)
-            at = np.searchsorted(heavy_h, h)
+            code, seen = pd.factorize(h)
+            score = np.add.reduceat(m.log10(h, sizes, code, seen), starts)
+            at = np.searchsorted(heavy_h, seen)
             at[at == len(heavy_h)] = 0
-            known = heavy_h[at] == h if len(heavy_h) else np.zeros(len(h), bool)
-            base = np.where(known, np.log10((heavy_c[at] + 0.5) / (n + 0.5 * (v + 1))) if len(heavy_h) else 0.0, 0.0)
+            heavy_seen = heavy_h[at] == seen if len(heavy_h) else np.zeros(len(seen), bool)
+            logs = np.where(heavy_seen, np.log10((heavy_c[at] + 0.5) / (n + 0.5 * (v + 1))), 0.0) if len(heavy_h) else np.zeros(len(seen))
+            known, base = heavy_seen[code], logs[code]
             doc = np.repeat(np.arange(len(sizes)), sizes)
             rare, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             edges = np.zeros(len(sizes) + 1, np.int32)
             if not known.all():
-                order = np.lexsort((h[~known], doc[~known]))
-                d, x = doc[~known][order], h[~known][order]
+                # sorted by text and token, through one number for both
+                both = np.sort(doc[~known] * len(seen) + code[~known])
+                d, x = both // len(seen), seen[both % len(seen)]
                 first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]))))
                 rare, count = x[first], np.diff(np.concatenate((first, [len(x)])))
                 edges = np.searchsorted(d[first], np.arange(len(sizes) + 1)).astype(np.int32)

@@ -202,10 +202,16 @@ def test_filter_never_underestimates():
     h = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
     counts = rng.integers(1, 300, len(h))
     f = lm_score.Filter(4, 3000)
-    f.add(h, lm_score.levels(counts))
+    segment, key = f.place(h, 4)
+    for k in range(4):
+        f.put(k, key[segment == k], lm_score.levels(counts)[segment == k])
     assert (f.level(h) >= lm_score.levels(counts)).all()
     assert (f.level(h) == lm_score.levels(counts)).mean() > 0.8
     assert (f.level(rng.integers(0, 2**63, 5000).astype(np.uint64)) == 0).mean() > 0.8
+    key = np.sort(key)
+    big = counts * np.where(counts > 290, 10**6, 1)
+    for x, y in zip((key, big, counts % 60), lm_score._unpacked(**lm_score._packed(key, big, counts % 60)), strict=True):
+        assert (x == y).all()
     assert lm_score.levels(np.array([1, 2, 3, 4, 255, 256])).tolist() == [1, 2, 2, 3, 8, 9]
 
 
