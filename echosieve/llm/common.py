@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray([len(x) if x is not None else 0 for x in batch.column(text).cast(pa.large_binary()).to_pylist()] if batch.nbytes > limit else [0] * batch.num_rows)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         parts = (np.cumsum(sizes) - sizes) // limit
         edges = [0, *(np.flatnonzero(np.diff(parts)) + 1), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):

@@ -42,6 +42,8 @@ _MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: The end token; no word hashes are fixed, so this value only has to differ from them by chance.
 END = np.uint64(0x5851F42D4C957F2D)
 HEAVY_SHARE = 1 << 20
+#: Bytes of text taken at once.
+_CHUNK = 4 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +131,7 @@ class Filter:
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=_CHUNK):
         h, _ = tokens(text_bytes(batch.column("text")))
         code, u = pd.factorize(h)
         n = np.bincount(code, minlength=len(u))
@@ -157,7 +159,7 @@ def _pair_rows(words: Filter, segments: int):
     """The pairs of each chunk of texts, by segment of the filter to build."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=_CHUNK):
             h, sizes = tokens(text_bytes(batch.column("text")))
             gram, before = pairs(h, sizes)
             code, seen = pd.factorize(before)
@@ -276,7 +278,7 @@ def train(texts: DataFrame, bits_per_token: int = 8, max_bits: int = 1 << 31) ->
 def _score(model, heavy, n: int, v: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (heavy_h, heavy_c) = model.value, heavy.value
-        for batch in chunks(batches, limit=4 << 20):
+        for batch in chunks(batches, limit=_CHUNK):
             h, sizes = tokens(text_bytes(batch.column("text")))
             ends = np.cumsum(sizes)
             starts = ends - sizes
