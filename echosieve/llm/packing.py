@@ -54,8 +54,8 @@ def _little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-#: Runs, and letters, whose ids a worker keeps.
-_KEPT = 200_000
+#: Runs whose ids a worker keeps.
+_KEPT = 400_000
 
 
 class _Ids(dict):
@@ -74,31 +74,33 @@ class _Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_of_letter().items()}
-        self.parts: dict[str, bytes] = {}
 
-    def _part(self, text: str) -> bytes:
-        ids = self.parts.get(text)
-        if ids is None:
-            if len(self.parts) > _KEPT:
-                self.parts.clear()
-            known = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[text] = _little([t.id for t in self.model.tokenize(known)])
-        return ids
-
-    def __missing__(self, run: bytes) -> bytes:
-        text = run.decode()
-        if run.isalpha() and len(run) <= 64:  # true of ASCII letters only
-            ids = self._part(text.lower())
-        elif len(run) <= 64 and (m := _PLAIN.fullmatch(text)):
-            ids = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
-        else:
-            ids = _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _keep(self, run: bytes, ids: bytes) -> bytes:
         if len(run) <= 64:
             if len(self) > _KEPT:
                 self.clear()
             self[run] = ids
         return ids
 
+    def _part(self, lower: bytes) -> bytes:
+        """Ids of letters in lower case, or of marks."""
+        ids = self.get(lower)
+        if ids is None:
+            known = lower.decode() if lower.isascii() else lower.decode("latin-1").translate(self.letters)
+            ids = self._keep(lower, _little([t.id for t in self.model.tokenize(known)]))
+        return ids
+
+    def __missing__(self, run: bytes) -> bytes:
+        if len(run) <= 64:
+            if run.isalpha():  # true of ASCII letters only
+                lower = run.lower()
+                ids = self._part(lower)
+                return ids if lower == run else self._keep(run, ids)
+            if m := _PLAIN.fullmatch(run.decode()):
+                ids = self._part(m[1].lower().encode())
+                return self._keep(run, ids + self._part(m[2].encode()) if m[2] else ids)
+        return self._keep(run, _little(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids))
+
 
 _known: dict[str, _Ids] = {}
 
