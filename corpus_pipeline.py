@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the one before it kept, as Parquet, and all
 but the last return the columns of ``documents``: quality rules, line dedup,
-SimHash near-dedup (one document of each group stays), mixing sources to target
+near-dedup on five-word shingles at a Jaccard similarity of 0.8 (one document of
+each group stays), mixing sources to target
 weights (a row for each time a document is taken), best-fit packing.
 """
 
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.line_dedup import drop_common_lines
 from echosieve.llm.mixing import mixed_documents
+from echosieve.llm.near_dedup import one_of_each
 from echosieve.llm.packing import pack, pieces
 from echosieve.llm.quality import judge
-from echosieve.llm.simhash import one_of_each
 from echosieve.storage import materialize
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_documents(drop_common_lines(docs), docs)
 
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs)
 
 
@@ -49,9 +50,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(pieces(docs, str(public_tokenizers.path(VOCABULARY))))
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", simhash_dedup), ("source mixing", source_mixing), ("best-fit packing", packing)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("source mixing", source_mixing), ("best-fit packing", packing)]
 
-#: SQL expresses neither the fingerprints nor the tokenizer; tests hold the pipeline against a brute-force version.
+#: SQL expresses neither the shingle search nor the tokenizer; tests hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

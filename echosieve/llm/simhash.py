@@ -193,8 +193,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, seed: int = 42, budget: int
 
 def one_of_each(docs: DataFrame, size: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the smallest (id, text hash); null ids come last."""
+    return first_of_each(docs, near_duplicates(docs.select("doc_id", "text"), size, seed, budget))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the smallest (id, text hash) of each component of ``found``: (doc_id, text_hash, fp, component_id)."""
     absent = F.lit(2**63 - 1)
-    found = near_duplicates(docs.select("doc_id", "text"), size, seed, budget)
     # components whose ids are all null are told apart by their fingerprints
     pick = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.coalesce("doc_id", absent).alias("i"), F.col("text_hash").alias("h"))).alias("x"))
     pick = pick.select(F.col("x.i").alias("es_id"), F.col("x.h").alias("es_hash")).distinct()
