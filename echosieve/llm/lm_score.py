@@ -11,10 +11,13 @@ count of the level read from the filter. m(u) depends on the level of u alone:
 tokens / (tokens + distinct pairs) over all contexts of that level
 (Witten-Bell by count class). The context of a text's first token is the end token.
 
-Sizes: the filter has ``bits_per_token`` bits for every training token, up to
-``max_bits`` (256 MB); beyond that bound it gets no larger and false positives
-grow, so give more bits where workers have the memory. Segments of the filter
-are built by the tasks that own their n-grams. Exact unigram counts, which only
+Sizes: the filter has ``bits_per_token`` bits for every training token at every
+size, so false positives don't grow with the input. Memory is bounded by passes:
+at most ``max_bits`` (256 MB) of segments are broadcast at once, and each pass
+adds up the tokens whose pairs live there. Of the word filter a quarter of that
+is broadcast at once; if it has more, passes write the level of each token beside
+its text first. Segments of the filter are built by the tasks that own their
+n-grams. Exact unigram counts, which only
 the base score uses, reach the texts two ways: words with at least N / 2**20
 occurrences (at most 2**20 words) are broadcast, rarer ones are joined.
 
@@ -26,7 +29,8 @@ each time. Ids may be null or repeat. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -84,9 +88,10 @@ def level_count(level: np.ndarray) -> np.ndarray:
 class Filter:
     """Levelled Bloom filter of ``segments`` equal parts; an n-gram lives in one part, and all bits of one of its levels in one 64-bit word, so a probe reads memory once."""
 
-    def __init__(self, segments: int, segment_words: int, parts: dict[int, np.ndarray] | None = None):
+    def __init__(self, segments: int, segment_words: int, parts: dict[int, np.ndarray] | None = None, held: range | None = None):
         self.segments, self.segment_words = segments, segment_words
         self.parts = parts or {}
+        self.held = range(segments) if held is None else held
         self.flat: np.ndarray | None = None
 
     @staticmethod
@@ -107,19 +112,28 @@ class Filter:
             np.bitwise_or.at(part, *self._probe(key[level >= j], j))
 
     def join(self) -> "Filter":
-        """All parts in one array, ready for probes."""
+        """The held parts in one array, ready for probes."""
         if self.flat is None:
-            self.flat = np.zeros(self.segments * self.segment_words, np.uint64)
+            self.flat = np.zeros(len(self.held) * self.segment_words, np.uint64)
             for s in sorted(self.parts):
-                self.flat[s * self.segment_words : (s + 1) * self.segment_words] = self.parts.pop(s)
+                at = s - self.held.start
+                self.flat[at * self.segment_words : (at + 1) * self.segment_words] = self.parts.pop(s)
         return self
 
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        segment, _ = self.place(h, self.segments)
+        return (segment >= self.held.start) & (segment < self.held.stop)
+
     def level(self, h: np.ndarray, most: int = 50) -> np.ndarray:
+        """Level of each n-gram; 0 for those of parts that aren't held."""
         self.join()
         out = np.zeros(len(h), np.int64)
-        alive = np.arange(len(h))
         segment, key = self.place(h, self.segments)
-        start = segment * self.segment_words
+        start = (segment - self.held.start) * self.segment_words
+        alive = np.arange(len(h))
+        if len(self.held) < self.segments:
+            alive = np.flatnonzero(self.holds(h))
+            key, start = key[alive], start[alive]
         for j in range(1, most):
             word, bits = self._probe(key, j)
             hit = self.flat[start + word] & bits == bits
@@ -155,15 +169,47 @@ def _unpacked(low: bytes, rest: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return key, count, rest[2 * n : 3 * n]
 
 
-def _pair_rows(words: Filter, segments: int):
+def _token_levels(words: Filter | None, batch: pa.RecordBatch, code: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Level of each token, from the filter or, if it comes in passes, from what they wrote."""
+    if words is None:
+        return np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).astype(np.int64)
+    return words.level(seen)[code]
+
+
+def _add_levels(words, names: list[str]):
+    """The rows with the levels that one pass knows added: a byte for each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=_CHUNK):
+            h, sizes = tokens(text_bytes(batch.column("text")))
+            code, seen = pd.factorize(h)
+            level = words.value.level(seen)[code].astype(np.uint8)
+            old = b"".join(x or b"" for x in batch.column("levels").to_pylist())
+            if old:
+                level = level + np.frombuffer(old, np.uint8)
+            ends = np.cumsum(sizes)
+            own = [level[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(own, pa.binary())], [*names, "levels"])
+
+    return run
+
+
+def _before(per_token: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What the token before each has; the end token comes before the first."""
+    out = np.concatenate(([0], per_token[:-1]))
+    starts = np.cumsum(sizes) - sizes
+    out[starts] = per_token[starts + sizes - 1]
+    return out
+
+
+def _pair_rows(words: Filter | None, segments: int):
     """The pairs of each chunk of texts, by segment of the filter to build."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=_CHUNK):
             h, sizes = tokens(text_bytes(batch.column("text")))
-            gram, before = pairs(h, sizes)
-            code, seen = pd.factorize(before)
-            kind = words.level(seen)[code]
+            gram, _ = pairs(h, sizes)
+            kind = _before(_token_levels(words, batch, *pd.factorize(h)), sizes)
             segment, key = Filter.place(gram, segments)
             order = np.lexsort((key, segment))
             segment, key, kind = segment[order], key[order], kind[order]
@@ -224,55 +270,53 @@ def _word_rows(segments: int):
     return run
 
 
-def _filter(rows: DataFrame, packed, segments: int, bits: int) -> tuple[Filter, np.ndarray, np.ndarray]:
-    """The filter of what ``packed`` makes of ``rows``, with the numbers of n-grams and of uses by kind."""
+def _filter(rows: DataFrame, packed, segments: int, bits: int, max_bits: int) -> tuple[list[Callable[[], Filter]], np.ndarray, np.ndarray]:
+    """The filter of what ``packed`` makes of ``rows``, in passes of ``max_bits`` at most, with the numbers of n-grams and of uses by kind."""
+    segments = max(segments, -(-bits // max_bits))
     segment_words = -(-bits // segments // 64)
-    parts = rows.mapInArrow(packed, "segment int, low binary, rest binary").repartition("segment").sortWithinPartitions("segment")
+    parts = rows.mapInArrow(packed(segments), "segment int, low binary, rest binary").repartition("segment").sortWithinPartitions("segment")
     out = parts.mapInArrow(_build(segments, segment_words), _PART_DDL)
-    made, types, uses = Filter(segments, segment_words), np.zeros(64, np.int64), np.zeros(64, np.int64)
-    for part in out.toArrow().to_batches():
-        for s, b, t, u in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-            types, uses = types + np.array(t), uses + np.array(u)
-            made.parts[s] = np.frombuffer(b, np.uint64)
-    return made.join(), types, uses
+    step = -(-segments // -(-bits // max_bits))
+    passes = [range(a, min(segments, a + step)) for a in range(0, segments, step)]
+    if len(passes) > 1:
+        out = materialize(out, "lm-filter")
+
+    def collected(held: range, counts: list[np.ndarray] | None = None) -> Filter:
+        made = Filter(segments, segment_words, held=held)
+        chosen = out if len(passes) == 1 else out.filter(F.col("segment").between(held.start, held.stop - 1))
+        for part in chosen.toArrow().to_batches():
+            for s, b, t, u in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                if counts:
+                    counts[0] += np.array(t)
+                    counts[1] += np.array(u)
+                made.parts[s] = np.frombuffer(b, np.uint64)
+        return made.join()
+
+    counts = [np.zeros(64, np.int64), np.zeros(64, np.int64)]
+    if len(passes) == 1:
+        only = collected(passes[0], counts)
+        return [lambda: only], *counts
+    for row in out.select("types", "uses").toLocalIterator():
+        counts[0] += np.array(row.types)
+        counts[1] += np.array(row.uses)
+    return [lambda held=held: collected(held) for held in passes], *counts
 
 
 class Model:
-    """What scoring needs: the filters of words and pairs, N, V and the weights by level."""
+    """What a pass of scoring needs: the filter of words (none if levels are written beside the texts), segments of that of pairs, N, V and the weights by level."""
 
-    def __init__(self, words: Filter, both: Filter, n: int, v: int, weight: np.ndarray):
+    def __init__(self, words: Filter | None, both: Filter, n: int, v: int, weight: np.ndarray):
         self.words, self.both, self.n, self.v, self.weight = words, both, n, v, weight
 
-    def log10(self, h: np.ndarray, sizes: np.ndarray, code: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """log10 p of each token; ``code`` and ``seen`` are the tokens by number, END among them."""
-        level = self.words.level(seen)
-        single = ((level_count(level) + 0.5) / (self.n + 0.5 * (self.v + 1)))[code]
+    def log10(self, h: np.ndarray, sizes: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """log10 p of each token whose pair is in a held segment, else 0; ``level`` is that of the tokens' words."""
+        single = (level_count(level) + 0.5) / (self.n + 0.5 * (self.v + 1))
         gram, _ = pairs(h, sizes)
-        before = np.concatenate(([0], code[:-1]))
-        starts = np.cumsum(sizes) - sizes
-        before[starts] = code[starts + sizes - 1]
+        before = _before(level, sizes)
         there = level_count(np.arange(64))[self.both.level(gram)] if self.n else np.zeros(len(h))
-        m, most = self.weight[level][before], np.maximum(level_count(level), 1.0)[before]
-        return np.log10(np.minimum(1.0, m * np.minimum(1.0, there / most) + (1 - m) * single))
-
-
-def train(texts: DataFrame, bits_per_token: int = 8, max_bits: int = 1 << 31) -> tuple[Model, DataFrame]:
-    """The model of the column ``text``, and the exact counts (h, c) of its tokens."""
-    rows = texts.select("text")
-    vocabulary = materialize(rows.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
-    total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = total.n or 0, total.v
-    segments = max(1, min(1 << 14, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n >> 22) + 1)))
-    words, _, _ = _filter(vocabulary, _word_rows(segments), segments, max(1 << 16, min(max_bits // 4, bits_per_token * 3 * v)))
-    held = texts.sparkSession.sparkContext.broadcast(words)
-
-    def pair_rows(batches):
-        yield from _pair_rows(held.value, segments)(batches)
-
-    both, types, uses = _filter(rows, pair_rows, segments, max(1 << 16, min(max_bits, bits_per_token * n)))
-    weight = uses / np.maximum(1, uses + types)
-    weight[0] = 0.0
-    return Model(words, both, n, v, weight), vocabulary
+        m, most = self.weight[before], np.maximum(level_count(before), 1.0)
+        out = np.log10(np.minimum(1.0, m * np.minimum(1.0, there / most) + (1 - m) * single))
+        return out if len(self.both.held) == self.both.segments else np.where(self.both.holds(gram), out, 0.0)
 
 
 def _score(model, heavy, n: int, v: int, names: list[str]):
@@ -283,7 +327,7 @@ def _score(model, heavy, n: int, v: int, names: list[str]):
             ends = np.cumsum(sizes)
             starts = ends - sizes
             code, seen = pd.factorize(h)
-            score = np.add.reduceat(m.log10(h, sizes, code, seen), starts)
+            score = np.add.reduceat(m.log10(h, sizes, _token_levels(m.words, batch, code, seen)), starts)
             at = np.searchsorted(heavy_h, seen)
             at[at == len(heavy_h)] = 0
             heavy_seen = heavy_h[at] == seen if len(heavy_h) else np.zeros(len(seen), bool)
@@ -311,25 +355,78 @@ def _score(model, heavy, n: int, v: int, names: list[str]):
     return run
 
 
+def _more(model):
+    """(row, more): what the tokens of another pass add to the scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=_CHUNK):
+            h, sizes = tokens(text_bytes(batch.column("text")))
+            level = _token_levels(model.value.words, batch, *pd.factorize(h))
+            part = np.add.reduceat(model.value.log10(h, sizes, level), np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(part)], ["row", "more"])
+
+    return run
+
+
 def score(docs: DataFrame, learn: Column, bits_per_token: int = 8, max_bits: int = 1 << 31, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``; ``learn`` marks the training rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), "text", learn.alias("learn"))
-    model, vocabulary = train(rows.filter("learn"), bits_per_token, max_bits)
-    n, v = model.n, model.v
+    vocabulary = materialize(rows.filter("learn").select("text").mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
+    total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = total.n or 0, total.v
+    segments = max(1, min(1 << 14, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n >> 22) + 1)))
+    word_passes, _, _ = _filter(vocabulary, _word_rows, segments, max(1 << 16, bits_per_token * 3 * v), max(1, max_bits // 4))
+    pair_bits = max(1 << 16, bits_per_token * n)
+    names, words = [id_col, "text", "learn"], None
+    if len(word_passes) > 1 or pair_bits > max_bits:
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
+        names.append("row")
+        if len(word_passes) == 1:
+            rows = materialize(rows, "lm-texts")
+    if len(word_passes) > 1:
+        rows = rows.withColumn("levels", F.lit(None).cast("binary"))
+        ddl = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names), "levels binary"])
+        for load in word_passes:
+            held = spark.sparkContext.broadcast(load())
+            rows = materialize(rows.mapInArrow(_add_levels(held, names), ddl), "lm-texts")
+            held.destroy()
+    else:
+        words = word_passes[0]()
+    held = spark.sparkContext.broadcast(words)
+
+    def packed(segments: int):
+        def run(batches):
+            yield from _pair_rows(held.value, segments)(batches)
+
+        return run
+
+    texts = ["text"] if words is not None else ["text", "levels"]
+    pair_passes, types, uses = _filter(rows.filter("learn").select(*texts), packed, segments, pair_bits, max_bits)
+    weight = uses / np.maximum(1, uses + types)
+    weight[0] = 0.0
     heavy_rows = vocabulary.filter(F.col("c") * HEAVY_SHARE >= n).toArrow()
     h = pc.fill_null(heavy_rows.column("h"), 0).to_numpy().view(np.uint64)
     order = np.argsort(h)
     heavy = spark.sparkContext.broadcast((h[order], heavy_rows.column("c").to_numpy()[order]))
-    model_held = spark.sparkContext.broadcast(model)
-    kinds = {id_col: rows.schema[id_col].dataType.simpleString()}
-    schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "n_tokens long, n_known long, base_score double, score double, rare array<bigint>, times array<bigint>"])
-    first = materialize(rows.select(id_col, "text").mapInArrow(_score(model_held, heavy, n, v, [id_col]), schema).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    model_held = spark.sparkContext.broadcast(Model(words, pair_passes[0](), n, v, weight))
+    own = [id_col] if len(pair_passes) == 1 else [id_col, "row"]
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own), "n_tokens long, n_known long, base_score double, score double, rare array<bigint>, times array<bigint>"])
+    first = rows.select(*own, *texts).mapInArrow(_score(model_held, heavy, n, v, own), schema)
+    first = materialize(first if "row" in own else first.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    added = []
+    for load in pair_passes[1:]:
+        model_held.destroy()
+        model_held = spark.sparkContext.broadcast(Model(words, load(), n, v, weight))
+        added.append(materialize(rows.select("row", *texts).mapInArrow(_more(model_held), "row long, more double"), "lm-more"))
     each = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     counts = vocabulary.filter(F.col("c") * HEAVY_SHARE < n)
     found = each.join(counts, "h", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
     logs = F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
     more = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * logs).alias("more_base"))
+    if added:
+        rest = reduce(DataFrame.unionByName, added).groupBy("row").agg(F.sum("more").alias("more_score"))
+        first = first.join(rest, "row").withColumn("score", F.col("score") + F.col("more_score"))
     return first.drop("rare", "times").join(more, "row", "left").select(
         id_col, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
     )
