@@ -20,6 +20,13 @@ def _share(text: str) -> float:
     return x
 
 
+def _count(text: str) -> int:
+    n = int(text)
+    if n < 0:
+        raise argparse.ArgumentTypeError("must not be negative")
+    return n
+
+
 def _checked(parse):
     def run(text: str):
         try:
@@ -43,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-ignore", action="store_true", help="take files that version control ignores, too")
     p.add_argument("--diff-base", help="only copies that touch lines changed since this revision")
     p.add_argument("--report", action="append", default=[], type=_checked(parse_spec), help="console, json or json:file=PATH")
+    p.add_argument("--limit", type=_count, help="only the first so many groups and blocks with repeated regions; all by default")
     p.add_argument("--show-source", action="store_true")
     p.add_argument("--mode", choices=("compat", "exact"), default="compat")
     return p
@@ -63,7 +71,7 @@ def main(args: list[str] | None = None) -> int:
             print("No relevant changes.")
             return 0
         for spec in o.report or ["console"]:
-            write_report(session, spec, source=o.show_source)
+            write_report(session, spec, o.limit, o.show_source)
         s = session.summary().first()
     except (OSError, RuntimeError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

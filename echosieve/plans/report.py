@@ -1,10 +1,13 @@
-"""Reports: JSON and text, from a bounded number of groups."""
+"""Reports: JSON and text, of all groups and regions unless a limit is given."""
 
 from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Iterator
+from textwrap import indent
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from echosieve.plans.session import Session
@@ -29,54 +32,83 @@ def duration(seconds: float) -> str:
     return f"{seconds * 1e3:.1f}ms" if seconds < 1 else f"{seconds:.1f}s"
 
 
-def document(session: Session, limit: int = 1000) -> dict:
-    """The JSON report: the first ``limit`` groups and regions, and the summary of all."""
-    groups = [
-        {
-            "groupIndex": g.group_index + 1,
-            "blockCount": g.size,
-            "avgSimilarity": g.avg_similarity,
-            "blocks": [{"name": b.name, "filePath": b.path, "startLine": b.start_line, "startColumn": b.start_col, "endLine": b.end_line, "endColumn": b.end_col} for b in g.blocks],
-        }
-        for g in session.clone_groups(limit).collect()
-    ]
-    intra = [
-        {
-            "function": r.name,
-            "filePath": r.path,
-            "pairs": [{"regionA": {"start": p.a_start, "length": p.a_len}, "regionB": {"start": p.b_start, "length": p.b_len}, "similarity": p.similarity} for p in r.pairs],
-        }
-        for r in session.intra_regions().limit(limit).collect()
-    ]
+def _rows(session: Session, limit: int | None) -> tuple[Iterator[Row], Iterator[Row]]:
+    """Groups and regions in order, fetched a partition at a time."""
+    most = (1 << 31) - 1 if limit is None else limit
+    regions = session.intra_regions()
+    return session.clone_groups(most).toLocalIterator(), (regions if limit is None else regions.limit(limit)).toLocalIterator()
+
+
+def _group(g: Row) -> dict:
+    return {
+        "groupIndex": g.group_index + 1,
+        "blockCount": g.size,
+        "avgSimilarity": g.avg_similarity,
+        "blocks": [{"name": b.name, "filePath": b.path, "startLine": b.start_line, "startColumn": b.start_col, "endLine": b.end_line, "endColumn": b.end_col} for b in g.blocks],
+    }
+
+
+def _region(r: Row) -> dict:
+    return {
+        "function": r.name,
+        "filePath": r.path,
+        "pairs": [{"regionA": {"start": p.a_start, "length": p.a_len}, "regionB": {"start": p.b_start, "length": p.b_len}, "similarity": p.similarity} for p in r.pairs],
+    }
+
+
+def _summary(session: Session) -> dict:
     names = {"files": "totalFiles", "blocks": "totalBlocks", "groups": "totalGroups", "duplicated_functions": "totalFunctions", "duplicated_lines": "totalDuplicatedLines", "intra_functions": "totalIntraFunctions", "intra_pairs": "totalIntraPairs"}
-    summary = {names[k]: v for k, v in session.summary().first().asDict().items()}
-    return {"cloneGroups": groups, "intraClones": intra, "summary": summary}
+    return {names[k]: v for k, v in session.summary().first().asDict().items()}
 
 
-def text(session: Session, limit: int = 1000, source: bool = False) -> str:
-    out = []
-    for g in session.clone_groups(limit).collect():
-        out.append(f"Clone group #{g.group_index + 1} ({g.size} blocks, {g.avg_similarity * 100:.0f}% similar)")
+def document(session: Session, limit: int | None = None) -> dict:
+    """The JSON report: all groups and regions, or the first ``limit``, and the summary of all."""
+    groups, regions = _rows(session, limit)
+    return {"cloneGroups": [_group(g) for g in groups], "intraClones": [_region(r) for r in regions], "summary": _summary(session)}
+
+
+def _json_parts(session: Session, limit: int | None) -> Iterator[str]:
+    """The JSON report in pieces, so that it is never held as a whole."""
+    groups, regions = _rows(session, limit)
+    yield "{"
+    for name, items in (("cloneGroups", map(_group, groups)), ("intraClones", map(_region, regions))):
+        yield f'\n  "{name}": ['
+        lead = "\n"
+        for item in items:
+            yield lead + indent(json.dumps(item, indent=2), "    ")
+            lead = ",\n"
+        yield "]," if lead == "\n" else "\n  ],"
+    yield f'\n  "summary": {indent(json.dumps(_summary(session), indent=2), "  ").lstrip()}\n}}\n'
+
+
+def _text_parts(session: Session, limit: int | None, source: bool) -> Iterator[str]:
+    groups, regions = _rows(session, limit)
+    for g in groups:
+        yield f"Clone group #{g.group_index + 1} ({g.size} blocks, {g.avg_similarity * 100:.0f}% similar)\n"
         for b in g.blocks:
-            out.append(f"  {b.path}:{b.start_line}-{b.end_line} {b.name}")
+            yield f"  {b.path}:{b.start_line}-{b.end_line} {b.name}\n"
             if source:
-                out += [f"    {line}" for line in session.code_block(b.block_id).first().source.split("\n")]
-    for r in session.intra_regions().limit(limit).collect():
-        out.append(f"Repeated regions in {r.name} ({r.path}:{r.start_line})")
-        out += [f"  tokens {p.a_start}+{p.a_len} and {p.b_start}+{p.b_len}, {p.similarity * 100:.0f}% similar" for p in r.pairs]
+                yield "".join(f"    {line}\n" for line in session.code_block(b.block_id).first().source.split("\n"))
+    for r in regions:
+        yield f"Repeated regions in {r.name} ({r.path}:{r.start_line})\n"
+        for p in r.pairs:
+            yield f"  tokens {p.a_start}+{p.a_len} and {p.b_start}+{p.b_len}, {p.similarity * 100:.0f}% similar\n"
     s = session.summary().first()
-    out.append(f"{s.files} files, {s.blocks} functions, {s.groups} groups, {s.duplicated_lines} duplicated lines, {s.intra_pairs} repeated regions")
-    return "\n".join(out) + "\n"
+    yield f"{s.files} files, {s.blocks} functions, {s.groups} groups, {s.duplicated_lines} duplicated lines, {s.intra_pairs} repeated regions\n"
+
+
+def text(session: Session, limit: int | None = None, source: bool = False) -> str:
+    return "".join(_text_parts(session, limit, source))
 
 
-def write_report(session: Session, spec: str = "console", limit: int = 1000, source: bool = False) -> None:
+def write_report(session: Session, spec: str = "console", limit: int | None = None, source: bool = False) -> None:
     kind, path = parse_spec(spec)
-    body = json.dumps(document(session, limit), indent=2) + "\n" if kind == "json" else text(session, limit, source)
+    parts = _json_parts(session, limit) if kind == "json" else _text_parts(session, limit, source)
     if path:
         with open(path, "w", encoding="utf-8") as f:
-            f.write(body)
+            f.writelines(parts)
     else:
-        sys.stdout.write(body)
+        sys.stdout.writelines(parts)
 
 
 def write_groups(session: Session, path: str) -> None:
