@@ -133,13 +133,13 @@ def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.changed_blocks(docs, changes).select("block_id").distinct()
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn with the one before it, both of at most 62 tokens: (conv_id, turn, a, b, sa, sb)."""
+def _turns(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Each turn with the one before it, both of at most ``most`` tokens: (conv_id, turn, a, b, sa, sb)."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     rows = C.settle(rows, t=C.prose_tokens(F.col("text")))
     before = Window.partitionBy("conv_id").orderBy("turn")
     rows = rows.select("conv_id", "turn", F.col("t").alias("a"), F.lag("t").over(before).alias("b"))
-    rows = rows.filter((F.size("a") <= 62) & (F.size("b") <= 62))
+    rows = rows.filter(F.col("b").isNotNull() if most is None else (F.size("a") <= most) & (F.size("b") <= most))
     return C.settle(rows, sa=C.structural_ids(F.col("a")), sb=C.structural_ids(F.col("b")))
 
 
@@ -252,7 +252,7 @@ def _lcs_sql(a: str, b: str) -> str:
 
 @query(f"WITH {_TURNS} SELECT conv_id, turn, {_lcs_sql('a', 'b')} AS lcs, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 2.0::DOUBLE * {_lcs_sql('a', 'b')} / (len(a) + len(b)) END, 6) AS similarity FROM pair")
 def lcs_dice_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.settle(_turns(spark, sf_dir), lcs=C.lcs_short(F.col("a"), F.col("b")).cast("bigint"))
+    rows = C.settle(_turns(spark, sf_dir, 62), lcs=C.lcs_short(F.col("a"), F.col("b")).cast("bigint"))
     return rows.select("conv_id", "turn", "lcs", F.round(C.dice(F.col("lcs"), F.size("a"), F.size("b")), 6).alias("similarity"))
 
 
@@ -265,17 +265,28 @@ _CLASS = "list_transform({x}, lambda w: CASE WHEN regexp_matches(w, '^[A-Za-z_]'
     "SELECT conv_id, turn, round(0.7::DOUBLE * s + 0.3::DOUBLE * t, 6) AS similarity FROM sims"
 )
 def blended_similarity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir).filter((F.size("a") > 0) & (F.size("b") > 0))
+    """The blend of turns of at most 62 tokens, as many as its SQL can hold; ``blended_similarity_exact_all`` has no limit."""
+    rows = _turns(spark, sf_dir, 62).filter((F.size("a") > 0) & (F.size("b") > 0))
     rows = C.settle(rows, s=C.lcs_short(F.col("sa"), F.col("sb")), t=C.lcs_short(F.col("a"), F.col("b")))
     of = lambda c: C.dice(F.col(c), F.size("a"), F.size("b"))
     return rows.select("conv_id", "turn", F.round(C.blended(of("s"), of("t"), 0.3), 6).alias("similarity"))
 
 
-@query()
-def blended_similarity_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _blended_turns(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     rows = _turns(spark, sf_dir)
     ids = [C.token_ids(F.col(c)) for c in ("sa", "sb", "a", "b")]
-    return rows.select("conv_id", "turn", F.round(blended_udf(0.3, 0.8, "compat")(*ids), 6).alias("similarity"))
+    return rows.select("conv_id", "turn", F.round(blended_udf(0.3, 0.8, mode)(*ids), 6).alias("similarity"))
+
+
+@query()
+def blended_similarity_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blend of all consecutive turns, of any length."""
+    return _blended_turns(spark, sf_dir, "exact")
+
+
+@query()
+def blended_similarity_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blended_turns(spark, sf_dir, "compat")
 
 
 @query()
