@@ -1,13 +1,23 @@
 """Function-level blocks of a token list.
 
-Where the brace languages keep a function's name is decided by reading backwards
-from an opening brace. ``Back`` is that reader: a position that only moves
-towards the start, with steps over qualifiers, bracketed groups and lists.
+The brace languages are read once, forwards. Every open brace or parenthesis has
+a frame of its own; a frame keeps what its statement has shown so far: the last
+parameter group with the name before it, what came after that group, and the
+last type keyword. When a brace opens, the frame alone says whether the statement
+is a function's head and what its name is.
+
+Defined results: of member initializers in parentheses the last one names the
+constructor's body, while initializers in braces belong to the head; a
+destructor has its class's name; a comment between parameters and body, or a
+group after the parameters (``noexcept(...)``), hides the name; a name within two
+tokens of a type keyword is a type's; an operator's body has no name, an
+initializer's braces are no block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import NamedTuple
 
 from echosieve.languages import tokens as k
@@ -20,181 +30,157 @@ class Block(NamedTuple):
     end: int  # one past the last token
 
 
-class Back:
-    """A backward reading position in a token list."""
+# C++ qualifiers after a parameter list (those of them that are plain names, too), and what a C# constraint clause can hold.
+_QUALIFIERS = frozenset("const noexcept override volatile & &&".split())
+_QUALIFYING_NAMES = frozenset(("final", "noexcept"))
+_CONSTRAINT = frozenset([k.NAME, *", : . < > new class struct cs:null".split()])
 
-    def __init__(self, tokens: list[Token], at: int):
-        self.tokens, self.at = tokens, at
 
-    @property
-    def kind(self) -> str:
-        return self.tokens[self.at].kind
+def _cpp_tail(tail: list[Token]) -> bool:
+    """Qualifiers, and a result type of one name."""
+    kinds = [t.kind for t in tail]
+    if "->" in kinds:
+        at = kinds.index("->")
+        if kinds[at + 1 : at + 2] == [k.NAME]:
+            tail = tail[:at] + tail[at + 2 :]
+    return all(t.kind in _QUALIFIERS or (t.kind == k.NAME and t.text in _QUALIFYING_NAMES) for t in tail)
 
-    @property
-    def text(self) -> str:
-        return self.tokens[self.at].text
 
-    def before(self, n: int = 1) -> str:
-        """Kind of the token ``n`` places before; empty beyond the start."""
-        return self.tokens[self.at - n].kind if self.at >= n else ""
+def _csharp_tail(tail: list[Token]) -> bool:
+    """Nothing, or constraint clauses."""
+    return not tail or (tail[0].kind == "cs:where" and all(t.kind in _CONSTRAINT or t.kind == "cs:where" for t in tail))
 
-    def step(self) -> None:
-        self.at = max(0, self.at - 1)
 
-    def partner(self, inner: str, outer: str) -> int | None:
-        """Place of the ``outer`` that closes, backwards, the group of the ``inner`` here; None if there is none."""
-        depth, at = 1, self.at
-        while at > 0:
-            at -= 1
-            depth += (self.tokens[at].kind == inner) - (self.tokens[at].kind == outer)
-            if depth == 0:
-                return at
-        return None
+@dataclass(frozen=True)
+class BraceLanguage:
+    """How a brace language writes the head of a function."""
 
-    def skip_angles(self) -> None:
-        """Over a group in angle brackets that ends here; an unopened one reaches the start."""
-        if self.kind == ">" and self.at > 0:
-            found = self.partner(">", "<")
-            self.at = 0 if found is None else max(0, found - 1)
-
-    def call(self) -> bool:
-        """To the token before a parameter list that ends here."""
-        found = self.partner(")", "(") if self.kind == ")" else None
-        if not found:
-            return False
-        self.at = found - 1
-        return True
+    joint: str
+    types: frozenset[str]
+    tail: Callable[[list[Token]], bool]
+    accessors: frozenset[str] = frozenset()
+    #: Words whose group after a colon belongs to the head, and the word that starts clauses whose groups do.
+    chained: frozenset[str] = frozenset()
+    clause: str = ""
+    brace_initializers: bool = False
 
 
-# C++ token kinds that may stand around a function's head.
-_TRAILING = frozenset("const noexcept override volatile & &&".split())
-_HEAD = frozenset(
-    "const static inline virtual explicit constexpr consteval auto template typename void int long short unsigned signed char bool float double wchar_t char8_t char16_t char32_t extern friend noexcept".split()
-)
+CPP = BraceLanguage("::", frozenset("class struct enum union".split()), _cpp_tail, brace_initializers=True)
+CSHARP = BraceLanguage(".", frozenset("class struct enum cs:interface".split()), _csharp_tail, frozenset(("cs:get", "cs:set", "cs:init")), frozenset(("cs:base", "this")), "cs:where")
 
 
-def _cpp_qualifiers(b: Back, result_types: bool) -> None:
-    """Over trailing qualifiers and, if asked for, a trailing result type of one name."""
-    while b.at > 0:
-        named = b.kind == k.NAME
-        if b.kind in _TRAILING or (result_types and b.kind == "->") or (named and b.text in ("final", "noexcept")):
-            b.step()
-        elif named and result_types and b.before() == "->":
-            b.at = max(0, b.at - 2)
-        else:
-            return
-
-
-def _cpp_initializers(b: Back) -> None:
-    """Over a constructor's member initializers, if a colon starts them."""
-    if b.kind == ")":
-        return
-    probe = Back(b.tokens, b.at)
-    while probe.at > 0:
-        if probe.kind == ")" or probe.kind == "{":
-            found = probe.partner(")", "(") if probe.kind == ")" else probe.partner("{", "}")
-            if found is None:
-                return
-            probe.at = max(0, found - 1)
-        elif probe.kind in (",", "::", k.NAME):
-            probe.step()
-        else:
-            if probe.kind == ":":
-                b.at = max(0, probe.at - 1)
-            return
+@dataclass
+class _Frame:
+    """What an open bracket holds of its current statement."""
 
+    closer: str
+    #: The bracket's content belongs to the head before it: an initializer's braces, a chained call or a clause's group.
+    part: bool = False
+    name: str = ""
+    tail: list[Token] | None = None  # since the last parameter group; None before the first
+    member: tuple[str, list[Token]] | None = None  # name and tail before a colon, while initializers follow
+    initialized: bool = False  # an initializer's braces came last
+    type_at: int = -3
+    namespace: bool = False
+    angles: list[int] = field(default_factory=list)
+    angle: tuple[int, int] = (-1, -1)  # the last angle bracket closed, and the one it closes
+    last: Token | None = None
 
-def _defines_type(b: Back, types: tuple[str, ...], stops_at: Callable[[str], bool]) -> bool:
-    """Whether the name here belongs to a namespace or type, not to a function."""
-    for at in range(b.at - 1, -1, -1):
-        kind = b.tokens[at].kind
-        if kind == "namespace":
+    def group(self, tokens: list[Token], at: int, language: BraceLanguage) -> bool:
+        """A parenthesis opens at ``at``; whether it is part of the head, not a parameter group."""
+        tail = self.tail or []
+        if tail and ((language.clause and tail[0].kind == language.clause) or (tail[-1].kind in language.chained and [t.kind for t in tail[:-1]] == [":"])):
             return True
-        if kind in types:
-            return b.at - at <= 2
-        if kind in (";", "{", "}") or stops_at(kind):
+        here = at - 1
+        if here == self.angle[0]:
+            here = self.angle[1] - 1
+        self.name = ""
+        if here >= 0 and tokens[here].kind == k.NAME:
+            typed = self.namespace or here - self.type_at <= 2
+            whole = here >= 2 and tokens[here - 1].kind == language.joint and tokens[here - 2].kind == k.NAME
+            self.name = "" if typed else f"{tokens[here - 2].text}{language.joint}{tokens[here].text}" if whole else tokens[here].text
+        elif here >= 0 and tokens[here].kind == "operator":
+            self.name = "operator"
+        return False
+
+    def grouped(self, part: bool, language: BraceLanguage) -> None:
+        """A parenthesis was closed."""
+        self.initialized = False
+        if not part:
+            self.tail = []
+        elif self.tail and self.tail[-1].kind in language.chained:
+            self.tail = []
+
+    def take(self, at: int, token: Token, language: BraceLanguage) -> None:
+        kind = token.kind
+        self.last, self.initialized = token, False
+        if kind == "<":
+            self.angles.append(at)
+        elif kind == ">" and self.angles:
+            self.angle = (at, self.angles.pop())
+        elif kind in language.types:
+            self.type_at = at
+        elif kind == "namespace":
+            self.namespace = True
+        elif kind == ":" and self.tail is not None and self.member is None and language.tail(self.tail):
+            self.member = (self.name, [*self.tail])
+        if self.tail is not None:
+            self.tail.append(token)
+
+    def initializes(self, language: BraceLanguage) -> bool:
+        """Whether braces that open now hold a member's first value."""
+        if not (language.brace_initializers and self.member and self.tail) or self.initialized:
             return False
-    return False
-
-
-def cpp_name(tokens: list[Token], brace: int) -> str:
-    """Name of the function whose body starts at ``brace``; empty if it is none."""
-    if brace == 0:
-        return ""
-    b = Back(tokens, brace - 1)
-    _cpp_qualifiers(b, True)
-    _cpp_initializers(b)
-    _cpp_qualifiers(b, False)
-    if not b.call():
-        return ""
-    b.skip_angles()
-    if b.kind == k.NAME:
-        name = b.text
-        if b.before() == "::" and b.before(2) == k.NAME:
-            name = f"{tokens[b.at - 2].text}::{name}"
-    elif b.kind == "operator":
-        name = "operator"
-    elif b.kind == "~" and b.before() == k.NAME:
-        name = f"~{tokens[b.at - 1].text}"
-    else:
-        return ""
-    return "" if _defines_type(b, ("class", "struct", "enum", "union"), lambda kind: k.is_keyword(kind) and kind not in _HEAD) else name
-
-
-# What a C# constraint clause can hold.
-_CONSTRAINT = frozenset([k.NAME, *", : . new class struct cs:null cs:unchecked ( )".split()])
-
-
-def _csharp_constraints(b: Back) -> None:
-    """Over all ``where`` clauses that end here."""
-    while b.at > 0:
-        probe = Back(b.tokens, b.at)
-        while probe.at > 0 and probe.kind != "cs:where":
-            if probe.kind in _CONSTRAINT:
-                probe.step()
-            elif probe.kind == ">":
-                found = probe.partner(">", "<")
-                if found is None:
-                    return
-                probe.at = max(0, found - 1)
-            else:
-                return
-        if probe.at == 0:
-            return
-        b.at = probe.at - 1
-
-
-def _csharp_chaining(b: Back) -> None:
-    """Over ``: base(...)`` or ``: this(...)``."""
-    found = b.partner(")", "(") if b.kind == ")" else None
-    if found and found >= 2 and b.tokens[found - 1].kind in ("cs:base", "this") and b.tokens[found - 2].kind == ":":
-        b.at = max(0, found - 3)
-
-
-def csharp_name(tokens: list[Token], brace: int) -> str:
-    """Name of the method or accessor whose body starts at ``brace``; empty if it is none."""
-    if brace == 0:
-        return ""
-    b = Back(tokens, brace - 1)
-    if b.kind in ("cs:get", "cs:set", "cs:init"):
-        return b.text
-    _csharp_constraints(b)
-    _csharp_chaining(b)
-    if not b.call():
-        return ""
-    b.skip_angles()
-    if b.kind == k.NAME:
-        name = b.text
-        if b.before() == "." and b.before(2) == k.NAME:
-            name = f"{tokens[b.at - 2].text}.{name}"
-    elif b.kind == "operator":
-        name = "operator"
-    else:
-        return ""
-    return "" if _defines_type(b, ("class", "struct", "enum", "cs:interface"), lambda kind: False) else name
-
-
-def brace_blocks(name_of: Callable[[list[Token], int], str]) -> Callable[[list[Token], Callable[[int, int], int], int], list[Block]]:
+        since = self.tail[len(self.tail) - 1 - [t.kind for t in reversed(self.tail)].index(":") :] if any(t.kind == ":" for t in self.tail) else self.tail
+        return since[-1].kind == k.NAME and all(t.kind in (":", ",", "::", k.NAME) for t in since)
+
+    def named(self, language: BraceLanguage) -> str:
+        """The name of the function whose body opens now; empty if it is none."""
+        if self.last and self.last.kind in language.accessors:
+            return self.last.text
+        if self.tail is None:
+            return ""
+        if self.initialized and self.member:
+            name, tail = self.member
+            return name if language.tail(tail) else ""
+        return self.name if language.tail(self.tail) else ""
+
+
+def body_names(tokens: list[Token], language: BraceLanguage) -> dict[int, str]:
+    """Opening braces of function bodies, with the functions' names."""
+    names: dict[int, str] = {}
+    frames = [_Frame("")]
+    for at, token in enumerate(tokens):
+        here = frames[-1]
+        if token.kind == "(":
+            frames.append(_Frame(")", here.group(tokens, at, language)))
+        elif token.kind == ")":
+            if here.closer == ")":
+                part = frames.pop().part
+                frames[-1].grouped(part, language)
+                frames[-1].last = token
+        elif token.kind == "{":
+            part = here.initializes(language)
+            if not part and (name := here.named(language)):
+                names[at] = name
+            frames.append(_Frame("}", part))
+        elif token.kind == "}":
+            while len(frames) > 1 and frames[-1].closer != "}":
+                frames.pop()
+            if len(frames) > 1:
+                part, closer = frames.pop().part, frames[-1].closer
+                if part:
+                    frames[-1].initialized = True
+                else:
+                    frames[-1] = _Frame(closer, frames[-1].part)
+        elif token.kind == ";":
+            frames[-1] = _Frame(here.closer, here.part)
+        else:
+            here.take(at, token, language)
+    return names
+
+
+def brace_blocks(language: BraceLanguage) -> Callable[[list[Token], Callable[[int, int], int], int], list[Block]]:
     """Finder of named brace groups; ``size`` counts the normalized tokens of a range. A group that is too small is looked into, a taken one isn't."""
 
     def find(tokens: list[Token], size: Callable[[int, int], int], least: int) -> list[Block]:
@@ -206,8 +192,8 @@ def brace_blocks(name_of: Callable[[list[Token], int], str]) -> Callable[[list[T
             elif t.kind == "}" and opened:
                 close[opened.pop()] = i + 1
         out, at = [], 0
-        for i in sorted(close):
-            if i >= at and (name := name_of(tokens, i)) and size(i, close[i]) >= least:
+        for i, name in body_names(tokens, language).items():
+            if i >= at and i in close and size(i, close[i]) >= least:
                 out.append(Block(name, i, close[i]))
                 at = close[i]
         return out

@@ -35,8 +35,8 @@ def register(spec: LanguageSpec) -> None:
     _languages[spec.name] = spec
 
 
-register(LanguageSpec("C++", (".cpp", ".hpp", ".cc", ".cxx", ".h", ".c", ".hxx"), scanners.scan_cpp, blocks.brace_blocks(blocks.cpp_name)))
-register(LanguageSpec("C#", (".cs",), scanners.scan_csharp, blocks.brace_blocks(blocks.csharp_name)))
+register(LanguageSpec("C++", (".cpp", ".hpp", ".cc", ".cxx", ".h", ".c", ".hxx"), scanners.scan_cpp, blocks.brace_blocks(blocks.CPP)))
+register(LanguageSpec("C#", (".cs",), scanners.scan_csharp, blocks.brace_blocks(blocks.CSHARP)))
 register(LanguageSpec("Python", (".py", ".pyw"), scanners.scan_python, blocks.python_blocks, frozenset((k.LINE_COMMENT, k.BLOCK_COMMENT, k.EOF))))
 register(LanguageSpec("prose", (".txt", ".md"), scanners.scan_prose, whole_text))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-EOF, INVALID, NUMBER, STRING, CHAR, NAME, LINE_COMMENT, BLOCK_COMMENT, DIRECTIVE = SPECIAL = ("eof", "invalid", "number", "string", "char", "name", "line-comment", "block-comment", "directive")
+EOF, INVALID, NUMBER, STRING, CHAR, NAME, LINE_COMMENT, BLOCK_COMMENT, DIRECTIVE = SPECIAL = ("eof", "invalid", "number", "string", "char-literal", "name", "line-comment", "block-comment", "directive")
 
 # The keywords and operators of the three languages.
 CPP_KEYWORDS = (
@@ -56,6 +56,7 @@ KINDS = _kinds()
 NUMBER_OF = {kind: i for i, kind in enumerate(KINDS)}
 #: Structural ids of names and literals; all other tokens have their kind's number.
 GENERIC = {NAME: 1000, NUMBER: 1001, STRING: 1002, CHAR: 1003}
+_WORDS = frozenset([*CPP_KEYWORDS, *map(csharp_kind, CSHARP_KEYWORDS), *map(python_kind, PYTHON_KEYWORDS)])
 _MARKS = frozenset([*SINGLE, *PYTHON_SINGLE, *CPP_OPERATORS, *CSHARP_OPERATORS, *PYTHON_OPERATORS])
 
 
@@ -80,8 +81,8 @@ def is_literal(kind: str) -> bool:
 
 
 def is_keyword(kind: str) -> bool:
-    """Shared keywords; a language's own are told by is_csharp and is_python."""
-    return kind in CPP_KEYWORDS
+    """Keywords of any language."""
+    return kind in _WORDS
 
 
 class Token(NamedTuple):

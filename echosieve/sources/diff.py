@@ -39,9 +39,9 @@ def parse_diff(lines: DataFrame, extensions: list[str] | None = None) -> DataFra
     rows = rows.withColumn("stopped", F.max(stop).over(Window.partitionBy("diff_id", "file_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     head = r"^@@ -\S+ \+(\d+)(?:,(\d+))?[ @]"
     hunks = rows.filter(F.col("line").rlike(head) & ~F.col("stopped") & F.coalesce(F.col("path") != "", F.lit(False)))
-    first = F.regexp_extract("line", head, 1).cast("int")
+    first = F.regexp_extract("line", head, 1).try_cast("int")
     length = F.regexp_extract("line", head, 2)
-    count = F.when(length == "", 1).otherwise(F.try_to_number(length, F.lit("9999999999")).cast("int"))
+    count = F.when(length == "", 1).otherwise(length.try_cast("int"))
     hunks = hunks.select("diff_id", "pos", "path", first.alias("start_line"), (first + count - 1).alias("end_line")).filter(F.col("end_line") >= F.col("start_line"))
     if extensions:
         hunks = hunks.filter(C.extension(F.col("path")).isin([e.lower() for e in extensions]))

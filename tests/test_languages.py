@@ -67,6 +67,13 @@ def test_unterminated(language, source, message):
         ("C++", "void v() override { if (x) { y(); } }", ["v"]),
         ("C++", "Foo::~Foo() { x(); }", ["Foo"]),
         ("C++", "Foo::Foo(int a) : b_(a), c_(1) { x(); }", ["c_"]),
+        ("C++", "Foo::Foo(int a) : data{42}, more{a} { x(); }", ["Foo::Foo"]),
+        ("C++", "Foo::Foo(int a) : data(42), more{a} { x(); }", ["Foo::Foo"]),
+        ("C++", "template <typename T> int f<T>(T a) { return a; }", ["f"]),
+        ("C++", "template <class T> struct S { void g(T a) const { a(); } };", ["g"]),
+        ("C++", "auto f() const -> T { return {}; } int x = 1; void g() final { y(); }", ["f", "g"]),
+        ("C++", "void f(int a) // note\n { a; } void g(std::function<void()> h = [](int b) { b; }) { h(); }", ["g"]),
+        ("C++", "} ) void f() { a; }", ["f"]),
         ("C++", "class A { int x; };", []),
         ("C++", "namespace n { enum E { a, b }; }", []),
         ("C++", "void f() { if (a) { while (b) { c(); } } }", ["f"]),
@@ -74,6 +81,9 @@ def test_unterminated(language, source, message):
         ("C++", "void f() { (a; ", []),
         ("C#", "class C { int P { get { return 1; } set { x = value; } } }", ["get", "set"]),
         ("C#", "class C { C(int a) : base(a) { x(); } void I.M() { y(); } }", ["C", "I.M"]),
+        ("C#", "class C { C() : this(0) { x(); } enum E { A, B } interface I { void N(); } }", ["C"]),
+        ("C#", "class C { void P() { items.Select(x => { return x; }); } int Q { init { v = value; } } }", ["P", "init"]),
+        ("C#", "namespace N { record R(int A) { int B; } class D(int a) { int e; } }", ["R"]),
         ("C#", "void M<T>(T t) where T : IA<T>, new() { z(); }", ["M"]),
         ("Python", "async def f(a=(1)):\n    return a\n\n@d\ndef g():\n    def inner():\n        pass\n    return inner\n", ["f", "g"]),
         ("Python", "class A:\n    def m(self) -> int: return 1\n", ["m"]),
@@ -108,6 +118,14 @@ def test_normalized_ids():
     assert [i for _, i in normalize(one, spec)] == list(range(7))
 
 
+def test_char_keyword_and_literal_differ():
+    spec = registry.by_name("C++")
+    word, literal = (spec.tokenize(s) for s in (b"char c;", b"'a' c;"))
+    assert [i for i, _ in normalize(word, spec)] == [k.NUMBER_OF["char"], 1000, k.NUMBER_OF[";"]]
+    assert [i for i, _ in normalize(literal, spec)] == [1003, 1000, k.NUMBER_OF[";"]]
+    assert normalize(word, spec, True) != normalize(spec.tokenize(b"'char' c;"), spec, True)
+
+
 def test_registry():
     assert registry.by_extension(".HPP").name == "C++"
     assert registry.by_path("a/b.pyw").name == "Python"
@@ -116,6 +134,7 @@ def test_registry():
 
 
 def test_kind_predicates():
-    assert k.is_keyword("while") and not k.is_keyword("cs:foreach")
+    assert k.is_keyword("while") and k.is_keyword("cs:foreach") and k.is_keyword("py:def") and k.is_keyword("char") and not k.is_keyword(k.CHAR)
     assert k.is_csharp("??") and k.is_python(":=") and k.is_comment(k.LINE_COMMENT) and k.is_literal(k.CHAR) and k.is_operator("->*")
-    assert len(set(k.KINDS)) == len(k.KINDS) and not set(k.GENERIC.values()) & set(k.NUMBER_OF.values())
+    assert not k.is_literal("char") and not set(k.SPECIAL) & k._WORDS
+    assert len(k.KINDS) == 228 and len(set(k.KINDS)) == len(k.KINDS) and not set(k.GENERIC.values()) & set(k.NUMBER_OF.values())
