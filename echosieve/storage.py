@@ -42,6 +42,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """Write ``df`` in ``buckets`` files by the hash of ``by``; the scan returned is grouped or joined by it without a shuffle.
+
+    The catalog's entry is only needed to tell the scan of the buckets and is dropped at once; the files are scratch.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"echosieve_{uuid.uuid4().hex}"
+    try:
+        df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def drop_scratch(keep: int = 0) -> None:
     """Delete intermediate tables written so far, but for the last ``keep``.
 
