@@ -38,6 +38,11 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def as_strings(texts: list[bytes]) -> pa.Array:
+    """Texts as a string column; bytes that aren't valid UTF-8 stay as they are."""
+    return pa.array(texts, pa.binary()).view(pa.string())
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:

@@ -1,24 +1,36 @@
 """Removal of repeated word windows with a count-min prefilter.
 
-First pass: every partition counts its windows in a count-min sketch of two rows
-of cells. Sketches are sent by segments of cells, each as the gaps between its
-cells in use, and segments merge by addition. Counts are never underestimated,
-so a window whose two cells aren't both counted twice is unique.
-
-Second pass: the other windows alone are grouped exactly, by an 80-bit hash, and
-those behind the smallest document of their group mark their words; marked words
-go. Windows so frequent that their cell holds over 65,536 windows and a 2**20th of
-all (at most 2**20 cells) don't meet in one task: their smallest documents are
-pre-aggregated where they are read, and the few results are broadcast.
-
-The sketch has ``cells_per_word`` cells a row for every 8 bytes of the corpus, up to
-``max_cells`` a row (2**28: 32 MB a row sent to the workers). Beyond that bound
-more windows reach the exact pass; no window is lost, whatever the size.
+Documents are dealt once to chunks of about ``chunk_bytes`` and written in buckets of
+chunks, so every later pass finds a chunk and what is known about it without
+another shuffle of the texts.
+
+First pass: every chunk counts its windows in a count-min sketch of two rows of
+cells and sends the cells that it uses, as the gaps between them, to the tasks
+that own the segments of the sketch. Segments merge by addition; the answer to a
+chunk is one bit for each cell that it sent: counted once or more often. Counts
+are never underestimated, so a window whose two cells aren't both counted more
+often is unique. The sketch is never gathered: it has ``cells_per_word`` cells a
+row for every 8 bytes of the corpus at every size, in segments of bounded size.
+
+Second pass: of the other windows a chunk sends each once, by an 80-bit hash, with
+the smallest document that has it there. The tasks that own the hashes find the
+smallest document of all, and answer with one bit for each window: whether an
+earlier document has it elsewhere. A window of a third of all documents is thus one
+row a chunk. Third pass: windows so marked, and those behind the smallest document
+of their own chunk, mark their words; marked words go.
+
+Work and bytes sent are in proportion to the windows; a task holds one chunk, one
+segment or one bucket of hashes, and one text at least. Nothing is broadcast or
+collected. Two different windows among m that pass the prefilter are taken for
+one with a chance of about m**2 / 2**81 in all, plus that of equal 64-bit hashes of
+two of v different words, v**2 / 2**65.
 
 Windows are judged on the input. Defined results: null and empty texts have no
-words; texts shorter than a window lose nothing. Rows with the same id are one
-document: they don't remove from each other. A null id comes after all others.
-Repeated rows are returned each time. Other columns pass through.
+words; texts shorter than a window lose nothing. Words are bytes, so a text need
+not be valid UTF-8. Rows with the same id are one document: they don't remove from
+each other. A null id comes after all others. Repeated rows are returned each
+time. Other columns pass through, whatever their names; ``es_n_words`` and
+``es_n_removed`` are replaced if the input has them.
 """
 
 from __future__ import annotations
@@ -32,16 +44,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echosieve.llm.common import chunks, text_bytes, word_hashes
+from echosieve.llm.common import as_strings, chunks, text_bytes, word_hashes
+from echosieve.storage import bucketed
+
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_SEGMENT = 1 << 16
 _LAST = 2**63 - 1
 #: Bytes of text for each word, about; it only sizes the sketch.
 _BYTES = 8
-#: A cell is frequent from this many windows on (a small part of a bucket), and from a share of all windows that at most so many cells can have.
-_HOT_LEAST, _HOT_CELLS = 1 << 16, 1 << 20
-#: Windows of the corpus for each bucket of the exact pass.
-_BUCKET_WINDOWS = 1 << 22
+#: Windows of the corpus for each segment of the sketch, and for each bucket of the exact pass.
+_SEGMENT_WINDOWS, _BUCKET_WINDOWS = 1 << 21, 1 << 22
+#: Bytes of text for each file of the dealt documents, and texts of so many bytes are split to words at once.
+_FILE_BYTES, _AT_ONCE = 1 << 27, 4 << 20
 
 
 def _final(h: np.ndarray) -> np.ndarray:
@@ -85,344 +98,253 @@ def windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return a, b, doc[:n][whole], place[:n][whole]
 
 
-def _cells(a: np.ndarray, b: np.ndarray, cells: int) -> list[np.ndarray]:
-    return [(v >> np.uint64(8)) % np.uint64(cells) for v in (a, b)]
-
-
-def _gaps(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gaps as bytes, 255 adding up with what follows, and where each gap's bytes end."""
-    end = np.cumsum(d // 255 + 1)
-    out = np.full(int(end[-1]) if len(end) else 0, 255, np.uint8)
-    out[end - 1] = d % 255
-    return out, end
+def _gaps_width(mean: float) -> int:
+    return 1 if mean < 100 else 2 if mean < 25_000 else 4
 
 
 def _steps(ascending: np.ndarray) -> bytes:
-    return _gaps(np.diff(ascending.astype(np.int64), prepend=0))[0].tobytes()
+    """Ascending numbers as gaps of 1, 2 or 4 bytes; the largest value of a gap adds up with what follows."""
+    d = np.diff(ascending.astype(np.int64), prepend=0)
+    width = _gaps_width((int(ascending[-1]) + 1) / len(ascending)) if len(ascending) else 1
+    top = 256**width - 1
+    end = np.cumsum(d // top + 1)
+    out = np.full(int(end[-1]) if len(end) else 0, top, f"<u{width}")
+    out[end - 1] = d % top
+    return bytes([width]) + out.tobytes()
 
 
 def _ids(gaps: bytes) -> np.ndarray:
-    g = np.frombuffer(gaps, np.uint8)
-    return np.cumsum(g, dtype=np.int64)[g < 255]
-
-
-def _sketch(size: int, cells: int, at_once: int = 6 << 20):
-    def send(row: int, cell: np.ndarray) -> pa.RecordBatch:
-        used, n = np.unique(cell, return_counts=True)
-        segment, local = used // _SEGMENT, used % _SEGMENT
-        cut = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True])))
-        pieces = list(zip(cut, cut[1:], strict=False))
-        again = [np.flatnonzero(n[x:y] > 1) for x, y in pieces]
-        return pa.RecordBatch.from_pydict(
-            {
-                "segment": pa.array(segment[cut[:-1]].astype(np.int64) * 2 + row),
-                "used": pa.array([_steps(local[x:y]) for x, y in pieces], pa.binary()),
-                "again": pa.array([np.stack((k, n[x:y][k])).astype("<u4").tobytes() for k, (x, y) in zip(again, pieces, strict=True)], pa.binary()),
-            }
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        count = 0
-        for batch in chunks(batches):
-            a, b, _, _ = windows(text_bytes(batch.column("text")), size)
-            if len(a):
-                held.append([c.astype(np.uint32) for c in _cells(a, b, cells)])
-                count += len(a)
-            if count >= at_once:
-                yield from (send(row, np.concatenate(v)) for row, v in enumerate(zip(*held, strict=True)))
-                held, count = [], 0
-        if held:
-            yield from (send(row, np.concatenate(v)) for row, v in enumerate(zip(*held, strict=True)))
-
-    return run
+    width = gaps[0]
+    g = np.frombuffer(gaps, f"<u{width}", offset=1) if len(gaps) > 1 else np.zeros(0, np.uint8)
+    return np.cumsum(g, dtype=np.int64)[g < 256**width - 1]
 
 
-def _merge(hot: int):
-    """For each segment a bit for each cell, whether it was counted twice, and the cells counted ``hot`` times. The rows of a segment follow each other."""
+class Sketch:
+    """The shape of the count-min sketch: two rows of cells, in segments."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, count = None, np.zeros(_SEGMENT, np.int64)
+    def __init__(self, words: int, cells_per_word: int, parts: int):
+        self.segments = max(parts, -(-words // _SEGMENT_WINDOWS))
+        self.width = max(1 << 10, -(-cells_per_word * words // self.segments))
+        self.cells = self.segments * self.width
 
-        def done() -> pa.RecordBatch:
-            bits = np.packbits(count > 1, bitorder="little").tobytes()
-            return pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int64()), "bits": pa.array([bits], pa.binary()), "hot": pa.array([np.flatnonzero(count >= hot)], pa.list_(pa.int64()))})
+    def used(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cells that windows use, ascending; the cell of each window; how often each is used; where segments start among them, and the end."""
+        cell, at, n = np.unique((h >> np.uint64(8)) % np.uint64(self.cells), return_inverse=True, return_counts=True)
+        segment = cell // np.uint64(self.width)
+        cut = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True]))) if len(cell) else np.zeros(1, np.int64)
+        return cell, at, n, cut
 
-        for batch in batches:
-            for segment, used, again in zip(*(batch.column(c).to_pylist() for c in ("segment", "used", "again")), strict=True):
-                if segment != now:
-                    if now is not None:
-                        yield done()
-                    now, count = segment, np.zeros(_SEGMENT, np.int64)
-                ids = _ids(used)
-                count[ids] += 1
-                k, n = np.frombuffer(again, "<u4").reshape(2, -1)
-                count[ids[k]] += n.astype(np.int64) - 1
-        if now is not None:
-            yield done()
 
-    return run
+def _cut(part: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values of ascending numbers."""
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
+    return list(zip(cut, cut[1:], strict=False))
 
 
-class Repeated:
-    """The merged sketch: for each row of cells those counted twice or more; of the first row the most frequent cells."""
+def _chunk_windows(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first hash, second hash, row of the table, place) of all windows of a chunk; few texts are split to words at once."""
+    found, before = [], 0
+    for batch in chunks(table.to_batches(), limit=_AT_ONCE):
+        a, b, doc, place = windows(text_bytes(batch.column("text")), size)
+        found.append((a, b, (doc + before).astype(np.int32), place.astype(np.int32)))
+        before += batch.num_rows
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
-    def __init__(self, cells: int, windows: int):
-        self.cells, self.windows = cells, windows
-        self.bits = [np.zeros(-(-cells // _SEGMENT) * _SEGMENT // 8, np.uint8) for _ in range(2)]
-        self.hot = np.zeros(0, np.int64)
-        #: exact keys of the frequent windows, and their smallest documents
-        self.known = np.zeros(0, _KEY)
-        self.first = np.zeros(0, np.int64)
 
-    def put(self, segment: int, bits: bytes) -> None:
-        at = segment // 2 * _SEGMENT // 8
-        self.bits[segment % 2][at : at + _SEGMENT // 8] = np.frombuffer(bits, np.uint8)
+_CELLS = pa.schema([("segment", pa.int64()), ("chunk", pa.int32()), ("used", pa.binary()), ("again", pa.binary())])
+_MASKS = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("part", pa.int64()), ("bits", pa.binary())])
+_KEYS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())])
 
-    def maybe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.ones(len(a), bool)
-        for bits, cell in zip(self.bits, _cells(a, b, self.cells), strict=True):
-            out &= (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return out
 
-    def frequent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.isin(_cells(a, b, self.cells)[0].astype(np.int64), self.hot) if len(self.hot) else np.zeros(len(a), bool)
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-_KEY = np.dtype([("a", "<i8"), ("b", "<u2")])
+def _count(size: int, sketch: Sketch):
+    """The cells of a chunk, by segment; the kind of row of the sketch is part of the segment's number."""
 
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = []
+        for kind, h in enumerate(_chunk_windows(table, size)[:2]):
+            cell, _, n, cut = sketch.used(h)
+            for x, y in zip(cut, cut[1:], strict=False):
+                segment = int(cell[x]) // sketch.width
+                again = np.flatnonzero(n[x:y] > 1)
+                local = (cell[x:y] - np.uint64(segment * sketch.width)).astype(np.int64)
+                rows.append({"segment": 2 * segment + kind, "chunk": key[0].as_py(), "used": _steps(local), "again": np.stack((again, n[x:y][again])).astype("<u4").tobytes()})
+        return pa.Table.from_pylist(rows, _CELLS)
 
-def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(a), _KEY)
-    out["a"], out["b"] = a.view(np.int64), (b >> np.uint64(48)).astype(np.uint16)
-    return out
-
+    return run
 
-def prefilter(docs: DataFrame, size: int, cells_per_word: int, max_cells: int) -> Repeated:
-    """The sketch of the windows of ``docs``, which must be cheap to read again."""
-    n = (docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // _BYTES + 1
-    cells = max(_SEGMENT, min(max_cells, cells_per_word * n))
-    parts = docs.select("text").mapInArrow(_sketch(size, cells), "segment long, used binary, again binary")
-    hot = max(_HOT_LEAST, -(-n // _HOT_CELLS))
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge(hot), "segment long, bits binary, hot array<bigint>")
-    out, found = Repeated(cells, n), [np.zeros(0, np.int64)]
-    for batch in merged.toArrow().to_batches():
-        for segment, bits, often in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            out.put(segment, bits)
-            if segment % 2 == 0 and often:
-                found.append(np.asarray(often, np.int64) + segment // 2 * _SEGMENT)
-    out.hot = np.sort(np.concatenate(found))
-    return out
 
+def _merge(width: int):
+    """For each chunk a bit for each cell that it sent: whether that was counted more than once. The rows of a segment follow each other."""
 
-def _frequent(held, size: int):
-    """Smallest document of each frequent window, as far as a chunk of texts knows."""
+    def done(segment: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(width, np.int32)
+        for _, used, again in held:
+            ids = _ids(used)
+            count[ids] += 1
+            k, n = np.frombuffer(again, "<u4").reshape(2, -1)
+            count[ids[k]] += n.astype(np.int32) - 1
+        for x in range(0, len(held), 256):
+            rows = [{"chunk": chunk, "kind": segment % 2, "part": segment // 2, "bits": np.packbits(count[_ids(used)] > 1).tobytes()} for chunk, used, _ in held[x : x + 256]]
+            yield pa.RecordBatch.from_pylist(rows, _MASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            a, b, doc, _ = windows(text_bytes(batch.column("text")), size)
-            some = held.value.maybe(a, b)
-            a, b, doc = a[some], b[some], doc[some]
-            some = held.value.frequent(a, b)
-            keys, ids = _keys(a[some], b[some]), batch.column("es_id").to_numpy()[doc[some]]
-            order = np.lexsort((ids, keys["b"], keys["a"]))
-            keys, ids = keys[order], ids[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(keys["a"][first]), "b": pa.array(keys["b"][first].astype(np.int32)), "es_id": pa.array(ids[first])})
+        now, held = None, []
+        for batch in batches:
+            for segment, chunk, used, again in zip(*(batch.column(c).to_pylist() for c in _CELLS.names), strict=True):
+                if segment != now and held:
+                    yield from done(now, held)
+                    held = []
+                now = segment
+                held.append((chunk, used, again))
+        if held:
+            yield from done(now, held)
 
     return run
 
 
-_ENTRY = np.dtype([("id", "<i8"), ("hash", "<i4"), ("place", "<i4")])
-
+def _bits(known: pa.Table, kind: int) -> dict[int, np.ndarray]:
+    rows = zip(*(known.column(c).to_pylist() for c in ("kind", "part", "bits")), strict=True)
+    return {part: np.frombuffer(bits, np.uint8) for k, part, bits in rows if k == kind}
 
-def _packed(at: np.ndarray, starts: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> dict[str, bytes]:
-    """Word positions ``at`` (ascending) of a chunk of texts, and the texts that they fall in: first word, id, hash."""
-    doc = np.unique(np.searchsorted(starts, at, "right") - 1)
-    table = np.stack([np.diff(starts[doc], prepend=0), np.diff(ids[doc], prepend=0), marks[doc].astype(np.int64)]).astype("<i8")
-    return {"at": _steps(at), "texts": zlib.compress(table.tobytes(), 1)}
 
-
-def _unpacked(at: bytes, texts: bytes) -> np.ndarray:
-    pos = _ids(at)
-    table = np.frombuffer(zlib.decompress(texts), "<i8").reshape(3, -1)
-    starts, ids = np.cumsum(table[0]), np.cumsum(table[1])
-    doc = np.searchsorted(starts, pos, "right") - 1
-    out = np.zeros(len(pos), _ENTRY)
-    out["id"], out["hash"], out["place"] = ids[doc], table[2][doc], pos - starts[doc]
+def _maybe(a: np.ndarray, b: np.ndarray, sketch: Sketch, known: pa.Table) -> np.ndarray:
+    """Which windows of a chunk the sketch estimates as repeated."""
+    out = np.ones(len(a), bool)
+    for kind, h in enumerate((a, b)):
+        bits = _bits(known, kind)
+        cell, at, _, cut = sketch.used(h)
+        more = [np.unpackbits(bits[int(cell[x]) // sketch.width], count=y - x).astype(bool) for x, y in zip(cut, cut[1:], strict=False)]
+        if more:
+            out &= np.concatenate(more)[at]
     return out
 
 
-def _candidates(held, size: int, buckets: int):
-    """Windows that may repeat, by bucket of their hash; of the frequent ones those that do, without a key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            sketch = held.value
-            texts = text_bytes(batch.column("text"))
-            a, b, doc, place = windows(texts, size)
-            some = sketch.maybe(a, b)
-            a, b, doc, place = a[some], b[some], doc[some], place[some]
-            ids, marks = batch.column("es_id").to_numpy(), batch.column("es_hash").to_numpy()
-            lengths = np.array([len(x) for x in texts], np.int64)  # at least the number of words
-            starts = np.cumsum(lengths) - lengths
-            at = starts[doc] + place
-            keys, sure, unsure = _keys(a, b), np.zeros(len(a), bool), np.ones(len(a), bool)
-            if len(sketch.known):
-                found = np.minimum(np.searchsorted(sketch.known, keys), len(sketch.known) - 1)
-                known = sketch.known[found] == keys
-                sure, unsure = known & (ids[doc] > sketch.first[found]), ~known
-            rows = []
-            bucket = (a >> np.uint64(32)) % np.uint64(buckets)
-            for flag, own in ((False, unsure), (True, sure)):
-                where = np.flatnonzero(own)
-                part = (bucket[where] if not flag else at[where].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                where, part = where[order], part[order]
-                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
-                for x, y in zip(cut, cut[1:], strict=False):
-                    w = where[x:y]
-                    key = b"" if flag else keys["a"][w].tobytes() + keys["b"][w].astype("<u2").tobytes()
-                    rows.append({"bucket": int(part[x]), "keys": key, "sure": flag, **_packed(at[w], starts, ids, marks)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("at", pa.binary()), ("texts", pa.binary()), ("sure", pa.bool_())]))
+class Candidates:
+    """The windows of a chunk that may be repeated: each once, by bucket, with the smallest document of the chunk that has it."""
+
+    def __init__(self, table: pa.Table, known: pa.Table, size: int, sketch: Sketch, buckets: int):
+        a, b, doc, place = _chunk_windows(table, size)
+        some = _maybe(a, b, sketch, known)
+        a, b, self.doc, self.place = a[some], (b[some] >> np.uint64(48)).astype(np.uint16), doc[some], place[some]
+        self.id = table.column("id").to_numpy()[self.doc]
+        bucket = ((a >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.id, b, a, bucket))
+        a, b, bucket = a[order], b[order], bucket[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        self.a, self.b, self.bucket, self.least = a[new], b[new], bucket[new], self.id[order][new]
+        #: the number of each window's distinct one
+        self.of = np.empty(len(a), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+
+def _send(size: int, sketch: Sketch, buckets: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
+        c = Candidates(table, known, size, sketch, buckets)
+        rows = []
+        for x, y in _cut(c.bucket):
+            ids, at = np.unique(c.least[x:y], return_inverse=True)
+            keys = c.a[x:y].tobytes() + c.b[x:y].tobytes()
+            rows.append({"bucket": int(c.bucket[x]), "chunk": key[0].as_py(), "keys": keys, "ids": zlib.compress(np.diff(ids, prepend=0).tobytes(), 1), "at": at.astype("<u2" if len(ids) <= 1 << 16 else "<u4").tobytes()})
+        return pa.Table.from_pylist(rows, _KEYS)
 
     return run
 
 
-def _by_document(entries: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
-    """First entry of each document in sorted ``entries``, their places as gaps that start anew with each document, and where a document's bytes end."""
-    new = np.concatenate(([True], (entries["id"][1:] != entries["id"][:-1]) | (entries["hash"][1:] != entries["hash"][:-1])))
-    place = entries["place"].astype(np.int64)
-    data, end = _gaps(np.where(new, place, np.diff(place, prepend=0)))
-    first = np.flatnonzero(new)
-    return first, data.tobytes(), end[np.append(first[1:], len(entries)) - 1]
-
-
-def _marks(entries: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Marked places for each part of the documents."""
-    own = (_final(entries["id"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((entries["place"], entries["hash"], entries["id"], own))
-    entries, own = entries[order], own[order]
-    cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
-    rows = []
-    for x, y in zip(cut, cut[1:], strict=False):
-        first, data, end = _by_document(entries[x:y])
-        head = entries[x:y][first]
-        table = np.stack([np.diff(head["id"], prepend=0), head["hash"].astype(np.int64), np.diff(end, prepend=0)]).astype("<i8")
-        rows.append({"part": int(own[x]), "places": data, "texts": zlib.compress(table.tobytes(), 1)})
-    return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("places", pa.binary()), ("texts", pa.binary())]))
+def _elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk a bit for each window that it sent: whether a smaller document elsewhere has it. The rows of a bucket follow each other."""
 
-
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All places of each document. The rows of a part follow each other."""
-
-    def done(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if held:
-            entries = np.sort(np.concatenate(held), order=("id", "hash", "place"))
-            first, data, end = _by_document(entries)
-            blobs = [data[x:y] for x, y in zip(np.concatenate(([0], end[:-1])), end, strict=True)]
-            yield pa.RecordBatch.from_pydict({"es_id": pa.array(entries["id"][first]), "es_hash": pa.array(entries["hash"][first]), "es_places": pa.array(blobs, pa.binary())})
+    def done(bucket: int, held: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(keys) // 10 for _, keys, _, _ in held]
+        a = np.concatenate([np.frombuffer(keys, "<u8", n) for (_, keys, _, _), n in zip(held, sizes, strict=True)])
+        b = np.concatenate([np.frombuffer(keys, "<u2", n, 8 * n) for (_, keys, _, _), n in zip(held, sizes, strict=True)])
+        least = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(ids), "<i8"))[np.frombuffer(at, f"<u{len(at) // n}")] for (_, _, ids, at), n in zip(held, sizes, strict=True)])
+        order = np.lexsort((least, b, a))
+        a, b, least = a[order], b[order], least[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        behind = np.empty(len(a), bool)
+        behind[order] = least > least[new][np.cumsum(new) - 1]
+        ends = np.cumsum(sizes)
+        rows = [{"chunk": chunk, "kind": 2, "part": bucket, "bits": np.packbits(behind[end - n : end]).tobytes()} for (chunk, _, _, _), n, end in zip(held, sizes, ends, strict=True) if behind[end - n : end].any()]
+        yield pa.RecordBatch.from_pylist(rows, _MASKS)
 
     now, held = None, []
     for batch in batches:
-        for part, places, texts in zip(*(batch.column(c).to_pylist() for c in ("part", "places", "texts")), strict=True):
-            if part != now:
-                yield from done(held)
-                now, held = part, []
-            table = np.frombuffer(zlib.decompress(texts), "<i8").reshape(3, -1)
-            g = np.frombuffer(places, np.uint8)
-            last = np.flatnonzero(g < 255)
-            size = table[2]
-            doc = np.searchsorted(np.cumsum(size), last, "right")
-            total = np.cumsum(g, dtype=np.int64)
-            before = np.concatenate(([0], total))[(np.cumsum(size) - size)[doc]]
-            entry = np.zeros(len(last), _ENTRY)
-            entry["id"], entry["hash"], entry["place"] = np.cumsum(table[0])[doc], table[1][doc], total[last] - before
-            held.append(entry)
-    yield from done(held)
-
-
-def _behind_first(parts: int):
-    """Of each bucket the entries that are sure or behind the first document of their window. The rows of a bucket follow each other."""
-
-    def done(keys: list[np.ndarray], entries: list[np.ndarray], sure: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        out = list(sure)
-        if keys:
-            key, entry = np.concatenate(keys), np.concatenate(entries)
-            order = np.lexsort((entry["id"], key["b"], key["a"]))
-            key, entry = key[order], entry[order]
-            start = np.concatenate(([True], key[1:] != key[:-1]))
-            first = entry["id"][start][np.cumsum(start) - 1]
-            out.append(entry[entry["id"] > first])
-        gone = np.concatenate(out) if out else np.zeros(0, _ENTRY)
-        if len(gone):
-            yield _marks(gone, parts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, entries, sure = None, [], [], []
-        for batch in batches:
-            for bucket, key, at, texts, flag in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "at", "texts", "sure")), strict=True):
-                if bucket != now:
-                    yield from done(keys, entries, sure)
-                    now, keys, entries, sure = bucket, [], [], []
-                entry = _unpacked(at, texts)
-                if flag:
-                    sure.append(entry)
-                else:
-                    own = np.zeros(len(entry), _KEY)
-                    own["a"], own["b"] = np.frombuffer(key, "<i8", len(entry)), np.frombuffer(key, "<u2", len(entry), 8 * len(entry))
-                    keys.append(own)
-                    entries.append(entry)
-        yield from done(keys, entries, sure)
-
-    return run
-
-
-def _remove(size: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            texts, total, gone = [], [], []
-            for text, places in zip(text_bytes(batch.column("text")), batch.column("es_places").to_pylist(), strict=True):
+        for bucket, chunk, keys, ids, at in zip(*(batch.column(c).to_pylist() for c in _KEYS.names), strict=True):
+            if bucket != now and held:
+                yield from done(now, held)
+                held = []
+            now = bucket
+            held.append((chunk, keys, ids, at))
+    if held:
+        yield from done(now, held)
+
+
+def _remove(size: int, sketch: Sketch, buckets: int):
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        c = Candidates(table, known, size, sketch, buckets)
+        behind = np.zeros(len(c.a), bool)
+        bits = _bits(known, 2)
+        for x, y in _cut(c.bucket):
+            if (found := bits.get(int(c.bucket[x]))) is not None:
+                behind[x:y] = np.unpackbits(found, count=y - x)
+        gone = behind[c.of] | (c.id > c.least[c.of])
+        doc, place = c.doc[gone], c.place[gone]
+        order = np.argsort(doc, kind="stable")
+        doc, place = doc[order], place[order]
+        first = np.searchsorted(doc, np.arange(table.num_rows + 1))
+        texts, total, lost, at = [], [], [], 0
+        for batch in chunks(table.to_batches(), limit=_AT_ONCE):
+            for text in text_bytes(batch.column("text")):
                 words = text.split()
                 total.append(len(words))
-                if places:
+                own = place[first[at] : first[at + 1]]
+                at += 1
+                if len(own):
                     marks = np.zeros(len(words) + 1, np.int64)
-                    at = _ids(places)
-                    np.add.at(marks, at, 1)
-                    np.add.at(marks, at + size, -1)
+                    np.add.at(marks, own, 1)
+                    np.add.at(marks, own + size, -1)
                     keep = np.cumsum(marks)[:-1] == 0
-                    gone.append(int(len(words) - keep.sum()))
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                else:
-                    gone.append(0)
+                lost.append(total[-1] - len(words))
                 texts.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "text", "es_n_words", "es_n_removed"]
-            )
+        return pa.Table.from_arrays([table.column("row"), as_strings(texts), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], ["row", "text", "n_words", "n_removed"])
 
     return run
 
 
-def drop_repeated_windows(docs: DataFrame, size: int = 13, cells_per_word: int = 4, max_cells: int = 1 << 28) -> DataFrame:
-    """``docs`` (with ``doc_id`` and ``text``), ``text`` as its kept words joined by spaces, and ``es_n_words`` and ``es_n_removed``."""
+def dealt(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]:
+    """``docs`` as (chunk, id, text, row) in buckets of chunks, the number of buckets, and about how many words there are."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({"es_id": F.coalesce("doc_id", F.lit(_LAST)).cast("long"), "es_hash": F.hash("text")})
-    texts = keyed.select("text", "es_id", "es_hash")
-    sketch = prefilter(docs.select("text"), size, cells_per_word, max_cells)
-    if len(sketch.hot):
-        held = spark.sparkContext.broadcast(sketch)
-        often = texts.mapInArrow(_frequent(held, size), "a long, b int, es_id long").groupBy("a", "b").agg(F.min("es_id").alias("first")).toArrow()
-        known = np.zeros(often.num_rows, _KEY)
-        known["a"], known["b"] = often.column("a").to_numpy(), often.column("b").to_numpy()
-        order = np.argsort(known, order=("a", "b"))
-        sketch.known, sketch.first = known[order], often.column("first").to_numpy()[order]
-    held = spark.sparkContext.broadcast(sketch)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sketch.windows // _BUCKET_WINDOWS))
-    found = texts.mapInArrow(_candidates(held, size, buckets), "bucket long, keys binary, at binary, texts binary, sure boolean")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_behind_first(parts), "part long, places binary, texts binary")
-    places = marked.repartition("part").sortWithinPartitions("part").mapInArrow(_collect, "es_id long, es_hash int, es_places binary")
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _FILE_BYTES)
+    many = max(2 * files, total // chunk_bytes)
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    # rows without an id are dealt one by one, so copies among them don't meet in one chunk
+    deal = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.pmod(deal, F.lit(many)).cast("int").alias("chunk"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), "text", own)
+    return bucketed(rows, "window-texts", "chunk", files), files, total // _BYTES + 1
+
+
+def drop_repeated_windows(docs: DataFrame, size: int = 13, cells_per_word: int = 4, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` (with ``doc_id`` and ``text``), ``text`` as its kept words joined by spaces, and ``es_n_words`` and ``es_n_removed``."""
+    rows, files, n = dealt(docs, chunk_bytes)
+    sketch = Sketch(n, cells_per_word, files)
+    buckets = max(files, -(-n // _BUCKET_WINDOWS))
+    texts = rows.select("chunk", "id", "text").groupBy("chunk")
+    cells = rows.select("chunk", "text").groupBy("chunk").applyInArrow(_count(size, sketch), _ddl(_CELLS))
+    cells = cells.repartition("segment").sortWithinPartitions("segment")
+    masks = bucketed(cells.mapInArrow(_merge(sketch.width), _ddl(_MASKS)), "window-masks", "chunk", files)
+    keys = texts.cogroup(masks.groupBy("chunk")).applyInArrow(_send(size, sketch, buckets), _ddl(_KEYS))
+    found = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_elsewhere, _ddl(_MASKS))
+    known = bucketed(masks.unionByName(found), "window-answers", "chunk", files)
+    out = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    kept = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_remove(size, sketch, buckets), out)
     names = [c for c in docs.columns if c not in ("text", "es_n_words", "es_n_removed")]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("text", T.StringType()), T.StructField("es_n_words", T.LongType()), T.StructField("es_n_removed", T.LongType())])
-    joined = keyed.join(places, ["es_id", "es_hash"], "left").select(*names, "text", "es_places")
-    return joined.mapInArrow(_remove(size, names), schema)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in names), "text", F.col("n_words").alias("es_n_words"), F.col("n_removed").alias("es_n_removed"))

@@ -11,6 +11,8 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -397,12 +399,10 @@ def expected_windows(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "least", "cells"), [(13, 256, 1 << 28), (3, 256, 1 << 28), (5, 3, 1 << 28), (5, 256, 1 << 10)])
-def test_windows(docs, monkeypatch, size, least, cells):
-    monkeypatch.setattr(substring_dedup, "_HOT_LEAST", least)
-    monkeypatch.setattr(substring_dedup, "_HOT_CELLS", 1 << 40)
+@pytest.mark.parametrize(("size", "chunk", "cells"), [(13, 8 << 20, 4), (3, 1000, 4), (5, 20_000, 4), (5, 1 << 20, 1)])
+def test_windows(docs, size, chunk, cells):
     want = expected_windows(DOCS, size)
-    rows = substring_dedup.drop_repeated_windows(docs, size, max_cells=cells).collect()
+    rows = substring_dedup.drop_repeated_windows(docs, size, cells, chunk_bytes=chunk).collect()
     assert {r.doc_id: (r.es_n_words, r.es_n_removed, r.text) for r in rows} == want
     assert sum(x[1] for x in want.values()) > 0
 
@@ -410,6 +410,29 @@ def test_windows(docs, monkeypatch, size, least, cells):
 def test_gaps():
     for x in ([], [0], [0, 1, 255, 256, 1000, 70000], [254, 255, 510]):
         assert substring_dedup._ids(substring_dedup._steps(np.array(x, np.int64))).tolist() == x
+    for step in (3, 300, 70_000, 1 << 33):
+        x = np.arange(50) * step + 7
+        assert (substring_dedup._ids(substring_dedup._steps(x)) == x).all()
+
+
+@pytest.mark.parametrize("segment", [1 << 21, 1 << 10])
+def test_sketch_passes_few_unique_windows(monkeypatch, segment):
+    """The share of unique windows that pass the prefilter is the same however many segments there are."""
+    monkeypatch.setattr(substring_dedup, "_SEGMENT_WINDOWS", segment)
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(400)) for _ in range(60)]
+    sketch = substring_dedup.Sketch(60 * 400, 4, 3)
+    tables = [pa.table({"text": texts[i::6], "id": list(range(i, 60, 6))}) for i in range(6)]
+    sent = [r | {"chunk": i} for i, t in enumerate(tables) for r in substring_dedup._count(13, sketch)((pa.scalar(i, pa.int32()),), t).to_pylist()]
+    sent = pa.RecordBatch.from_pylist(sorted(sent, key=lambda r: r["segment"]), substring_dedup._CELLS)
+    masks = pa.Table.from_batches(substring_dedup._merge(sketch.width)(iter([sent])))
+    passed = total = 0
+    for i, t in enumerate(tables):
+        a, b, _, _ = substring_dedup._chunk_windows(t, 13)
+        own = masks.filter(pc.equal(masks.column("chunk"), i))
+        passed += int(substring_dedup._maybe(a, b, sketch, own).sum())
+        total += len(a)
+    assert total == 60 * 388 and passed / total < 0.1
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
