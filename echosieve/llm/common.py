@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its exact name."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def as_row(columns: list[str]) -> Column:
+    """The columns as one struct ``row``, so that none of their names can clash with an operator's own."""
+    return (F.struct(*map(named, columns)) if columns else F.struct(F.lit(None).cast("int").alias("none"))).alias("row")
+
+
+def of_row(columns: list[str]) -> list[Column]:
+    """The columns back from ``row``; ``text`` is always kept beside it."""
+    return [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+
+
+def vocabulary_file(vocabulary: str) -> str:
+    """A vocabulary's file on the machine that asks: a path, or the name of a public tokenizer's file."""
+    if Path(vocabulary).exists():
+        return vocabulary
+    import public_tokenizers
+
+    return str(public_tokenizers.path(vocabulary))
+
+
 def id_remainder(col: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n).cast("int")
@@ -38,6 +63,11 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def decoded(column: pa.Array) -> list[str | None]:
+    """The texts; bytes that aren't valid UTF-8 become replacement characters."""
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.large_binary()).to_pylist()]
+
+
 def as_strings(texts: list[bytes]) -> pa.Array:
     """Texts as a string column; bytes that aren't valid UTF-8 stay as they are."""
     return pa.array(texts, pa.binary()).view(pa.string())

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echosieve.llm.common import chunks
+from echosieve.llm.common import as_row, chunks, decoded, of_row
 
 _SYMBOLS = 32
 
@@ -90,7 +90,7 @@ def _bundle(dim: int, n: int, seed: int):
         by_lang: dict[str, np.ndarray] = {}
         for batch in chunks(batches):
             langs = np.array(batch.column("lang").to_pylist(), object)
-            docs, grams, counts = gram_counts(batch.column("text").to_pylist(), n)
+            docs, grams, counts = gram_counts(decoded(batch.column("text")), n)
             for lang in set(langs[np.unique(docs)]) if len(docs) else ():
                 own = langs[docs] == lang
                 total = by_lang.setdefault(lang, np.zeros(_SYMBOLS**n, np.int64))
@@ -122,7 +122,7 @@ def _compare(prototypes: dict[str, np.ndarray], dim: int, n: int, seed: int, nam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 20):
-            texts = batch.column("text").to_pylist()
+            texts = decoded(batch.column("text"))
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             docs, grams, counts = gram_counts(texts, n) if langs else (np.zeros(0, int),) * 3
             if len(docs):
@@ -147,7 +147,7 @@ def _compare(prototypes: dict[str, np.ndarray], dim: int, n: int, seed: int, nam
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = 1024, n: int = 3, seed: int = 7) -> DataFrame:
     """``docs`` (with ``text``) and the columns ``lang_pred`` and ``score``, in place of any of these names."""
-    docs = docs.drop("lang_pred", "score")
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_compare(prototypes, dim, n, seed, names), schema)
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(as_row([c for c in names if c != "text"]), "text")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_compare(prototypes, dim, n, seed, ["row", "text"]), schema).select(*of_row(names), "lang_pred", "score")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echosieve.llm.common import LOWER, UPPER, same
+from echosieve.llm.common import LOWER, UPPER, as_row, of_row, same
 from echosieve.storage import materialize, scratch_path
 
 _BLANKS = " \t\n\x0b\f\r"
@@ -133,9 +133,10 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, b
         F.col("doc_id").alias("es_id"), F.col("text_hash").alias("es_hash"), F.col("n_dropped").alias("es_n"), F.col("mask").alias("es_mask")
     )
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(gone, same(F.col("doc_id"), F.col("es_id")) & (F.xxhash64("text") == F.col("es_hash")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get(F.col("es_mask"), i), F.lit(False))), "\n")
     others = [c for c in docs.columns if c not in ("text", "es_n_lines", "es_n_dropped")]
+    rows = docs.select(as_row(others), "text", F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(gone, same(F.col("id"), F.col("es_id")) & (F.col("hash") == F.col("es_hash")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get(F.col("es_mask"), i), F.lit(False))), "\n")
     return joined.select(
-        *others, F.when(F.col("es_n").isNull(), text).otherwise(kept).alias("text"), F.size(F.split(text, "\n")).cast("long").alias("es_n_lines"), F.coalesce("es_n", F.lit(0)).cast("long").alias("es_n_dropped")
+        *of_row(others), F.when(F.col("es_n").isNull(), text).otherwise(kept).alias("text"), F.size(F.split(text, "\n")).cast("long").alias("es_n_lines"), F.coalesce("es_n", F.lit(0)).cast("long").alias("es_n_dropped")
     )

@@ -4,11 +4,17 @@ Two texts are linked if their sets of shingles (five words, lower-cased A-Z) hav
 a similarity of 0.8 or more; components of links are groups. Texts of equal sets
 are one class from the start.
 
-Candidates come from prefixes: under any one order of all shingles, two sets of
+Most links come from the trie self-join of SimHash fingerprints (64 bits of the
+set, ``budget`` differing ones), each counted on the shingles. At a similarity of
+0.8 fingerprints differ in about 10 bits of 64, far more than a trie can prune by,
+so the self-join alone would lose most links between 0.8 and 0.95; the rest comes
+from a second search, which is complete.
+
+Its candidates come from prefixes: under any one order of all shingles, two sets of
 similarity t share one of the first n - ceil(t n) + 1 of each. The order puts the
 shingles that a sample of the classes shows to be common last, so what is common
 to many texts hardly ever makes a candidate; the sample only sets the order.
-Each class is first compared with one class of each of its shingles. Shingles
+Each class is first compared with one class, of another component, of each of its shingles. Shingles
 whose classes are then in one component are done; for the others, all pairs
 across components are compared. A pair is left early where the places of its
 shared shingle or the bits in which two small maps of the sets differ prove that
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echosieve.llm.common import chunks, text_bytes, word_hashes
-from echosieve.llm.simhash import first_of_each
+from echosieve.llm.simhash import fingerprint_links, first_of_each, fold
 from echosieve.operators.components import connected_components
 from echosieve.storage import materialize
 
@@ -82,8 +88,8 @@ def _marks(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sets = [shingles(x, size) for x in text_bytes(batch.column("text"))]
-            own = [pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_map(h) for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], [*names, "key", "n", "map"])
+            own = [pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_map(h) for h in sets], pa.binary()), pa.array(np.array([fold(h) for h in sets], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], [*names, "key", "n", "map", "fp"])
 
     return run
 
@@ -182,13 +188,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return materialize(rows.select("a", "b", "text_a", "text_b").mapInArrow(_similar(size, threshold), "u long, v long"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, budget: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) of every row; ``fp`` is its class, component_id the smallest id that links reach."""
     spark = docs.sparkSession
     kept = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, key long, n long, map binary"
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, key long, n long, map binary, fp long"
     marks = materialize(kept.mapInArrow(_marks(size, ["doc_id", "text_hash"]), schema), "shingle-marks")
-    classes = materialize(marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("map").alias("map")), "shingle-classes")
+    classes = materialize(marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("map").alias("map"), F.min("fp").alias("fp")), "shingle-classes")
+    check = lambda pairs: _verified(pairs, classes, docs, size, threshold, broadcast_rows)
+
+    prints = materialize(classes.filter("n > 0").groupBy("fp").agg(F.min("key").alias("first")), "set-fingerprints")
+    one = lambda s: prints.select(F.col("fp").alias(s), F.col("first").alias({"u": "a", "v": "b"}[s]))
+    near = fingerprint_links(prints.select("fp"), budget).join(one("u"), "u").join(one("v"), "v").select("a", "b")
+    equal = classes.join(prints, "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    links = check(near.unionByName(equal).distinct())
+    labels = connected_components(links)
 
     texts = docs.select("text")
     counted = texts.mapInArrow(_sampled(size), "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON)
@@ -200,14 +214,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, broa
     ddl = "shingle long, key long, place long"
     shared = texts.mapInArrow(_prefixes(size, threshold, common), ddl).repartition("shingle").mapInArrow(_shared, ddl)
     shared = materialize(shared, "shared-shingles")
-    check = lambda pairs: _verified(pairs, classes, docs, size, threshold, broadcast_rows)
 
-    first = shared.groupBy("shingle").agg(F.min("key").alias("a"))
-    links = check(shared.join(first, "shingle").filter("key <> a").select("a", F.col("key").alias("b")).distinct())
+    def labelled(labels: DataFrame) -> DataFrame:
+        rows = shared.join(labels, F.col("key") == F.col("vertex"), "left")
+        return materialize(rows.select("shingle", "key", "place", F.coalesce("component", "key").alias("component")), "labelled-shingles")
+
+    rows = labelled(labels)
+    first = rows.groupBy("shingle").agg(F.min(F.struct("component", "key")).alias("x")).select("shingle", F.col("x.component").alias("c"), F.col("x.key").alias("a"))
+    links = links.unionByName(check(rows.join(first, "shingle").filter("component <> c").select("a", F.col("key").alias("b")).distinct()))
     labels = connected_components(links)
 
-    rows = shared.join(labels, F.col("key") == F.col("vertex"), "left").select("shingle", "key", "place", F.coalesce("component", "key").alias("component"))
-    rows = materialize(rows, "labelled-shingles")
+    rows = labelled(labels)
     several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).filter("low <> high and many > 2")
     rows = rows.join(several.select("shingle"), "shingle", "left_semi").select("shingle", "key", "component", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND((1 << 31) - 1).alias("i"))
     other = rows.select(*(F.col(c).alias(c if c == "shingle" else f"{c}_2") for c in rows.columns))

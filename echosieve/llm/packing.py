@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from echosieve.llm.common import chunks, text_bytes
+from echosieve.llm.common import as_row, chunks, of_row, text_bytes, vocabulary_file
 from echosieve.llm.token_count import byte_of_letter
 from echosieve.storage import materialize
 
@@ -71,7 +72,7 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(vocabulary_file(path))
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_of_letter().items()}
 
@@ -96,10 +97,10 @@ class _Ids(dict):
                 lower = run.lower()
                 ids = self._part(lower)
                 return ids if lower == run else self._keep(run, ids)
-            if m := _PLAIN.fullmatch(run.decode()):
+            if m := _PLAIN.fullmatch(run.decode("utf-8", "replace")):
                 ids = self._part(m[1].lower().encode())
                 return self._keep(run, ids + self._part(m[2].encode()) if m[2] else ids)
-        return self._keep(run, _little(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids))
+        return self._keep(run, _little(self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids))
 
 
 _known: dict[str, _Ids] = {}
@@ -300,15 +301,17 @@ def _place(held, names: list[str]):
 def pack(cut: DataFrame, capacity: int = 4096, range_rows: int = 4096, **how) -> DataFrame:
     """``cut`` (any columns, with ``length``) and the columns ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
-    names = cut.columns
-    cut = materialize(cut.withColumn("es_salt_key", F.xxhash64(*names)), "pieces")
-    histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    rows = cut.select(as_row(names), F.col("length").cast("long").alias("length"))
+    rows = materialize(rows.withColumn("salt", F.xxhash64("row")), "pieces")
+    histogram = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     ranges = min(4096, max(1, -(-sum(histogram.values()) // range_rows)))
-    cut = cut.withColumn("es_range", F.pmod("es_salt_key", F.lit(ranges)))
-    counts = cut.groupBy("length", "es_range").count()
-    before = counts.select("length", "es_range", (F.sum("count").over(Window.partitionBy("length").orderBy("es_range")) - F.col("count")).alias("es_before"))
-    within = F.row_number().over(Window.partitionBy("length", "es_range").orderBy("es_salt_key")) - 1
-    numbered = cut.withColumn("es_within", within).join(before, ["length", "es_range"]).withColumn("number", (F.col("es_before") + F.col("es_within")).cast("long"))
+    rows = rows.withColumn("range", F.pmod("salt", F.lit(ranges)))
+    counts = rows.groupBy("length", "range").count()
+    before = counts.select("length", "range", (F.sum("count").over(Window.partitionBy("length").orderBy("range")) - F.col("count")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("length", "range").orderBy("salt")) - 1
+    numbered = rows.withColumn("within", within).join(before, ["length", "range"]).withColumn("number", (F.col("before") + F.col("within")).cast("long"))
     held = spark.sparkContext.broadcast(runs(solve(histogram, capacity, **how)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*names).schema), "sequence_id long, offset long"])
-    return numbered.select(*names, "number").mapInArrow(_place(held, names), schema)
+    schema = T.StructType([rows.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = numbered.select("row", "length", "number").mapInArrow(_place(held, ["row"]), schema)
+    return placed.select(*of_row(names), "sequence_id", "offset")

@@ -16,7 +16,8 @@ their number has been counted and is small; otherwise they are joined.
 Defined results: a null or empty text has no words and fails the base rule. Null
 languages or sources form groups of their own. Rows are independent, so repeated
 rows and null or repeated ids get a verdict each. An empty table gives an empty
-result. Other columns pass through.
+result. Other columns pass through, whatever their names; the columns added
+replace those of the same names. Texts of any length are one row.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echosieve.llm.common import same, words
+from echosieve.llm.common import as_row, of_row, same, words
 from echosieve.storage import materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -115,7 +116,10 @@ def limits(sketch: DataFrame, fence: int = 8, min_docs: int = 100) -> DataFrame:
 
 def judge(docs: DataFrame, fence: int = 8, min_docs: int = 100, keep_text: bool = False) -> DataFrame:
     """``docs`` (text, lang, source) with the counts, ``es_base_failed`` and ``es_kept``; ``text`` itself only with ``keep_text``."""
-    counted = materialize(text_counts(docs.withColumn("es_text", F.col("text")) if keep_text else docs), "counts")
+    made = [*(f"es_{c}" for c in COUNTS), "es_base_failed", "es_kept"]
+    others = [c for c in docs.columns if c not in ("text", *made)]
+    text = [F.col("text").alias("whole")] if keep_text else []
+    counted = materialize(text_counts(docs.select(as_row(others), "lang", "source", "text", *text)), "counts")
     bounds = materialize(limits(sketches(counted), fence, min_docs).select(F.col("lang").alias("es_lang"), F.col("source").alias("es_source"), *(F.col(f"{side}_{name}").alias(f"es_{side}_{name}") for name in RATIOS for side in ("low", "high"))), "limits")
     if bounds.count() <= BROADCAST_ROWS:
         bounds = F.broadcast(bounds)
@@ -125,6 +129,5 @@ def judge(docs: DataFrame, fence: int = 8, min_docs: int = 100, keep_text: bool
         fine = fine & (_ratio(name) <= F.col(f"es_high_{name}"))
         if low:
             fine = fine & (_ratio(name) >= F.col(f"es_low_{name}"))
-    others = [c for c in docs.columns if c != "text"]
-    text = [F.col("es_text").alias("text")] if keep_text else []
-    return joined.select(*others, *text, *(f"es_{c}" for c in COUNTS), base_failed().alias("es_base_failed"), (~base_failed() & F.coalesce(fine, F.lit(True))).alias("es_kept"))
+    text = [F.col("whole").alias("text")] if keep_text else []
+    return joined.select(*of_row(others), *text, *(f"es_{c}" for c in COUNTS), base_failed().alias("es_base_failed"), (~base_failed() & F.coalesce(fine, F.lit(True))).alias("es_kept"))

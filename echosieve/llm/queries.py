@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.common import id_remainder, table
 
+#: Resolved where it is read.
+VOCABULARY = "word_bpe_49k.json"
+
 
 def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from echosieve.llm.ann import nearest
@@ -46,12 +49,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from echosieve.llm.token_count import count_pieces
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_pieces(docs, str(public_tokenizers.path("word_bpe_49k.json")), keep_text=False)
+    return count_pieces(docs, VOCABULARY, keep_text=False)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +78,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from echosieve.llm.packing import pack, pieces
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(pieces(docs, str(public_tokenizers.path("word_bpe_49k.json"))))
+    return pack(pieces(docs, VOCABULARY))
 
 
 QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_language_id, op3_lm_score, op4_line_dedup, op5_quality_rules, op6_token_count, op7_mixing, op8_substring_dedup, op9_simhash, op10_packing)}

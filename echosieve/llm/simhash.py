@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import chunks, text_bytes
+from echosieve.llm.common import as_row, chunks, of_row, text_bytes
 from echosieve.operators.components import connected_components
 from echosieve.storage import materialize
 
@@ -51,7 +51,12 @@ def fingerprint(text: bytes, size: int, seed: int) -> int:
         starts = [0, *ends[: len(words) - size]]
         parts = [joined[a : b - 1] for a, b in zip(starts, ends[size - 1 :], strict=True)]
         hashes = list(map(xxhash.xxh64_intdigest, parts, repeat(seed)))
-    h = np.array(hashes, "<u8")
+    return fold(np.array(hashes, "<u8"))
+
+
+def fold(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    h = h.astype("<u8", copy=False)
     votes = np.zeros(64, np.int64)
     for a in range(0, len(h), 1 << 16):
         votes += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -202,5 +207,5 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     # components whose ids are all null are told apart by their fingerprints
     pick = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.coalesce("doc_id", absent).alias("i"), F.col("text_hash").alias("h"))).alias("x"))
     pick = pick.select(F.col("x.i").alias("es_id"), F.col("x.h").alias("es_hash")).distinct()
-    keyed = docs.withColumns({"es_id": F.coalesce("doc_id", absent), "es_hash": F.xxhash64("text")})
-    return keyed.join(pick, ["es_id", "es_hash"], "left_semi").dropDuplicates(["es_id", "es_hash"]).select(*docs.columns)
+    keyed = docs.select(as_row([c for c in docs.columns if c != "text"]), "text", F.coalesce("doc_id", absent).alias("es_id"), F.xxhash64("text").alias("es_hash"))
+    return keyed.join(pick, ["es_id", "es_hash"], "left_semi").dropDuplicates(["es_id", "es_hash"]).select(*of_row(docs.columns))

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echosieve.llm.common import as_strings, chunks, text_bytes, word_hashes
+from echosieve.llm.common import as_row, as_strings, chunks, of_row, text_bytes, word_hashes
 from echosieve.storage import bucketed
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -325,7 +325,7 @@ def dealt(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]:
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _FILE_BYTES)
     many = max(2 * files, total // chunk_bytes)
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    own = as_row([c for c in docs.columns if c != "text"])
     # rows without an id are dealt one by one, so copies among them don't meet in one chunk
     deal = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "text"))
     rows = docs.select(F.pmod(deal, F.lit(many)).cast("int").alias("chunk"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), "text", own)
@@ -347,4 +347,4 @@ def drop_repeated_windows(docs: DataFrame, size: int = 13, cells_per_word: int =
     out = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     kept = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_remove(size, sketch, buckets), out)
     names = [c for c in docs.columns if c not in ("text", "es_n_words", "es_n_removed")]
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in names), "text", F.col("n_words").alias("es_n_words"), F.col("n_removed").alias("es_n_removed"))
+    return kept.select(*of_row(names), "text", F.col("n_words").alias("es_n_words"), F.col("n_removed").alias("es_n_removed"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from echosieve.llm.common import chunks, text_bytes
+from echosieve.llm.common import as_row, chunks, of_row, text_bytes, vocabulary_file
 
 #: Closes a word; can't occur inside one.
 MARK = b" "
@@ -124,7 +124,7 @@ class _Counts(dict):
 def _count(path: str, ending: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, ending) not in _loaded:
-            _loaded[path, ending] = Automaton(load_pieces(path, ending))
+            _loaded[path, ending] = Automaton(load_pieces(vocabulary_file(path), ending))
         get = _Counts(_loaded[path, ending]).__getitem__
         for batch in chunks(batches):
             each = [x.lower().split() for x in text_bytes(batch.column("text"))]
@@ -137,7 +137,8 @@ def _count(path: str, ending: str, names: list[str]):
 
 def count_pieces(docs: DataFrame, vocabulary: str, ending: str = "</w>", keep_text: bool = True) -> DataFrame:
     """``docs`` (with ``text``) and the columns ``n_words`` and ``n_pieces``, in place of any of these names."""
-    docs = docs.drop("n_words", "n_pieces")
-    names = [c for c in docs.columns if keep_text or c != "text"]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_words", T.LongType()), T.StructField("n_pieces", T.LongType())])
-    return docs.mapInArrow(_count(vocabulary, ending, names), schema)
+    names = [c for c in docs.columns if c not in ("n_words", "n_pieces") and (keep_text or c != "text")]
+    rows = docs.select(as_row([c for c in names if c != "text"]), "text")
+    kept = ["row", *(["text"] if keep_text else [])]
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("n_words", T.LongType()), T.StructField("n_pieces", T.LongType())])
+    return rows.mapInArrow(_count(vocabulary, ending, kept), schema).select(*of_row(names), "n_words", "n_pieces")
