@@ -2,9 +2,8 @@
 
 Each stage takes the documents that the one before it kept, as Parquet, and all
 but the last return the columns of ``documents``: quality rules, line dedup,
-near-dedup on five-word shingles at a Jaccard similarity of 0.8 (one document of
-each group stays), mixing sources to target
-weights (a row for each time a document is taken), best-fit packing.
+SimHash near-dedup on five-word shingles at a Jaccard similarity of 0.8 (one
+document of each group stays), mixing sources to target weights (a row for each time a document is taken), best-fit packing.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echosieve.llm.common import named
 from echosieve.llm.line_dedup import drop_common_lines
 from echosieve.llm.mixing import mixed_documents
 from echosieve.llm.near_dedup import one_of_each
@@ -25,11 +25,11 @@ VOCABULARY = "word_bpe_49k.json"
 def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with the length of the text as it is now."""
     length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return rows.select(*(length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return rows.select(*(length.alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs, keep_text=True).filter("es_kept").select(*docs.columns)
+    return judge(docs, keep_text=True).filter("es_kept").select(*map(named, docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return pack(pieces(docs, VOCABULARY))
 
-    return pack(pieces(docs, str(public_tokenizers.path(VOCABULARY))))
 
-
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("source mixing", source_mixing), ("best-fit packing", packing)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("source mixing", source_mixing), ("best-fit packing", packing)]
 
 #: SQL expresses neither the shingle search nor the tokenizer; tests hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
