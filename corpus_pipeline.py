@@ -17,7 +17,7 @@ from echosieve.llm.mixing import mixed_documents
 from echosieve.llm.near_dedup import one_of_each
 from echosieve.llm.packing import pack, pieces
 from echosieve.llm.quality import judge
-from echosieve.storage import materialize
+from echosieve.storage import Scratch, discard, materialize
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -57,5 +57,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with Scratch() as own:
+            kept = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            own.release(kept)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -65,6 +65,7 @@ def main(args: list[str] | None = None) -> int:
     config = AnalysisConfig(
         root=o.directory, threshold=o.threshold, min_tokens=o.min_tokens, text_weight=o.text_sensitivity, scope=Scope.parse(o.scope), globs=tuple(o.glob), encoding=o.encoding, respect_ignore=not o.no_ignore, mode=o.mode
     )
+    session = None
     try:
         session = Session(spark, config)
         if o.diff_base and not session.restrict_to_diff(o.diff_base):
@@ -76,6 +77,9 @@ def main(args: list[str] | None = None) -> int:
     except (OSError, RuntimeError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    finally:
+        if session:
+            session.close()
     return 1 if s.groups or s.intra_pairs else 0
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echosieve.storage import materialize
+from echosieve.storage import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,14 +38,15 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
 
     Rows with a null end and self-loops add nothing. Each round is written to
     the shared scratch folder, so lineage stays short and survives lost
-    executors. The loop ends when a round changes no edge, which is judged by
+    executors; the round before is deleted. The loop ends when a round changes no edge, which is judged by
     the edges' count and a sum of their hashes.
     """
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     now = materialize(now, "cc")
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_star(_star(now, True), False), "cc")
+        before, now = now, materialize(_star(_star(now, True), False), "cc")
+        discard(before)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row.n, row.s) == mark:
             break

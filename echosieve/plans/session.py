@@ -21,24 +21,37 @@ from echosieve.operators.scope import categorize_changed, changed_blocks, filter
 from echosieve.sources.diff import diff_lines, git_diff, parse_diff
 from echosieve.sources.encoding import parse_encoding, to_utf8_col
 from echosieve.sources.files import git_root, scan_files
-from echosieve.storage import materialize
+from echosieve.storage import Scratch, materialize
 
 
 class Session:
     """Blocks, groups and repeated regions of one directory."""
 
     def __init__(self, spark: SparkSession, config: AnalysisConfig):
-        self.spark = spark
+        self.spark, self._scratch = spark, Scratch()
         self.analyze(config)
 
+    def close(self) -> None:
+        """Delete the session's tables; its answers must not be used any more."""
+        self._scratch.close()
+
+    def __enter__(self) -> Session:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     # --- analysis ---------------------------------------------------------
 
     def analyze(self, config: AnalysisConfig) -> Session:
         self.config = config
-        files = scan_files(self.spark, config.root, list(config.extensions) or None, list(config.globs) or None, config.respect_ignore)
-        content = to_utf8_col(F.col("content"), parse_encoding(config.encoding))
-        self.files = materialize(files.withColumn("content", content), "files")
-        self.tokens = materialize(tokenize(self.files, "utf-8"), "tokens")
+        self._scratch.close()
+        with self._scratch, Scratch() as own:
+            files = scan_files(self.spark, config.root, list(config.extensions) or None, list(config.globs) or None, config.respect_ignore)
+            content = to_utf8_col(F.col("content"), parse_encoding(config.encoding))
+            self.files = materialize(files.withColumn("content", content), "files")
+            self.tokens = materialize(tokenize(self.files, "utf-8"), "tokens")
+            own.release(self.files, self.tokens)
         return self._detect()
 
     def reconfigure(self, **changes) -> Session:
@@ -47,6 +60,12 @@ class Session:
         return self._detect()
 
     def _detect(self) -> Session:
+        with self._scratch, Scratch() as own:
+            self._search()
+            own.release(self.blocks, self._members, self._intra, self._groups)
+        return self
+
+    def _search(self) -> None:
         c = self.config
         self.blocks = materialize(extract_blocks(self.tokens, c.min_tokens), "blocks")
         narrow = self.blocks.select("block_id", "struct_ids", "text_ids")
@@ -64,7 +83,6 @@ class Session:
             found_intra = self.spark.createDataFrame([], "block_id long, pairs array<struct<a_start:int,a_len:int,b_start:int,b_len:int,similarity:double>>")
         self._intra = materialize(found_intra, "intra")
         self._rank()
-        return self
 
     def _rank(self) -> None:
         """Groups by the raw length of their first block; members in the order of blocks."""
@@ -79,10 +97,12 @@ class Session:
         if changes.isEmpty():
             return False
         changed = changed_blocks(self.blocks.select("block_id", "path", "start_line", "end_line"), changes).select("block_id")
-        changed = materialize(changed, "changed")
-        self._members = materialize(filter_changed(self._members, changed), "scoped")
-        self._intra = materialize(self._intra.join(changed, "block_id", "left_semi"), "intra")
-        self._rank()
+        with self._scratch, Scratch() as own:
+            changed = materialize(changed, "changed")
+            self._members = materialize(filter_changed(self._members, changed), "scoped")
+            self._intra = materialize(self._intra.join(changed, "block_id", "left_semi"), "intra")
+            self._rank()
+            own.release(self._members, self._intra, self._groups)
         return True
 
     def changes(self, base: str, source: str = "HEAD") -> DataFrame:

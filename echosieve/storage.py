@@ -2,6 +2,10 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``; the files
 survive the loss of any executor and are read back with their known schema.
+
+Every table belongs to the innermost open ``Scratch``, or to the process, whose
+tables go at its end, even if the session ended before. The shuffle files behind
+a table go as soon as it is written.
 """
 
 from __future__ import annotations
@@ -9,10 +13,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,18 +35,77 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+class Scratch:
+    """The owner of the tables that are written while it is open; they stay until it is closed or releases them."""
+
+    def __init__(self) -> None:
+        #: path -> how to delete it; needs no session
+        self.paths: dict[str, tuple] = {}
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *failed: object) -> None:
+        _open.remove(self)
+        if failed[0] is not None:
+            self.close()
+
+    def add(self, spark: SparkSession, path: str) -> None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.paths[path] = (place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place)
+
+    def delete(self, path: str) -> None:
+        system, place = self.paths.pop(path)
+        with suppress(Exception):  # the JVM may have ended
+            system.delete(place, True)
+
+    def release(self, *kept: DataFrame) -> None:
+        """Delete the tables but those that ``kept`` scan, which go to the owner around this one. Frames that read others must not be used any more."""
+        scanned = {_path_of.get(df) for df in kept}
+        around = _open[max(0, _open.index(self) - 1)] if self in _open else _process
+        for path in [*self.paths]:
+            if path not in scanned:
+                self.delete(path)
+            elif around is not self:
+                around.paths[path] = self.paths.pop(path)
+
+    def close(self) -> None:
+        for path in [*self.paths]:
+            self.delete(path)
+
+
+_process = Scratch()
+_open: list[Scratch] = [_process]
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/echosieve-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _open[-1].add(spark, path)
     return path
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are removed when it ends; its result is in a table."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
 
 
 def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
@@ -51,25 +117,22 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     path = scratch_path(spark, name)
     table = f"echosieve_{uuid.uuid4().hex}"
     try:
-        df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
-        return spark.table(table)
+        with _tidy(spark):
+            df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
+        out = spark.table(table)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _path_of[out] = path
+    return out
 
 
-def drop_scratch(keep: int = 0) -> None:
-    """Delete intermediate tables written so far, but for the last ``keep``.
-
-    Frames that still read them must not be used afterwards.
-    """
-    while len(_written) > keep:
-        spark, path = _written.pop(0)
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may have ended
-            return
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables that the frames scan, whoever owns them."""
+    for df in frames:
+        path = _path_of.get(df)
+        for owner in _open:
+            if path in owner.paths:
+                owner.delete(path)
 
 
-atexit.register(drop_scratch)
+atexit.register(_process.close)
