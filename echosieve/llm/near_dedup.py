@@ -12,7 +12,7 @@ from a second search, which is complete.
 
 Its candidates come from prefixes: under any one order of all shingles, two sets of
 similarity t share one of the first n - ceil(t n) + 1 of each. The order puts the
-shingles that a sample of the classes shows to be common last, so what is common
+shingles that a sample of the texts shows to be common last, so what is common
 to many texts hardly ever makes a candidate; the sample only sets the order.
 Each class is first compared with one class, of another component, of each of its shingles. Shingles
 whose classes are then in one component are done; for the others, all pairs
@@ -40,38 +40,58 @@ from pyspark.sql import functions as F
 from echosieve.llm.common import chunks, text_bytes, word_hashes
 from echosieve.llm.simhash import fingerprint_links, first_of_each, fold
 from echosieve.operators.components import connected_components
-from echosieve.storage import materialize
+from echosieve.storage import Scratch, discard, materialize
 
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 #: Bits of the map of a set.
 MAP_BITS = 2048
-#: One class in so many is counted to find common shingles, which so many of the sample share; at most so many are told apart.
+#: One different text in so many is counted to find common shingles, which so many of the sample share; at most so many are told apart.
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 1 << 20
 _EPS = 1e-9
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """Ascending distinct hashes of the shingles of a text."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = word_hashes([words], len(words))
-    size = min(size, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    for k in range(size):
-        h = (h ^ w[k : len(w) - size + 1 + k]) * _MIX
-        h ^= h >> _TURN
-    return np.unique(h)
-
-
-def set_key(h: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(h.tobytes()) - 2**63
-
-
-def set_map(h: np.ndarray) -> bytes:
-    bits = np.zeros(MAP_BITS, np.uint8)
-    bits[(h % np.uint64(MAP_BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+class Sets:
+    """The ascending distinct shingle hashes of several texts, one after the other: those of text i are ``h[ends[i] - n[i] : ends[i]]``."""
+
+    def __init__(self, texts: list[bytes], size: int):
+        parts = [t.lower().split() for t in texts]
+        words = np.array([len(p) for p in parts], np.int64)
+        w = word_hashes(parts, int(words.sum()))
+        # a text of fewer words than a shingle has one, of all its words
+        span = np.minimum(words, size)
+        many = np.where(words > 0, words - span + 1, 0)
+        text = np.repeat(np.arange(len(words)), many)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + (np.cumsum(words) - words)[text]
+        own = span[text]
+        h = own.astype(np.uint64)
+        for k in range(size):
+            used = own > k
+            step = (h ^ w[np.where(used, at + k, 0)]) * _MIX
+            h = np.where(used, step ^ (step >> _TURN), h)
+        ends = np.cumsum(many)
+        for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True):
+            h[a:b].sort()
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1]))) if len(h) else np.zeros(0, bool)
+        self.h, self.text = h[new], text[new]
+        self.n = np.bincount(self.text, minlength=len(words))
+        self.ends = np.cumsum(self.n)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.h[self.ends[i] - self.n[i] : self.ends[i]]
+
+    def keys(self) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(self[i].tobytes()) - 2**63 for i in range(len(self.n))], np.int64)
+
+    def maps(self) -> list[bytes]:
+        """Of each text the places that its shingles take among MAP_BITS; of few texts at once."""
+        out = []
+        for a in range(0, len(self.n), 2048):
+            b = min(a + 2048, len(self.n))
+            x, y = self.ends[a] - self.n[a], self.ends[b - 1]
+            bits = np.zeros((b - a, MAP_BITS), np.uint8)
+            bits[self.text[x:y] - a, (self.h[x:y] % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+            out += [r.tobytes() for r in np.packbits(bits, axis=1)]
+        return out
 
 
 def prefix_length(n: int, threshold: float) -> int:
@@ -87,20 +107,18 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 def _marks(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            sets = [shingles(x, size) for x in text_bytes(batch.column("text"))]
-            own = [pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_map(h) for h in sets], pa.binary()), pa.array(np.array([fold(h) for h in sets], np.uint64).view(np.int64))]
+            sets = Sets(text_bytes(batch.column("text")), size)
+            prints = np.array([fold(sets[i]) for i in range(len(sets.n))], np.uint64).view(np.int64)
+            own = [pa.array(sets.keys()), pa.array(sets.n), pa.array(sets.maps(), pa.binary()), pa.array(prints)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], [*names, "key", "n", "map", "fp"])
 
     return run
 
 
-def _sampled(size: int):
+def _all_shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            sets = [shingles(x, size) for x in text_bytes(batch.column("text"))]
-            kept = [h for h in sets if set_key(h) % SAMPLE == 0]
-            if kept:
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate(kept).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(Sets(text_bytes(batch.column("text")), size).h.view(np.int64))})
 
     return run
 
@@ -111,21 +129,16 @@ def _prefixes(size: int, threshold: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
         for batch in chunks(batches):
-            found, keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x in text_bytes(batch.column("text")):
-                h = shingles(x, size)
-                if not len(h):
-                    continue
-                key, n = set_key(h), len(h)
-                if len(known):
-                    at = np.searchsorted(known, h)
-                    at[at == len(known)] = 0
-                    h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
-                h = h[: prefix_length(n, threshold)]
-                found.append(h)
-                keys.append(np.full(len(h), key, np.int64))
-                places.append((n << 31) + np.arange(len(h), dtype=np.int64))
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate(found).view(np.int64)), "key": pa.array(np.concatenate(keys)), "place": pa.array(np.concatenate(places))})
+            sets = Sets(text_bytes(batch.column("text")), size)
+            h, text = sets.h, sets.text
+            if len(known) and len(h):
+                at = np.searchsorted(known, h)
+                at[at == len(known)] = 0
+                h = h[np.lexsort((np.where(known[at] == h, counts[at], 0), text))]
+            place = np.arange(len(h)) - (sets.ends - sets.n)[text]
+            kept = place < np.array([prefix_length(n, threshold) for n in sets.n.tolist()], np.int64)[text]
+            h, text, place = h[kept], text[kept], place[kept]
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(h.view(np.int64)), "key": pa.array(sets.keys()[text]), "place": pa.array((sets.n[text] << 31) + place)})
 
     return run
 
@@ -165,8 +178,8 @@ def _similar(size: int, threshold: float, at_once: int = 256):
         for batch in batches:
             for x in range(0, batch.num_rows, at_once):
                 part = batch.slice(x, at_once)
-                sets = [[shingles(t, size) for t in text_bytes(part.column(c))] for c in ("text_a", "text_b")]
-                kept = pa.array([similar(a, b, threshold) for a, b in zip(*sets, strict=True)], pa.bool_())
+                sets = [Sets(text_bytes(part.column(c)), size) for c in ("text_a", "text_b")]
+                kept = pa.array([similar(sets[0][i], sets[1][i], threshold) for i in range(part.num_rows)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(kept), part.column("b").filter(kept)], ["u", "v"])
 
     return run
@@ -185,11 +198,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     texts = materialize(texts, "near-texts")
     text = lambda s: texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}"))
     rows = near.join(text("a"), "a").join(text("b"), "b")
-    return materialize(rows.select("a", "b", "text_a", "text_b").mapInArrow(_similar(size, threshold), "u long, v long"), "near-links")
+    links = materialize(rows.select("a", "b", "text_a", "text_b").mapInArrow(_similar(size, threshold), "u long, v long"), "near-links")
+    discard(near, texts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, budget: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) of every row; ``fp`` is its class, component_id the smallest id that links reach."""
+    with Scratch() as own:
+        found, kept = _search(docs, size, threshold, budget, broadcast_rows)
+        own.release(*kept)
+    return found
+
+
+def _search(docs: DataFrame, size: int, threshold: float, budget: int, broadcast_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What near_duplicates returns, and the tables that it scans."""
     spark = docs.sparkSession
     kept = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, key long, n long, map binary, fp long"
@@ -205,7 +228,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, budg
     labels = connected_components(links)
 
     texts = docs.select("text")
-    counted = texts.mapInArrow(_sampled(size), "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON)
+    sampled = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    counted = sampled.mapInArrow(_all_shingles(size), "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON)
     counted = counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
     h = counted.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(h)
@@ -224,6 +248,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, budg
     links = links.unionByName(check(rows.join(first, "shingle").filter("component <> c").select("a", F.col("key").alias("b")).distinct()))
     labels = connected_components(links)
 
+    discard(rows)
     rows = labelled(labels)
     several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).filter("low <> high and many > 2")
     rows = rows.join(several.select("shingle"), "shingle", "left_semi").select("shingle", "key", "component", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND((1 << 31) - 1).alias("i"))
@@ -237,7 +262,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, budg
     rooted = classes.join(labels, F.col("key") == F.col("vertex"), "left").select("key", "least", F.coalesce("component", "key").alias("root"))
     rooted = materialize(rooted, "shingle-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "text_hash", F.col("key").alias("fp"), "component_id")
+    found = marks.join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "text_hash", F.col("key").alias("fp"), "component_id")
+    return found, [marks, rooted]
 
 
 def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:

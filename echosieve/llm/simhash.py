@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.common import as_row, chunks, of_row, text_bytes
 from echosieve.operators.components import connected_components
-from echosieve.storage import materialize
+from echosieve.storage import Scratch, materialize
 
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -184,6 +184,14 @@ def fingerprint_links(fps: DataFrame, budget: int = 4, group: int = 4096, broadc
 
 def near_duplicates(docs: DataFrame, size: int = 4, seed: int = 42, budget: int = 4, id_col: str = "doc_id") -> DataFrame:
     """(id, text_hash, fp, component_id) of every row; component_id is the smallest id that links reach."""
+    with Scratch() as own:
+        found, scanned = _search(docs, size, seed, budget, id_col)
+        own.release(*scanned)
+    return found
+
+
+def _search(docs: DataFrame, size: int, seed: int, budget: int, id_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """What near_duplicates returns, and the tables that it scans."""
     kept = docs.select(F.col(id_col), "text", F.xxhash64("text").alias("text_hash"))
     schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, text_hash long, fp long"
     marks = materialize(kept.mapInArrow(_fingerprints(size, seed, [id_col, "text_hash"]), schema), "fingerprints")
@@ -193,7 +201,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, seed: int = 42, budget: int
     rooted = materialize(rooted, "fingerprint-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select(id_col, "text_hash", "fp", "component_id")
+    return marks.join(named, "fp").select(id_col, "text_hash", "fp", "component_id"), [marks, rooted]
 
 
 def one_of_each(docs: DataFrame, size: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
