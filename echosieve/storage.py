@@ -87,7 +87,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
+def tidy(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside are removed when it ends; its result is in a table."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -97,12 +97,12 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of what was written."""
+def materialize(df: DataFrame, name: str, part: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of what was written; a filter by the column ``part`` (the last one) reads that part alone."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _tidy(spark):
-        df.write.parquet(path)
+    with tidy(spark):
+        (df.write.partitionBy(part) if part else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _path_of[out] = path
     return out
@@ -117,7 +117,7 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     path = scratch_path(spark, name)
     table = f"echosieve_{uuid.uuid4().hex}"
     try:
-        with _tidy(spark):
+        with tidy(spark):
             df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
         out = spark.table(table)
     finally:
@@ -126,10 +126,10 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete the tables that the frames scan, whoever owns them."""
-    for df in frames:
-        path = _path_of.get(df)
+def discard(*tables: DataFrame | str) -> None:
+    """Delete the tables, given as frames that scan them or as paths, whoever owns them."""
+    for table in tables:
+        path = table if isinstance(table, str) else _path_of.get(table)
         for owner in _open:
             if path in owner.paths:
                 owner.delete(path)
