@@ -243,17 +243,28 @@ def test_lines(docs, batches, fanout):
 
 
 def test_line_runs_tell_fresh_lines(spark):
-    store = line_dedup.LineRuns(spark, fanout=2)
-    batch = lambda keys: spark.createDataFrame([(k, k, 1, k) for k in keys], "h1 bigint, h2 bigint, docs bigint, last bigint")
-    seen = set()
-    for keys in ({1, 2, 3}, {3, 4}, {1, 4, 5}, {6}, {2, 6, 7}):
-        store.add(batch(keys))
-        seen |= keys
+    batch = lambda keys, i: spark.createDataFrame([(k, k, 1, i) for k in keys], "h1 bigint, h2 bigint, docs bigint, last bigint")
+    batches = [{1, 2, 3}, {3, 4}, {1, 4, 5}, {6}, {2, 6, 7}]
+    first = {k: 9 - i for i, keys in reversed([*enumerate(batches)]) for k in keys}
+    with line_dedup.LineRuns(spark, fanout=2) as store:
+        seen = set()
+        for i, keys in enumerate(batches):
+            told = {r.h1: r for r in store.told(batch(keys, 9 - i)).collect()}
+            assert {k for k, r in told.items() if r.fresh} == keys - seen
+            assert {k: r.last for k, r in told.items()} == {k: 9 - i if k not in seen else None for k in keys}
+            store.add(batch(keys, 9 - i))
+            seen |= keys
+            rows = [r for depth in store.held() for r in store.level(depth).collect()]
+            assert Counter(r.h1 for r in rows if r.fresh) == Counter(seen)
+        assert store.runs() <= 3
+        plan = store.compacted(store.held()[0])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        plan = store.told(batch({1}, 0).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
         merged = {r.h1: r for r in store.merged().collect()}
-        assert set(merged) == seen
-    assert merged[1].docs == 2 and merged[6].docs == 2 and merged[7].docs == 1
-    assert len(store.runs()) <= 3
-    store.drop()
+        assert {k: r.last for k, r in merged.items()} == first
+        assert merged[1].docs == 2 and merged[6].docs == 2 and merged[7].docs == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("echosieve")]
 
 
 # --- quality --------------------------------------------------------------------------------------
