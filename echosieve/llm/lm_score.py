@@ -12,14 +12,16 @@ tokens / (tokens + distinct pairs) over all contexts of that level
 (Witten-Bell by count class). The context of a text's first token is the end token.
 
 Sizes: the filter has ``bits_per_token`` bits for every training token at every
-size, so false positives don't grow with the input. Memory is bounded by passes:
-at most ``max_bits`` (256 MB) of segments are broadcast at once, and each pass
-adds up the tokens whose pairs live there. Of the word filter a quarter of that
-is broadcast at once; if it has more, passes write the level of each token beside
-its text first. Segments of the filter are built by the tasks that own their
-n-grams. Exact unigram counts, which only
-the base score uses, reach the texts two ways: words with at least N / 2**20
-occurrences (at most 2**20 words) are broadcast, rarer ones are joined.
+size, so false positives don't grow with the input. It is broadcast in passes of
+``max_bits`` (32 MB) of segments. The texts are read once: each chunk of texts
+writes, for every pass, the n-grams that it will ask for there, with the levels of
+their words; a pass reads its own probes alone, so the work of all passes together
+is in proportion to the tokens, whatever the number of passes. The word filter, far
+smaller, is broadcast whole up to ``max_word_bits`` (64 MB, 22 million words);
+beyond that, passes over the texts write the level of each token beside them first.
+Segments of the filter are built by the tasks that own their n-grams. Exact unigram
+counts, which only the base score uses, reach the texts two ways: words with at
+least N / 2**20 occurrences (at most 2**20 words) are broadcast, rarer ones are joined.
 
 Defined results: null is the empty text, which has one token, its end. With no
 training rows N and V are 0 and p(w) = 1. Repeated rows count and are returned
@@ -36,11 +38,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echosieve.llm.common import chunks, text_bytes, word_hashes
-from echosieve.storage import materialize
+from echosieve.storage import Scratch, discard, materialize
 
 _MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: The end token; no word hashes are fixed, so this value only has to differ from them by chance.
@@ -270,64 +273,55 @@ def _word_rows(segments: int):
     return run
 
 
-def _filter(rows: DataFrame, packed, segments: int, bits: int, max_bits: int) -> tuple[list[Callable[[], Filter]], np.ndarray, np.ndarray]:
-    """The filter of what ``packed`` makes of ``rows``, in passes of ``max_bits`` at most, with the numbers of n-grams and of uses by kind."""
+def _filter(rows: DataFrame, packed, segments: int, bits: int, max_bits: int) -> tuple[list[Callable[[], Filter]], Filter, np.ndarray, np.ndarray]:
+    """The filter of what ``packed`` makes of ``rows``, in passes of ``max_bits`` at most; its shape, of which no part is held, and the numbers of n-grams and of uses by kind."""
     segments = max(segments, -(-bits // max_bits))
     segment_words = -(-bits // segments // 64)
+    shape = Filter(segments, segment_words, held=range(0, 1))
     parts = rows.mapInArrow(packed(segments), "segment int, low binary, rest binary").repartition("segment").sortWithinPartitions("segment")
     out = parts.mapInArrow(_build(segments, segment_words), _PART_DDL)
     step = -(-segments // -(-bits // max_bits))
     passes = [range(a, min(segments, a + step)) for a in range(0, segments, step)]
-    if len(passes) > 1:
-        out = materialize(out, "lm-filter")
+    shape.held = passes[0]
+    out = materialize(out, "lm-filter")
 
-    def collected(held: range, counts: list[np.ndarray] | None = None) -> Filter:
+    def collected(held: range) -> Filter:
         made = Filter(segments, segment_words, held=held)
-        chosen = out if len(passes) == 1 else out.filter(F.col("segment").between(held.start, held.stop - 1))
+        chosen = out.filter(F.col("segment").between(held.start, held.stop - 1)).select("segment", "bits")
         for part in chosen.toArrow().to_batches():
-            for s, b, t, u in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                if counts:
-                    counts[0] += np.array(t)
-                    counts[1] += np.array(u)
+            for s, b in zip(*(part.column(i).to_pylist() for i in range(2)), strict=True):
                 made.parts[s] = np.frombuffer(b, np.uint64)
         return made.join()
 
+    kinds = out.select(F.posexplode(F.arrays_zip("types", "uses")).alias("kind", "x")).groupBy("kind").agg(F.sum("x.types").alias("types"), F.sum("x.uses").alias("uses"))
     counts = [np.zeros(64, np.int64), np.zeros(64, np.int64)]
-    if len(passes) == 1:
-        only = collected(passes[0], counts)
-        return [lambda: only], *counts
-    for row in out.select("types", "uses").toLocalIterator():
-        counts[0] += np.array(row.types)
-        counts[1] += np.array(row.uses)
-    return [lambda held=held: collected(held) for held in passes], *counts
+    for row in kinds.collect():  # at most 64 rows
+        counts[0][row.kind], counts[1][row.kind] = row.types, row.uses
+    return [lambda held=held: collected(held) for held in passes], shape, *counts
 
 
-class Model:
-    """What a pass of scoring needs: the filter of words (none if levels are written beside the texts), segments of that of pairs, N, V and the weights by level."""
+def _log10(both: Filter, n: int, v: int, weight: np.ndarray, gram: np.ndarray, level: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """log10 p of tokens by their pairs, which are in held segments, and the levels of their words and contexts."""
+    single = (level_count(level) + 0.5) / (n + 0.5 * (v + 1))
+    there = level_count(np.arange(64))[both.level(gram)] if n else np.zeros(len(gram))
+    m, most = weight[before], np.maximum(level_count(before), 1.0)
+    return np.log10(np.minimum(1.0, m * np.minimum(1.0, there / most) + (1 - m) * single))
 
-    def __init__(self, words: Filter | None, both: Filter, n: int, v: int, weight: np.ndarray):
-        self.words, self.both, self.n, self.v, self.weight = words, both, n, v, weight
 
-    def log10(self, h: np.ndarray, sizes: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """log10 p of each token whose pair is in a held segment, else 0; ``level`` is that of the tokens' words."""
-        single = (level_count(level) + 0.5) / (self.n + 0.5 * (self.v + 1))
-        gram, _ = pairs(h, sizes)
-        before = _before(level, sizes)
-        there = level_count(np.arange(64))[self.both.level(gram)] if self.n else np.zeros(len(h))
-        m, most = self.weight[before], np.maximum(level_count(before), 1.0)
-        out = np.log10(np.minimum(1.0, m * np.minimum(1.0, there / most) + (1 - m) * single))
-        return out if len(self.both.held) == self.both.segments else np.where(self.both.holds(gram), out, 0.0)
+_PROBES = [("rows", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary()), ("levels", pa.binary())]
+_COUNTS = [("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 
 
-def _score(model, heavy, n: int, v: int, names: list[str]):
+def _ask(shape: Filter, words, heavy, n: int, v: int, name: str):
+    """Of each chunk of texts the counts and base scores, as pass -1, and what it asks of each pass of the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (heavy_h, heavy_c) = model.value, heavy.value
+        heavy_h, heavy_c = heavy.value
+        row, step = TaskContext.get().partitionId() << 33, len(shape.held)
         for batch in chunks(batches, limit=_CHUNK):
             h, sizes = tokens(text_bytes(batch.column("text")))
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
+            starts = np.cumsum(sizes) - sizes
             code, seen = pd.factorize(h)
-            score = np.add.reduceat(m.log10(h, sizes, _token_levels(m.words, batch, code, seen)), starts)
             at = np.searchsorted(heavy_h, seen)
             at[at == len(heavy_h)] = 0
             heavy_seen = heavy_h[at] == seen if len(heavy_h) else np.zeros(len(seen), bool)
@@ -344,55 +338,81 @@ def _score(model, heavy, n: int, v: int, names: list[str]):
                 rare, count = x[first], np.diff(np.concatenate((first, [len(x)])))
                 edges = np.searchsorted(d[first], np.arange(len(sizes) + 1)).astype(np.int32)
             offsets = pa.array(edges, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in names), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(score),
-                    pa.ListArray.from_arrays(offsets, pa.array(rare.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64))),
-                ],
-                [*names, "n_tokens", "n_known", "base_score", "score", "rare", "times"],
-            )
+            rows = row + np.arange(len(sizes))
+            row += len(sizes)
+            counts = [
+                pa.array(rows), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)),
+                pa.ListArray.from_arrays(offsets, pa.array(rare.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64))),
+            ]
+            ids = batch.column(name)
+            yield _answer(ids, counts, [pa.nulls(len(sizes), t) for _, t in _PROBES], np.full(len(sizes), -1))
+            level = _token_levels(words.value, batch, code, seen).astype(np.uint8)
+            before = _before(level, sizes).astype(np.uint8)
+            gram, _ = pairs(h, sizes)
+            part = Filter.place(gram, shape.segments)[0] // step
+            order = np.argsort(part.astype(np.uint16) if shape.segments // step < 1 << 16 else part, kind="stable")
+            part, gram, level, before, doc = part[order], gram[order], level[order], before[order], doc[order]
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            asked: list[list[bytes]] = [[], [], [], []]
+            for a, b in zip(cut, cut[1:], strict=False):
+                first = np.flatnonzero(np.concatenate(([True], doc[a + 1 : b] != doc[a : b - 1])))
+                asked[0].append(zlib.compress(np.diff(rows[doc[a:b][first]], prepend=0).tobytes(), 1))
+                asked[1].append(zlib.compress(np.diff(np.append(first, b - a)).astype("<u4").tobytes(), 1))
+                asked[2].append(gram[a:b].tobytes())
+                asked[3].append(zlib.compress(level[a:b].tobytes() + before[a:b].tobytes(), 1))
+            many = len(cut) - 1
+            yield _answer(pa.nulls(many, ids.type), [pa.nulls(many, t) for _, t in _COUNTS], [pa.array(x, pa.binary()) for x in asked], part[cut[:-1]])
 
     return run
 
 
-def _more(model):
-    """(row, more): what the tokens of another pass add to the scores."""
+def _answer(ids: pa.Array, counts: list[pa.Array], probes: list[pa.Array], part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *counts, *probes, pa.array(part.astype(np.int32))], ["id", *(c for c, _ in _COUNTS), *(c for c, _ in _PROBES), "pass"])
+
+
+def _tell(both, n: int, v: int, weight: np.ndarray):
+    """(row, score): what the tokens of one pass add to the scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=_CHUNK):
-            h, sizes = tokens(text_bytes(batch.column("text")))
-            level = _token_levels(model.value.words, batch, *pd.factorize(h))
-            part = np.add.reduceat(model.value.log10(h, sizes, level), np.cumsum(sizes) - sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(part)], ["row", "more"])
+        for batch in batches:
+            for rows, sizes, grams, marks in zip(*(batch.column(c).to_pylist() for c, _ in _PROBES), strict=True):
+                row = np.cumsum(np.frombuffer(zlib.decompress(rows), np.int64))
+                size = np.frombuffer(zlib.decompress(sizes), "<u4").astype(np.int64)
+                level, before = np.frombuffer(zlib.decompress(marks), np.uint8).reshape(2, -1).astype(np.int64)
+                each = _log10(both.value, n, v, weight, np.frombuffer(grams, np.uint64), level, before)
+                yield pa.RecordBatch.from_pydict({"row": pa.array(row), "score": pa.array(np.add.reduceat(each, np.cumsum(size) - size))})
 
     return run
 
 
-def score(docs: DataFrame, learn: Column, bits_per_token: int = 8, max_bits: int = 1 << 31, id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, learn: Column, bits_per_token: int = 8, max_bits: int = 1 << 28, max_word_bits: int = 1 << 29, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``; ``learn`` marks the training rows."""
+    with Scratch() as own:
+        found, kept = _scored(docs, learn, bits_per_token, max_bits, max_word_bits, id_col)
+        own.release(*kept)
+    return found
+
+
+def _scored(docs: DataFrame, learn: Column, bits_per_token: int, max_bits: int, max_word_bits: int, id_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """What score returns, and the tables that it scans."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), "text", learn.alias("learn"))
+    rows = docs.select(F.col(id_col).alias("id"), "text", learn.alias("learn"))
     vocabulary = materialize(rows.filter("learn").select("text").mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
     total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    segments = max(1, min(1 << 14, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n >> 22) + 1)))
-    word_passes, _, _ = _filter(vocabulary, _word_rows, segments, max(1 << 16, bits_per_token * 3 * v), max(1, max_bits // 4))
-    pair_bits = max(1 << 16, bits_per_token * n)
-    names, words = [id_col, "text", "learn"], None
-    if len(word_passes) > 1 or pair_bits > max_bits:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
-        names.append("row")
-        if len(word_passes) == 1:
-            rows = materialize(rows, "lm-texts")
-    if len(word_passes) > 1:
+    segments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n >> 22) + 1)
+    word_passes, _, _, _ = _filter(vocabulary, _word_rows, segments, max(1 << 16, bits_per_token * 3 * v), max_word_bits)
+    words, texts = None, ["text", "levels"]
+    if len(word_passes) == 1:
+        words, texts = word_passes[0](), ["text"]
+    else:
         rows = rows.withColumn("levels", F.lit(None).cast("binary"))
-        ddl = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names), "levels binary"])
+        ddl = f"id {rows.schema['id'].dataType.simpleString()}, text string, learn boolean, levels binary"
         for load in word_passes:
             held = spark.sparkContext.broadcast(load())
-            rows = materialize(rows.mapInArrow(_add_levels(held, names), ddl), "lm-texts")
+            before, rows = rows, materialize(rows.mapInArrow(_add_levels(held, ["id", "text", "learn"]), ddl), "lm-texts")
+            discard(before)
             held.destroy()
-    else:
-        words = word_passes[0]()
     held = spark.sparkContext.broadcast(words)
 
     def packed(segments: int):
@@ -401,32 +421,31 @@ def score(docs: DataFrame, learn: Column, bits_per_token: int = 8, max_bits: int
 
         return run
 
-    texts = ["text"] if words is not None else ["text", "levels"]
-    pair_passes, types, uses = _filter(rows.filter("learn").select(*texts), packed, segments, pair_bits, max_bits)
+    pair_passes, shape, types, uses = _filter(rows.filter("learn").select(*texts), packed, segments, max(1 << 16, bits_per_token * n), max_bits)
     weight = uses / np.maximum(1, uses + types)
     weight[0] = 0.0
     heavy_rows = vocabulary.filter(F.col("c") * HEAVY_SHARE >= n).toArrow()
     h = pc.fill_null(heavy_rows.column("h"), 0).to_numpy().view(np.uint64)
     order = np.argsort(h)
     heavy = spark.sparkContext.broadcast((h[order], heavy_rows.column("c").to_numpy()[order]))
-    model_held = spark.sparkContext.broadcast(Model(words, pair_passes[0](), n, v, weight))
-    own = [id_col] if len(pair_passes) == 1 else [id_col, "row"]
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own), "n_tokens long, n_known long, base_score double, score double, rare array<bigint>, times array<bigint>"])
-    first = rows.select(*own, *texts).mapInArrow(_score(model_held, heavy, n, v, own), schema)
-    first = materialize(first if "row" in own else first.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    added = []
-    for load in pair_passes[1:]:
-        model_held.destroy()
-        model_held = spark.sparkContext.broadcast(Model(words, load(), n, v, weight))
-        added.append(materialize(rows.select("row", *texts).mapInArrow(_more(model_held), "row long, more double"), "lm-more"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base_score double, rare array<bigint>, times array<bigint>, rows binary, sizes binary, grams binary, levels binary, pass int"
+    asked = materialize(rows.select("id", *texts).mapInArrow(_ask(shape, held, heavy, n, v, "id"), schema), "lm-probes", part="pass")
+    held.destroy()
+    told = []
+    for i, load in enumerate(pair_passes):
+        both = spark.sparkContext.broadcast(load())
+        probes = asked.filter(F.col("pass") == i).select(*(c for c, _ in _PROBES))
+        told.append(materialize(probes.mapInArrow(_tell(both, n, v, weight), "row long, score double").withColumn("pass", F.lit(i)), "lm-scores"))
+        both.destroy()
+    # added up in the order of the passes, so that reruns agree to the last bit
+    scores = reduce(DataFrame.unionByName, told).groupBy("row").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("pass", "score"))), F.lit(0.0), lambda a, x: a + x["score"]).alias("score"))
+    first = asked.filter(F.col("pass") == -1).select("id", *(c for c, _ in _COUNTS))
     each = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     counts = vocabulary.filter(F.col("c") * HEAVY_SHARE < n)
     found = each.join(counts, "h", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
     logs = F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
     more = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * logs).alias("more_base"))
-    if added:
-        rest = reduce(DataFrame.unionByName, added).groupBy("row").agg(F.sum("more").alias("more_score"))
-        first = first.join(rest, "row").withColumn("score", F.col("score") + F.col("more_score"))
-    return first.drop("rare", "times").join(more, "row", "left").select(
-        id_col, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+    out = first.drop("rare", "times").join(scores, "row").join(more, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
     )
+    return out, [asked, vocabulary, *told]

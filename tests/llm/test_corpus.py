@@ -199,6 +199,28 @@ def test_lm_base_and_model(spark, docs, monkeypatch):
     assert sum(r.score for r in rows.values()) > sum(r.base_score for r in rows.values())
 
 
+def test_lm_score_against_brute_force(docs):
+    rows = {r.doc_id: r for r in lm_score.score(docs, id_remainder("doc_id", 5) != 1, bits_per_token=200, max_bits=1 << 18).collect()}
+    tokens = {i: [*map(lower, words(t)), None] for i, t, *_ in DOCS}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts, both = Counter(w for t in train for w in t), Counter((u, w) for t in train for u, w in zip([None, *t], t))
+    n, v = sum(counts.values()), len(counts)
+    level = lambda c: c.bit_length()
+    mean = lambda c: 1.5 * 2 ** (level(c) - 1) - 0.5 if c else 0.0
+    uses, types = Counter(), Counter()
+    for (u, _), c in both.items():
+        uses[level(counts[u])] += c
+        types[level(counts[u])] += 1
+    for i, t in tokens.items():
+        want = 0.0
+        for u, w in zip([None, *t], t):
+            k = level(counts[u])
+            m = uses[k] / (uses[k] + types[k]) if k else 0.0
+            single = (mean(counts[w]) + 0.5) / (n + 0.5 * (v + 1))
+            want += math.log10(min(1.0, m * min(1.0, mean(both[u, w]) / max(1.0, mean(counts[u]))) + (1 - m) * single))
+        assert rows[i].score == pytest.approx(want)
+
+
 def test_filter_never_underestimates():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
