@@ -49,8 +49,8 @@ _MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: The end token; no word hashes are fixed, so this value only has to differ from them by chance.
 END = np.uint64(0x5851F42D4C957F2D)
 HEAVY_SHARE = 1 << 20
-#: Bytes of text taken at once.
-_CHUNK = 4 << 20
+#: Bytes of text taken at once; fewer where much is held for each token.
+_CHUNK, _ASKED = 4 << 20, 1 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +99,8 @@ class Filter:
 
     @staticmethod
     def place(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-        """Segment of an n-gram's hash, and the 40 bits that name it there. Equal names only merge counts, upwards."""
-        return ((h >> np.uint64(40)) % np.uint64(segments)).astype(np.int64), h & np.uint64((1 << 40) - 1)
+        """Segment of an n-gram's hash, and the 40 bits that name it there, both from its lower 48 bits. Equal names only merge counts, upwards."""
+        return ((h >> np.uint64(24) & np.uint64((1 << 24) - 1)) % np.uint64(segments)).astype(np.int64), h & np.uint64((1 << 40) - 1)
 
     def _probe(self, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Word within the part, and the four bits there."""
@@ -318,7 +318,7 @@ def _ask(shape: Filter, words, heavy, n: int, v: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy_h, heavy_c = heavy.value
         row, step = TaskContext.get().partitionId() << 33, len(shape.held)
-        for batch in chunks(batches, limit=_CHUNK):
+        for batch in chunks(batches, limit=_ASKED):
             h, sizes = tokens(text_bytes(batch.column("text")))
             starts = np.cumsum(sizes) - sizes
             code, seen = pd.factorize(h)
@@ -358,7 +358,7 @@ def _ask(shape: Filter, words, heavy, n: int, v: int, name: str):
                 first = np.flatnonzero(np.concatenate(([True], doc[a + 1 : b] != doc[a : b - 1])))
                 asked[0].append(zlib.compress(np.diff(rows[doc[a:b][first]], prepend=0).tobytes(), 1))
                 asked[1].append(zlib.compress(np.diff(np.append(first, b - a)).astype("<u4").tobytes(), 1))
-                asked[2].append(gram[a:b].tobytes())
+                asked[2].append(gram[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 asked[3].append(zlib.compress(level[a:b].tobytes() + before[a:b].tobytes(), 1))
             many = len(cut) - 1
             yield _answer(pa.nulls(many, ids.type), [pa.nulls(many, t) for _, t in _COUNTS], [pa.array(x, pa.binary()) for x in asked], part[cut[:-1]])
@@ -379,7 +379,9 @@ def _tell(both, n: int, v: int, weight: np.ndarray):
                 row = np.cumsum(np.frombuffer(zlib.decompress(rows), np.int64))
                 size = np.frombuffer(zlib.decompress(sizes), "<u4").astype(np.int64)
                 level, before = np.frombuffer(zlib.decompress(marks), np.uint8).reshape(2, -1).astype(np.int64)
-                each = _log10(both.value, n, v, weight, np.frombuffer(grams, np.uint64), level, before)
+                gram = np.zeros((len(level), 8), np.uint8)
+                gram[:, :6] = np.frombuffer(grams, np.uint8).reshape(-1, 6)
+                each = _log10(both.value, n, v, weight, gram.view("<u8")[:, 0], level, before)
                 yield pa.RecordBatch.from_pydict({"row": pa.array(row), "score": pa.array(np.add.reduceat(each, np.cumsum(size) - size))})
 
     return run
@@ -400,7 +402,7 @@ def _scored(docs: DataFrame, learn: Column, bits_per_token: int, max_bits: int,
     vocabulary = materialize(rows.filter("learn").select("text").mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
     total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    segments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n >> 22) + 1)
+    segments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n >> 21) + 1)
     word_passes, _, _, _ = _filter(vocabulary, _word_rows, segments, max(1 << 16, bits_per_token * 3 * v), max_word_bits)
     words, texts = None, ["text", "levels"]
     if len(word_passes) == 1:
