@@ -6,19 +6,22 @@ longest matching prefix, then all trees ascend together, one bit at a time: the
 rows that share the shorter prefix join the candidates until enough are found.
 Candidates are ranked by exact cosine in double precision.
 
-The rows are split into shards of bounded size, each with a forest of its own;
-every query block visits every shard and the best few of all shards are merged.
-The candidate budget is a fraction of a shard, so recall doesn't depend on the
+The rows are split into shards of bounded size. A task holds one shard's forest,
+built once, and the queries stream past it; the best few of all shards are merged.
+The candidate budget is a share of a shard, so recall doesn't depend on the
 number of rows (isotropic vectors have no short cut: the nearest are hardly
 nearer than the rest, and a fixed budget would lose recall as the rows grow).
+Many trees make the share small: their longer prefixes tell more. The last level of
+the ascent is taken tree by tree, so that the share is met closely.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; so do rows of another dimension than the most frequent
 (ties: the larger). Equal vectors form one class, searched once; the class keeps
 the smallest ``k + 1`` ids, which is all that ``k`` results with ties to the
-smaller id can need. Repeated ids are separate candidates. Rows with a null id
-are left out. Fewer than ``k`` candidates give fewer rows; an empty table none.
-Other columns are ignored.
+smaller id can need. Repeated ids are separate candidates, and separate queries with
+a list each, even if their vectors are equal; a query leaves out one row with its id
+and vector, itself. Rows with a null id are left out. Fewer than ``k`` candidates give
+fewer rows; an empty table none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,97 +29,141 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from echosieve.storage import materialize
 
-_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-
-
-def _planes(dim: int, trees: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, trees * bits))
+_FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def hash_strings(x: np.ndarray, trees: int, bits: int, seed: int) -> np.ndarray:
-    """(rows, trees) strings of ``bits`` sign bits, the first bit most significant."""
-    signs = (x @ _planes(x.shape[1], trees, bits, seed) > 0).reshape(len(x), trees, bits)
-    packed = np.packbits(signs, axis=2)
-    full = np.zeros((len(x), trees, 8), np.uint8)
-    full[:, :, : packed.shape[2]] = packed
-    return full.view(">u8")[:, :, 0].astype(np.uint64)
+    """(rows, trees) strings of up to 32 sign bits, the first bit most significant."""
+    planes = np.random.default_rng(seed).standard_normal((x.shape[1], trees * bits)).astype(np.float32)
+    out = np.zeros((len(x), trees, 4), np.uint8)
+    for a in range(0, len(x), 1024):
+        signs = (x[a : a + 1024].astype(np.float32) @ planes > 0).reshape(-1, trees, bits)
+        out[a : a + 1024, :, : -(-bits // 8)] = np.packbits(signs, axis=2)
+    return out.view(">u4")[:, :, 0].astype(np.uint32)
 
 
 class Forest:
-    """Sorted arrays of hash strings of one shard."""
+    """Sorted arrays of hash strings of one shard, one for each tree."""
 
     def __init__(self, x: np.ndarray, trees: int, bits: int, seed: int):
         self.bits, self.trees, self.seed, self.n = bits, trees, seed, len(x)
-        keys = hash_strings(x, trees, bits, seed)
-        self.order = np.argsort(keys, axis=0, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, axis=0)
+        keys = hash_strings(x, trees, bits, seed).T
+        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
+        self.keys = np.take_along_axis(keys, self.order, axis=1)
+
+    def _range(self, keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each tree and query the range of rows that share ``depth`` bits with the query."""
+        rest = np.uint32((1 << (32 - depth)) - 1) if depth else np.uint32(0xFFFFFFFF)
+        low, high = keys & ~rest, keys | rest
+        return (
+            np.stack([np.searchsorted(self.keys[t], low[:, t], "left") for t in range(self.trees)]),
+            np.stack([np.searchsorted(self.keys[t], high[:, t], "right") for t in range(self.trees)]),
+        )
+
+    def _rows(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """All rows in one range of each tree, with repeats."""
+        many = hi - lo
+        tree = np.repeat(np.arange(self.trees), many)
+        return self.order[tree, np.arange(len(tree)) - np.repeat(np.cumsum(many) - many - lo, many)]
 
     def candidates(self, q: np.ndarray, least: int) -> Iterator[np.ndarray]:
         """For each query the rows of the longest prefixes, at least ``least`` if there are as many."""
         keys = hash_strings(q, self.trees, self.bits, self.seed)
-        levels = [self._ranges(keys, depth) for depth in range(self.bits + 1)]
+        levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def at(depth: int) -> tuple[np.ndarray, np.ndarray]:
+            if depth not in levels:
+                levels[depth] = self._range(keys, depth)
+            return levels[depth]
+
         for i in range(len(q)):
-            # descend: no tree's longest match is deeper than the last level with rows
+            # descend: the longest prefixes that all trees together have enough rows for, if none of them were the same
             depth = self.bits
-            while depth and not any(levels[depth][1][t][i] > levels[depth][0][t][i] for t in range(self.trees)):
+            while depth and int((at(depth)[1][:, i] - at(depth)[0][:, i]).sum()) < least:
                 depth -= 1
-            seen = np.zeros(self.n, bool)
             while True:
-                lo, hi = levels[depth]
-                if depth == 0 or sum(int(hi[t][i] - lo[t][i]) for t in range(self.trees)) >= least:
-                    for t in range(self.trees):
-                        seen[self.order[lo[t][i] : hi[t][i], t]] = True
-                    if depth == 0 or np.count_nonzero(seen) >= least:
-                        break
+                lo, hi = at(depth)[0][:, i], at(depth)[1][:, i]
+                seen = np.zeros(self.n, bool)
+                seen[self._rows(lo, hi)] = True
+                if depth == 0 or np.count_nonzero(seen) >= least:
+                    break
                 depth -= 1
+            if depth < self.bits:
+                # ascend the last bit tree by tree
+                below = at(depth + 1)
+                rows = np.concatenate((self._rows(below[0][:, i], below[1][:, i]), self._rows(lo, hi)))
+                first = np.sort(np.unique(rows, return_index=True)[1])
+                seen = np.zeros(self.n, bool)
+                within = int((below[1][:, i] - below[0][:, i]).sum())
+                seen[rows[first[: max(least, int(np.searchsorted(first, within)))]]] = True
             yield np.flatnonzero(seen)
 
-    def _ranges(self, keys: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        rest = np.uint64((1 << (64 - depth)) - 1) if depth else np.uint64(0xFFFFFFFFFFFFFFFF)
-        low, high = keys & ~rest, keys | rest
-        return (
-            [np.searchsorted(self.keys[:, t], low[:, t], "left") for t in range(self.trees)],
-            [np.searchsorted(self.keys[:, t], high[:, t], "right") for t in range(self.trees)],
-        )
 
+class _Shard:
+    """The points of one shard and their forest."""
+
+    def __init__(self, vectors: list, ids: list, trees: int, bits: int, seed: int, share: float, least: int):
+        self.x = np.array(vectors, np.float64)
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        self.ids = [sorted(v) for v in ids]
+        self.forest = Forest(self.x / self.norm[:, None], trees, bits, seed)
+        self.least = min(len(self.x), max(least, int(np.ceil(share * len(self.x)))))
 
-def _search(trees: int, bits: int, seed: int, share: float, least: int, k: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        queries, points = rows[rows.is_query], rows[~rows.is_query]
-        found: list[tuple[int, int, float]] = []
-        if len(queries) and len(points):
-            x = np.stack(points.vector.to_numpy())
-            y = np.stack(queries.vector.to_numpy())
-            norm_x, norm_y = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-            unit = x / norm_x[:, None]
-            ids = [np.sort(np.asarray(v, np.int64)) for v in points.ids]
-            forest = Forest(unit, trees, bits, seed)
-            enough = min(len(x), max(least, int(np.ceil(share * len(x)))))
-            for i, (own, got) in enumerate(zip(queries.query_id, forest.candidates(y / norm_y[:, None], enough), strict=True)):
-                score = (x[got] @ y[i]) / (norm_x[got] * norm_y[i])
-                best = got[np.argpartition(-score, k)[: k + 1]] if len(got) > k + 1 else got
+    def search(self, y: np.ndarray, own: list[int], k: int) -> Iterator[tuple[int, int, float]]:
+        """(number of the query, id, score) of the ``k`` nearest of each query."""
+        norm = np.sqrt((y * y).sum(1))
+        for i, got in enumerate(self.forest.candidates(y / norm[:, None], self.least)):
+            score = (self.x[got] @ y[i]) / (self.norm[got] * norm[i])
+            near = np.ones(len(got), bool)
+            if len(got) > k + 1:
                 # every class as near as the last one kept may hold a smaller id
-                near = score >= np.min(score[np.isin(got, best)]) if len(got) > k + 1 else np.ones(len(got), bool)
-                rows_near = [(float(s), int(v)) for g, s in zip(got[near], score[near], strict=True) for v in ids[g]]
-                own_left = 1
-                kept = []
-                for s, v in sorted(rows_near, key=lambda z: (-z[0], z[1])):
-                    if v == own and own_left:
-                        own_left = 0
+                near = score >= np.partition(score, len(got) - k - 1)[len(got) - k - 1]
+            rows = []
+            for g, s in zip(got[near].tolist(), score[near].tolist(), strict=True):
+                ids = list(self.ids[g])
+                if own[i] in ids and (self.x[g] == y[i]).all():
+                    ids.remove(own[i])
+                rows += [(-s, v) for v in ids]
+            for s, v in sorted(rows)[:k]:
+                yield i, v, -s
+
+
+def _search(trees: int, bits: int, seed: int, share: float, least: int, k: int, at_once: int = 1024):
+    """Of each shard the points come first, then all queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, vectors, ids, shard = None, [], [], None
+        for batch in batches:
+            for a in range(0, batch.num_rows, at_once):
+                part = batch.slice(a, at_once)
+                number, kind = part.column("shard").to_numpy(), part.column("kind").to_numpy()
+                cut = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (kind[1:] != kind[:-1]), [True])))
+                for x, y in zip(cut, cut[1:], strict=False):
+                    if number[x] != now:
+                        now, vectors, ids, shard = number[x], [], [], None
+                    rows = part.slice(x, y - x)
+                    if kind[x] == 0:
+                        vectors += rows.column("vector").to_pylist()
+                        ids += rows.column("ids").to_pylist()
+                        continue
+                    if not vectors:
                         continue
-                    kept.append((int(own), v, s))
-                    if len(kept) == k:
-                        break
-                found += kept
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                    shard = shard or _Shard(vectors, ids, trees, bits, seed, share, least)
+                    query, own = rows.column("query").to_pylist(), rows.column("own").to_pylist()
+                    found = list(shard.search(np.array(rows.column("vector").to_pylist(), np.float64), own, k))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "query": pa.array([query[i] for i, _, _ in found], pa.int64()), "query_id": pa.array([own[i] for i, _, _ in found], pa.int64()),
+                            "vec_id": pa.array([v for _, v, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.float64()),
+                        }
+                    )
 
     return run
 
@@ -127,18 +174,17 @@ def nearest(
     k: int = 5,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    trees: int = 32,
-    bits: int = 48,
-    share: float = 0.6,
-    least: int = 512,
-    shard_rows: int = 8192,
-    query_block: int = 2048,
+    trees: int = 256,
+    bits: int = 32,
+    share: float = 0.28,
+    least: int = 256,
+    shard_rows: int = 16384,
     seed: int = 17,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row.
 
     ``is_query`` is a condition on the id column. ``share`` and ``least`` bound the candidates of each shard
-    from below; ``shard_rows`` and ``query_block`` bound what one task holds.
+    from below; ``shard_rows`` bounds what one task holds.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"), is_query.alias("q"))
     ok = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
@@ -150,12 +196,12 @@ def nearest(
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("r") <= k + 1)
     classes = ranked.groupBy("vector").agg(F.collect_list("id").alias("ids"))
     points = materialize(classes.withColumn("h", F.xxhash64("vector")), "ann-points")
-    queries = materialize(rows.filter(F.coalesce("q", F.lit(False))).select(F.col("id").alias("query_id"), "vector").withColumn("h", F.xxhash64("query_id")), "ann-queries")
-    n, m = points.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_block))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    p = points.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(False).alias("is_query"), F.lit(None).cast("long").alias("query_id"), "vector", "ids")
-    q = queries.select(every(shards).alias("shard"), F.pmod("h", F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("is_query"), "query_id", "vector", F.lit(None).cast("array<bigint>").alias("ids"))
-    found = p.unionByName(q).groupBy("shard", "block").applyInPandas(_search(trees, bits, seed, share, least, k), _FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    queries = rows.filter(F.coalesce("q", F.lit(False))).select(F.monotonically_increasing_id().alias("query"), F.col("id").alias("own"), "vector")
+    queries = materialize(queries, "ann-queries")
+    shards = max(1, -(-points.count() // shard_rows))
+    p = points.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("long").alias("own"), "vector", "ids")
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "query", "own", "vector", F.lit(None).cast("array<bigint>").alias("ids"))
+    dealt = p.unionByName(q).repartition("shard").sortWithinPartitions("shard", "kind")
+    found = dealt.mapInArrow(_search(trees, bits, seed, share, least, k), _FOUND)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -129,7 +129,7 @@ def test_nearest_recall_and_order(spark):
     x[100:130] = x[99]
     bad = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [float("inf")] * 16), (9005, [1.0]), (9006, []), (9007, [None] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + bad, "vec_id bigint, embedding array<float>")
-    rows = ann.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=700, query_block=30, least=64).collect()
+    rows = ann.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=700, least=64).collect()
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.vec_id, r.score))
@@ -151,10 +151,26 @@ def test_forest_takes_longest_prefixes_first():
     forest = ann.Forest(x, 4, 32, 5)
     keys = ann.hash_strings(x, 4, 32, 5)
     for i, got in enumerate(forest.candidates(x[:5], 20)):
-        prefix = [max(64 - int(int(keys[j, t]) ^ int(keys[i, t])).bit_length() for t in range(4)) for j in range(200)]
-        prefix = [min(p, 32) for p in prefix]
+        prefix = [max(32 - int(int(keys[j, t]) ^ int(keys[i, t])).bit_length() for t in range(4)) for j in range(200)]
         depth = max(d for d in range(33) if sum(p >= d for p in prefix) >= 20)
-        assert set(got) == {j for j in range(200) if prefix[j] >= depth}
+        # all rows of longer prefixes, and as many of the last level as are needed
+        assert {j for j in range(200) if prefix[j] > depth} <= set(got) <= {j for j in range(200) if prefix[j] >= depth} and len(got) == 20
+
+
+def test_search_is_exact_over_all_candidates(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((300, 6)), 1)
+    df = spark.createDataFrame([(i // 2, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rows = ann.nearest(df, F.col("vec_id") % 50 == 0, share=1.0, shard_rows=90).collect()
+    got = Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in rows)
+    norm = np.sqrt((x * x).sum(1))
+    want = Counter()
+    for i in range(300):
+        if i // 2 % 50 == 0:
+            score = x @ x[i] / (norm * norm[i])
+            others = sorted((-s, j // 2) for j, s in enumerate(score) if j != i)[:5]
+            want.update((i // 2, r + 1, v, round(-s, 9)) for r, (s, v) in enumerate(others))
+    assert got == want
 
 
 # --- language ---------------------------------------------------------------------
