@@ -201,7 +201,7 @@ def nearest(
     shards = max(1, -(-points.count() // shard_rows))
     p = points.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("long").alias("own"), "vector", "ids")
     q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "query", "own", "vector", F.lit(None).cast("array<bigint>").alias("ids"))
-    dealt = p.unionByName(q).repartition("shard").sortWithinPartitions("shard", "kind")
+    dealt = p.unionByName(q).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     found = dealt.mapInArrow(_search(trees, bits, seed, share, least, k), _FOUND)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

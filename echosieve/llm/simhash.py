@@ -6,30 +6,31 @@ equal depth together, adds up the bits in which their paths differ, and leaves a
 pair as soon as the sum is over the error budget; nodes of few fingerprints are
 compared directly.
 
-The trie is dealt to tasks by the pigeonhole rule: of ``budget + 1`` blocks of
-the 64 bits, two linked fingerprints agree in one at least. For each block the
-fingerprints are rotated to start with it; a task walks the sub-tries below some
-block values. A block value with too many fingerprints is split into groups,
-and each pair of groups is a task of its own, so a task's rows are bounded and
-no pair is lost. A task reports a spanning forest of the links that it finds,
+The trie is dealt to tasks by the pigeonhole rule: of ``budget + a`` blocks of
+the 64 bits, two linked fingerprints agree in ``a`` at least. For each choice of ``a``
+blocks the fingerprints' bits are reordered to start with them; a task walks the
+sub-tries below some values of these. With more fingerprints ``a`` is 1, 2 or 4, so that
+a value has few; each is copied at most 70 times (``budget`` 4), however many there are. A value
+with too many fingerprints all the same is split into groups, and each pair of groups is a
+task of its own, so what a task holds is bounded and no pair is lost. A task reports a spanning forest of the links that it finds,
 never all pairs. Components are found over these edges.
 
 A text is lower-cased (A-Z), its words are joined to shingles, every shingle's
 XXH64 votes on each bit. Defined results: null and empty texts have no words and
 fingerprint zero, and are linked like others. A null id names no component; a
 component with null ids only has a null id. Repeated rows or ids are returned
-each time. Other columns are ignored.
+each time. Other columns are ignored. A text of any length is handled whole, in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, repeat
+from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echosieve.llm.common import as_row, chunks, of_row, text_bytes
@@ -72,13 +73,37 @@ def _fingerprints(size: int, seed: int, names: list[str]):
     return run
 
 
-def block_starts(blocks: int) -> list[int]:
-    """First bit, from the most significant, of each block; then 64."""
-    return [round(64 * i / blocks) for i in range(blocks + 1)]
+class Deal:
+    """How fingerprints are dealt: of ``blocks`` blocks of their bits, links agree in at least ``blocks - budget``; each choice of so many is a key."""
 
+    def __init__(self, blocks: int, budget: int):
+        starts = [round(64 * i / blocks) for i in range(blocks + 1)]
+        #: first bit, from the most significant, and width of each block
+        self.blocks = [(a, b - a) for a, b in zip(starts, starts[1:], strict=False)]
+        self.keys = list(combinations(range(blocks), blocks - budget))
+        self.widths = [sum(self.blocks[b][1] for b in key) for key in self.keys]
 
-def rotated(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by)) if by else x
+    def value(self, key: tuple[int, ...]) -> Column:
+        """The bits of the key's blocks."""
+        out = F.lit(0).cast("long")
+        for b in key:
+            start, width = self.blocks[b]
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", 64 - start - width).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        return out
+
+    def first(self, x: np.ndarray, key: tuple[int, ...]) -> np.ndarray:
+        """The fingerprints with the key's blocks moved to the front."""
+        out = np.zeros(len(x), np.uint64)
+        for b in [*key, *(b for b in range(len(self.blocks)) if b not in key)]:
+            start, width = self.blocks[b]
+            out = (out << np.uint64(width)) | (x >> np.uint64(64 - start - width)) & np.uint64((1 << width) - 1)
+        return out
+
+
+def deal_for(n: int, budget: int, group: int) -> Deal:
+    """The fewest keys for which ``n`` fingerprints are few to a value: with a budget of 4, 5 of 12 bits, 15 of 20 or 70 of 32."""
+    deals = [Deal(budget + more, budget) for more in (1, 2, 4)]
+    return next((d for d in deals if n >> min(d.widths) <= group // 4), deals[-1])
 
 
 class Forest:
@@ -144,31 +169,45 @@ def trie_links(x: np.ndarray, depth: int, budget: int, at_once: int = 1 << 18, s
     return forest
 
 
-def _links(starts: list[int], budget: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(v) for v in zip(*[[b.column(c).to_numpy() for c in ("block", "part", "fp")] for b in batches if b.num_rows], strict=True)]
-        if not cols:
-            return
-        block, part, fp = cols[0], cols[1], cols[2].view(np.uint64)
+def _links(deal: Deal, budget: int, at_once: int):
+    """Links within the values of each key. Rows of a value follow each other; about ``at_once`` rows of whole values are held."""
+
+    def linked(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        block, part, fp = cols[0], cols[1], cols[3].view(np.uint64)
         order = np.lexsort((part, block))
         block, part, fp = block[order], part[order], fp[order]
         cut = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (part[1:] != part[:-1]), [True])))
         for a, b in zip(cut, cut[1:], strict=False):
             k = int(block[a])
-            x = np.unique(rotated(fp[a:b], starts[k]))
-            label = trie_links(x, starts[k + 1] - starts[k], budget).label
-            linked = np.flatnonzero(label != np.arange(len(x)))
-            back = lambda y, k=k: rotated(y, (64 - starts[k]) % 64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(back(x[linked])), "v": pa.array(back(x[label[linked]]))})
+            x, at = np.unique(deal.first(fp[a:b], deal.keys[k]), return_index=True)
+            label = trie_links(x, deal.widths[k], budget).label
+            found = np.flatnonzero(label != np.arange(len(x)))
+            own = fp[a:b][at].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(own[found]), "v": pa.array(own[label[found]])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("block", "part", "deal", "fp")]
+            if not len(cols[0]):
+                continue
+            if held and sum(len(c[0]) for c in held) >= at_once:
+                # up to the first value that starts in this batch
+                new = np.flatnonzero((cols[2] != held[-1][2][-1]) | (cols[0] != held[-1][0][-1]))
+                if len(new):
+                    yield from linked([np.concatenate(v) for v in zip(*held, [c[: new[0]] for c in cols], strict=True)])
+                    held, cols = [], [c[new[0] :] for c in cols]
+            held.append(cols)
+        if held:
+            yield from linked([np.concatenate(v) for v in zip(*held, strict=True)])
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 4, group: int = 4096, broadcast_rows: int = 100_000) -> DataFrame:
-    """(u, v): edges that connect exactly the fingerprints (distinct ``fp``) that chains of links connect."""
-    starts = block_starts(budget + 1)
-    value = lambda k: F.shiftrightunsigned(F.shiftleft("fp", starts[k]), 64 - starts[k + 1] + starts[k])
-    rows = fps.select("fp", F.inline(F.array(*(F.struct(F.lit(k).alias("block"), value(k).alias("value")) for k in range(budget + 1)))))
+def fingerprint_links(fps: DataFrame, budget: int = 4, group: int = 4096, broadcast_rows: int = 100_000, deal: Deal | None = None, at_once: int = 1 << 20) -> DataFrame:
+    """(u, v): edges that connect exactly the fingerprints (distinct ``fp``, cheap to read again) that chains of links connect."""
+    deal = deal or deal_for(fps.count(), budget, group)
+    rows = fps.select("fp", F.inline(F.array(*(F.struct(F.lit(k).alias("block"), deal.value(key).alias("value")) for k, key in enumerate(deal.keys)))))
     hot = materialize(rows.groupBy("block", "value").count().filter(F.col("count") > group), "hot-blocks")
     n = hot.count()
     if n:
@@ -179,7 +218,8 @@ def fingerprint_links(fps: DataFrame, budget: int = 4, group: int = 4096, broadc
         rows = rows.select("fp", "block", F.when(F.col("groups") > 1, F.xxhash64("block", task)).otherwise(F.lit(0)).alias("part"), F.xxhash64("block", task).alias("deal"))
     else:
         rows = rows.select("fp", "block", F.lit(0).cast("long").alias("part"), F.xxhash64("block", "value").alias("deal"))
-    return rows.repartition("deal").select("block", "part", "fp").mapInArrow(_links(starts, budget), "u long, v long").distinct()
+    dealt = rows.select("block", "part", "deal", "fp").repartition("deal").sortWithinPartitions("block", "deal")
+    return dealt.mapInArrow(_links(deal, budget, at_once), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, seed: int = 42, budget: int = 4, id_col: str = "doc_id") -> DataFrame:

@@ -548,6 +548,35 @@ def test_fingerprint_links(spark, group):
     assert len(edges) < 5 * 10 * len(fps)
 
 
+@pytest.mark.parametrize("more", [1, 2, 4])
+def test_every_link_agrees_in_some_key(spark, more):
+    deal = simhash.Deal(4 + more, 4)
+    assert len(deal.keys) == {1: 5, 2: 15, 4: 70}[more] and min(deal.widths) >= {1: 12, 2: 20, 4: 32}[more]
+    rng = np.random.default_rng(more)
+    x = rng.integers(0, 2**63, 300).astype(np.uint64)
+    y = x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 4)).astype(np.uint64), axis=1)
+    same = np.zeros(300, bool)
+    for key, width in zip(deal.keys, deal.widths, strict=True):
+        a, b = deal.first(x, key), deal.first(y, key)
+        assert (np.bitwise_count(a) == np.bitwise_count(x)).all() and (np.bitwise_count(a ^ b) == np.bitwise_count(x ^ y)).all()
+        same |= a >> np.uint64(64 - width) == b >> np.uint64(64 - width)
+    assert same.all()
+    fps = np.unique(np.concatenate((x, y)))
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp bigint")
+    edges = {(r.u, r.v) for r in simhash.fingerprint_links(df, deal=deal, at_once=50).collect()}
+    parent = {int(v): int(v) for v in fps.view(np.int64)}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for u, v in edges:
+        parent[max(root(u), root(v))] = min(root(u), root(v))
+    assert all(root(int(a)) == root(int(b)) for a, b in zip(x.view(np.int64), y.view(np.int64)))
+    assert len({root(v) for v in parent}) == len({*expected_components({int(v): int(np.uint64(v)) for v in fps}).values()})
+
+
 def test_trie_join_finds_every_link():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 2**16, 600).astype(np.uint64) << np.uint64(48))
