@@ -189,12 +189,36 @@ def test_language_profiles(spark):
     assert language_id.predict(spark.createDataFrame(held, "text string, want string"), {}).first().lang_pred == "und"
 
 
-def test_language_score_is_the_cosine_of_bundles():
-    grams = language_id.gram_vectors(256, 3, 7)
-    letters = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (32, 256))
-    assert (grams[(3 * 32 + 4) * 32 + 5] == np.roll(letters[3], 2) * np.roll(letters[4], 1) * letters[5]).all()
-    docs, ids, counts = language_id.gram_counts(["Ab", None, "a  b"], 3)
-    assert list(zip(docs, ids, counts)) == [(0, 1 * 32 + 2, 1), (0, (1 * 32 + 2) * 32, 1), (2, 32, 1), (2, (32 + 0) * 32 + 2, 1), (2, 2 * 32, 1)] or sorted(counts) == [1] * 5
+def test_language_score_is_the_cosine_of_bundles(spark):
+    texts = [("Ab", "xx"), ("a  b cé", "yy"), ("жд ж", "yy"), ("éa!", "xx"), ("中a文", None)]
+
+    def bundle(text, dim=64):
+        out = np.zeros(dim)
+        symbols = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+        symbols = [c for k, c in enumerate(symbols) if k == 0 or c or symbols[k - 1]]
+        for grams in zip(symbols, symbols[1:], symbols[2:]):
+            v = [language_id.letter_vector(c, dim, 7).astype(int) for c in grams]
+            out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return out
+
+    df = spark.createDataFrame(texts, "text string, lang string")
+    learned = language_id.learn(df, dim=64)
+    for lang in ("xx", "yy"):
+        assert (learned[lang] == sum(bundle(t) for t, x in texts if x == lang)).all()
+    for r in language_id.predict(df, learned, dim=64).collect():
+        own = bundle(r.text)
+        cosine = {x: own @ p / np.linalg.norm(own) / np.linalg.norm(p) for x, p in learned.items()}
+        assert r.score == pytest.approx(max(0.0, *cosine.values()), abs=1e-5) and (r.lang_pred == max(cosine, key=cosine.get) or abs(cosine["xx"] - cosine["yy"]) < 1e-5)
+
+
+def test_languages_of_one_script_that_share_no_letter_classes(spark):
+    """Two languages whose letters are other ones of the same script, equal modulo small numbers."""
+    rng = random.Random(9)
+    alphabets = {"aa": "абвгдежз", "bb": "екопуфхц", "cc": "عغفقكلمن"}
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(30))
+    learned = language_id.learn(spark.createDataFrame([(text(a), n) for n, a in alphabets.items() for _ in range(10)], "text string, lang string"))
+    held = [(text(a), n) for n, a in alphabets.items() for _ in range(20)]
+    assert all(r.lang_pred == r.want for r in language_id.predict(spark.createDataFrame(held, "text string, want string"), learned).collect())
 
 
 # --- language model ------------------------------------------------------------------
