@@ -108,7 +108,7 @@ def gram_counts(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray
 def _bundle(dim: int, n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, np.ndarray] = {}
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=2 << 20):
             langs, own = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
             docs, grams, counts = gram_counts(decoded(batch.column("text")), n)
             used, column = np.unique(grams, return_inverse=True)

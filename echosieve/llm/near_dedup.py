@@ -43,8 +43,10 @@ from echosieve.operators.components import connected_components
 from echosieve.storage import Scratch, discard, materialize
 
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
-#: Bits of the map of a set.
+#: Bits of the map of a set, at least.
 MAP_BITS = 2048
+#: Bytes of text taken at once.
+_CHUNK = 2 << 20
 #: One different text in so many is counted to find common shingles, which so many of the sample share; at most so many are told apart.
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 1 << 20
 _EPS = 1e-9
@@ -83,14 +85,13 @@ class Sets:
         return np.array([xxhash.xxh64_intdigest(self[i].tobytes()) - 2**63 for i in range(len(self.n))], np.int64)
 
     def maps(self) -> list[bytes]:
-        """Of each text the places that its shingles take among MAP_BITS; of few texts at once."""
+        """Of each text the places that its shingles take among MAP_BITS, or the power of two of at least 4 for each shingle."""
         out = []
-        for a in range(0, len(self.n), 2048):
-            b = min(a + 2048, len(self.n))
-            x, y = self.ends[a] - self.n[a], self.ends[b - 1]
-            bits = np.zeros((b - a, MAP_BITS), np.uint8)
-            bits[self.text[x:y] - a, (self.h[x:y] % np.uint64(MAP_BITS)).astype(np.int64)] = 1
-            out += [r.tobytes() for r in np.packbits(bits, axis=1)]
+        for i, n in enumerate(self.n.tolist()):
+            size = max(MAP_BITS, 1 << (4 * n - 1).bit_length() if n else 0)
+            bits = np.zeros(size, np.uint8)
+            bits[(self[i] & np.uint64(size - 1)).astype(np.int64)] = 1
+            out.append(np.packbits(bits).tobytes())
         return out
 
 
@@ -106,7 +107,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 def _marks(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=_CHUNK):
             sets = Sets(text_bytes(batch.column("text")), size)
             prints = np.array([fold(sets[i]) for i in range(len(sets.n))], np.uint64).view(np.int64)
             own = [pa.array(sets.keys()), pa.array(sets.n), pa.array(sets.maps(), pa.binary()), pa.array(prints)]
@@ -117,7 +118,7 @@ def _marks(size: int, names: list[str]):
 
 def _all_shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=_CHUNK):
             yield pa.RecordBatch.from_pydict({"shingle": pa.array(Sets(text_bytes(batch.column("text")), size).h.view(np.int64))})
 
     return run
@@ -128,7 +129,7 @@ def _prefixes(size: int, threshold: float, common):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=_CHUNK):
             sets = Sets(text_bytes(batch.column("text")), size)
             h, text = sets.h, sets.text
             if len(known) and len(h):
@@ -165,17 +166,25 @@ def _maps_allow(threshold: float):
     def run(map_a: pd.Series, map_b: pd.Series, n: pd.Series) -> pd.Series:
         if not len(n):
             return pd.Series([], dtype="bool")
-        a, b = (np.frombuffer(b"".join(x), np.uint64).reshape(len(n), -1) for x in (map_a, map_b))
-        return pd.Series(np.bitwise_count(a ^ b).sum(1) <= n.to_numpy() * (1 - threshold) / (1 + threshold) + _EPS)
+        differ = np.zeros(len(n), np.int64)
+        small = ((map_a.str.len() == MAP_BITS // 8) & (map_b.str.len() == MAP_BITS // 8)).to_numpy()
+        if small.any():
+            a, b = (np.frombuffer(b"".join(x[small]), np.uint64).reshape(int(small.sum()), -1) for x in (map_a, map_b))
+            differ[small] = np.bitwise_count(a ^ b).sum(1)
+        for i in np.flatnonzero(~small):
+            a, b = sorted((np.frombuffer(x.iloc[i], np.uint64) for x in (map_a, map_b)), key=len)
+            # the larger map folded to the size of the smaller
+            differ[i] = np.bitwise_count(a ^ np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)).sum()
+        return pd.Series(differ <= n.to_numpy() * (1 - threshold) / (1 + threshold) + _EPS)
 
     return run
 
 
 def _similar(size: int, threshold: float, at_once: int = 256):
-    """(u, v): the pairs that reach the threshold, few at once, since each brings both texts."""
+    """(u, v): the pairs that reach the threshold, few and of few bytes at once, since each brings both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text_a", 1 << 20):
             for x in range(0, batch.num_rows, at_once):
                 part = batch.slice(x, at_once)
                 sets = [Sets(text_bytes(part.column(c)), size) for c in ("text_a", "text_b")]
