@@ -64,10 +64,13 @@ def capped(prints: DataFrame, cap: int) -> DataFrame:
     return prints.join(counts.select("fp"), "fp", "left_semi")
 
 
-def shared_windows(kept: DataFrame) -> DataFrame:
-    """(a, b, len_a, len_b, shared) of class pairs with windows in common; a = b for classes of several blocks."""
+def shared_windows(kept: DataFrame, allowed: Column | None = None) -> DataFrame:
+    """(a, b, len_a, len_b, shared) of class pairs with windows in common; a = b for classes of several blocks.
+
+    ``allowed`` is a condition on len_a and len_b that pairs of other lengths fail while they are joined, before they are counted.
+    """
     side = lambda s: kept.select("fp", F.col("class_id").alias(s), F.col("len").alias(f"len_{s}"))
-    across = side("a").join(side("b"), "fp").filter("a < b").groupBy("a", "b", "len_a", "len_b").agg(F.count("*").alias("shared"))
+    across = side("a").join(side("b"), "fp").filter((F.col("a") < F.col("b")) & (F.lit(True) if allowed is None else allowed)).groupBy("a", "b", "len_a", "len_b").agg(F.count("*").alias("shared"))
     within = kept.filter("n > 1").groupBy(F.col("class_id").alias("a"), F.col("len").alias("len_a")).agg(F.count("*").alias("shared"))
     return across.unionByName(within.select("a", F.col("a").alias("b"), "len_a", F.col("len_a").alias("len_b"), "shared"))
 
@@ -85,12 +88,17 @@ def bag_counts(classes: DataFrame) -> DataFrame:
 def bag_overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``pairs`` (a, b, len_a, len_b, shared) with ``common``, the size of their common multiset of ids, where it isn't empty.
 
-    Counts are joined, so no row holds more than a pair and an id.
+    A class's bag is made once, as the set of its ids numbered by occurrence, so that
+    a pair costs one intersection of sets.
     """
-    counts = materialize(bag_counts(classes), "bags")
-    side = lambda s: counts.select(F.col("class_id").alias(s), "id", F.col("c").alias(f"c_{s}"))
+    kept = pairs.filter("a < b")
+    used = kept.select(F.col("a").alias("class_id")).union(kept.select("b")).distinct()
+    numbered = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1).cast("long"), "c"), lambda k: F.xxhash64("id", k))))
+    bags = materialize(bag_counts(classes.join(used, "class_id", "left_semi")).groupBy("class_id").agg(numbered.alias("bag")), "bags")
+    side = lambda s: bags.select(F.col("class_id").alias(s), F.col("bag").alias(f"bag_{s}"))
     keys = ["a", "b", "len_a", "len_b", "shared"]
-    across = pairs.filter("a < b").join(side("a"), "a").join(side("b"), ["b", "id"]).groupBy(*keys).agg(F.sum(F.least("c_a", "c_b")).alias("common"))
+    common = F.size(F.array_intersect("bag_a", "bag_b")).cast("bigint")
+    across = kept.join(side("a"), "a").join(side("b"), "b").select(*keys, common.alias("common")).filter("common > 0")
     return across.unionByName(pairs.filter("a = b").select(*keys, F.col("len_a").alias("common")))
 
 
@@ -101,7 +109,7 @@ def detect_clones(blocks: DataFrame, cfg: DetectConfig = DetectConfig()) -> Dete
     classes, members = content_classes(blocks)
     n = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     prints = materialize(fingerprints(classes, cfg.window), "windows")
-    pairs = shared_windows(materialize(capped(prints, frequency_cap(n)), "capped")).filter(F.col("shared") >= cfg.min_shared)
+    pairs = shared_windows(materialize(capped(prints, frequency_cap(n)), "capped"), _ratio_ok(cfg.threshold)).filter(F.col("shared") >= cfg.min_shared)
     least = C.least_shared(F.col("len_a"), F.col("len_b"), cfg.window, cfg.min_shared, cfg.threshold)
     pairs = materialize(pairs.filter((F.col("shared") >= least) & _ratio_ok(cfg.threshold)), "pairs")
     texts = "text_ids" if cfg.text_weight > 0 else None

@@ -94,8 +94,8 @@ class _Found:
         return D.shared_windows(self.capped)
 
     def near(self) -> DataFrame:
-        rows = self.shared().filter(F.col("shared") >= SHARED)
-        return rows.filter(C.length_ratio_ok(F.col("len_a"), F.col("len_b"), PERCENT))
+        rows = D.shared_windows(self.capped, C.length_ratio_ok(F.col("len_a"), F.col("len_b"), PERCENT))
+        return rows.filter(F.col("shared") >= SHARED)
 
     def bags(self) -> DataFrame:
         """Pairs whose bags reach the threshold, with the size of the common bag."""
