@@ -176,9 +176,9 @@ def nearest(
     vec_col: str = "embedding",
     trees: int = 256,
     bits: int = 32,
-    share: float = 0.28,
+    share: float = 0.3,
     least: int = 256,
-    shard_rows: int = 16384,
+    shard_rows: int = 8192,
     seed: int = 17,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row.
