@@ -7,8 +7,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from echosieve import __version__
 from echosieve.config import AnalysisConfig, Scope
-from echosieve.plans.report import parse_spec, write_report
+from echosieve.plans.report import duration, parse_spec, write_report
 from echosieve.plans.session import Session
 from echosieve.sources.encoding import parse_encoding
 
@@ -41,17 +42,21 @@ def _checked(parse):
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="echosieve", description="Find copied code.")
     p.add_argument("directory")
-    p.add_argument("--threshold", type=_share, default=0.80, help="least similarity")
-    p.add_argument("--min-tokens", type=int, default=30, help="least tokens of a block or region")
+    p.add_argument("-t", "--threshold", type=_share, default=0.80, help="least similarity")
+    p.add_argument("-m", "--min-tokens", type=int, default=30, help="least tokens of a block or region")
     p.add_argument("--text-sensitivity", type=_share, default=0.3, help="weight of names and literals")
-    p.add_argument("--scope", type=_checked(Scope.parse), default="all", help="inter-file, intra-file, inter-function, intra-function, all; comma-separated")
-    p.add_argument("--glob", action="append", default=[], help="file names to take, in place of the known extensions")
+    p.add_argument("-s", "--scope", type=_checked(Scope.parse), default="all", help="inter-file, intra-file, inter-function, intra-function, all; comma-separated")
+    p.add_argument("-g", "--glob", action="append", default=[], help="file names to take, in place of the known extensions")
     p.add_argument("--encoding", type=_checked(parse_encoding), default="auto")
-    p.add_argument("--no-ignore", action="store_true", help="take files that version control ignores, too")
+    p.add_argument("--gitignore", dest="no_ignore", action="store_false", help="leave out files that version control ignores (the default)")
+    p.add_argument("--no-ignore", "--no-gitignore", dest="no_ignore", action="store_true", help="take files that version control ignores, too")
     p.add_argument("--diff-base", help="only copies that touch lines changed since this revision")
-    p.add_argument("--report", action="append", default=[], type=_checked(parse_spec), help="console, json or json:file=PATH")
+    p.add_argument("--report", "--reporter", action="append", default=[], type=_checked(parse_spec), help="console, json or json:file=PATH")
     p.add_argument("--limit", type=_count, help="only the first so many groups and blocks with repeated regions; all by default")
-    p.add_argument("--show-source", action="store_true")
+    p.add_argument("--show-source", dest="show_source", action="store_true", help="print the source of every block")
+    p.add_argument("--no-source", dest="show_source", action="store_false")
+    p.add_argument("-v", "--verbose", action="store_true", help="print how long each step took")
+    p.add_argument("--version", action="version", version=f"echosieve {__version__}")
     p.add_argument("--mode", choices=("compat", "exact"), default="compat")
     return p
 
@@ -73,6 +78,8 @@ def main(args: list[str] | None = None) -> int:
             return 0
         for spec in o.report or ["console"]:
             write_report(session, spec, o.limit, o.show_source)
+        if o.verbose:
+            print(", ".join(f"{step} {duration(seconds)}" for step, seconds in session.timings.items()), file=sys.stderr)
         s = session.summary().first()
     except (OSError, RuntimeError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -32,11 +32,12 @@ def duration(seconds: float) -> str:
     return f"{seconds * 1e3:.1f}ms" if seconds < 1 else f"{seconds:.1f}s"
 
 
-def _rows(session: Session, limit: int | None) -> tuple[Iterator[Row], Iterator[Row]]:
+def _rows(session: Session, limit: int | None, source: bool = False) -> tuple[Iterator[Row], Iterator[Row]]:
     """Groups and regions in order, fetched a partition at a time."""
     most = (1 << 31) - 1 if limit is None else limit
     regions = session.intra_regions()
-    return session.clone_groups(most).toLocalIterator(), (regions if limit is None else regions.limit(limit)).toLocalIterator()
+    groups = session.clone_groups(most, source=True) if source else session.clone_groups(most)
+    return groups.toLocalIterator(), (regions if limit is None else regions.limit(limit)).toLocalIterator()
 
 
 def _group(g: Row) -> dict:
@@ -58,7 +59,9 @@ def _region(r: Row) -> dict:
 
 def _summary(session: Session) -> dict:
     names = {"files": "totalFiles", "blocks": "totalBlocks", "groups": "totalGroups", "duplicated_functions": "totalFunctions", "duplicated_lines": "totalDuplicatedLines", "intra_functions": "totalIntraFunctions", "intra_pairs": "totalIntraPairs"}
-    return {names[k]: v for k, v in session.summary().first().asDict().items()}
+    counts = {names[k]: v for k, v in session.summary().first().asDict().items()}
+    timings = getattr(session, "timings", {})
+    return counts | ({"timing": {step: duration(seconds) for step, seconds in [*timings.items(), ("total", sum(timings.values()))]}} if timings else {})
 
 
 def document(session: Session, limit: int | None = None) -> dict:
@@ -82,13 +85,13 @@ def _json_parts(session: Session, limit: int | None) -> Iterator[str]:
 
 
 def _text_parts(session: Session, limit: int | None, source: bool) -> Iterator[str]:
-    groups, regions = _rows(session, limit)
+    groups, regions = _rows(session, limit, source)
     for g in groups:
         yield f"Clone group #{g.group_index + 1} ({g.size} blocks, {g.avg_similarity * 100:.0f}% similar)\n"
         for b in g.blocks:
             yield f"  {b.path}:{b.start_line}-{b.end_line} {b.name}\n"
             if source:
-                yield "".join(f"    {line}\n" for line in session.code_block(b.block_id).first().source.split("\n"))
+                yield "".join(f"    {line}\n" for line in (b.source or "").split("\n"))
     for r in regions:
         yield f"Repeated regions in {r.name} ({r.path}:{r.start_line})\n"
         for p in r.pairs:

@@ -6,7 +6,10 @@ answer is a DataFrame, and stays distributed until a report collects it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
+from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ class Session:
 
     def __init__(self, spark: SparkSession, config: AnalysisConfig):
         self.spark, self._scratch = spark, Scratch()
+        #: seconds of each step of the last analysis
+        self.timings: dict[str, float] = {}
         self.analyze(config)
 
     def close(self) -> None:
@@ -41,6 +46,12 @@ class Session:
     def __exit__(self, *_: object) -> None:
         self.close()
 
+    @contextmanager
+    def _timed(self, step: str) -> Iterator[None]:
+        began = perf_counter()
+        yield
+        self.timings[step] = perf_counter() - began
+
     # --- analysis ---------------------------------------------------------
 
     def analyze(self, config: AnalysisConfig) -> Session:
@@ -49,8 +60,10 @@ class Session:
         with self._scratch, Scratch() as own:
             files = scan_files(self.spark, config.root, list(config.extensions) or None, list(config.globs) or None, config.respect_ignore)
             content = to_utf8_col(F.col("content"), parse_encoding(config.encoding))
-            self.files = materialize(files.withColumn("content", content), "files")
-            self.tokens = materialize(tokenize(self.files, "utf-8"), "tokens")
+            with self._timed("scanning"):
+                self.files = materialize(files.withColumn("content", content), "files")
+            with self._timed("tokenizing"):
+                self.tokens = materialize(tokenize(self.files, "utf-8"), "tokens")
             own.release(self.files, self.tokens)
         return self._detect()
 
@@ -67,21 +80,24 @@ class Session:
 
     def _search(self) -> None:
         c = self.config
-        self.blocks = materialize(extract_blocks(self.tokens, c.min_tokens), "blocks")
+        with self._timed("normalizing"):
+            self.blocks = materialize(extract_blocks(self.tokens, c.min_tokens), "blocks")
         narrow = self.blocks.select("block_id", "struct_ids", "text_ids")
-        if c.scope & Scope.INTER_FUNCTION:
-            found = detect_clones(narrow, DetectConfig(threshold=c.threshold, text_weight=c.text_weight, mode=c.mode))
-            scoped = filter_scope(found.groups, self.blocks.select("block_id", "file_id"), c.scope)
-            averages = found.averages.select("group_id", "avg_similarity")
-        else:
-            scoped = self.spark.createDataFrame([], "group_id long, file_id int, block_id long")
-            averages = self.spark.createDataFrame([], "group_id long, avg_similarity double")
-        self._members = materialize(scoped.join(averages, "group_id"), "scoped")
-        if c.scope & Scope.INTRA_FUNCTION:
-            found_intra = detect_intra(narrow, IntraConfig(min_region=c.min_tokens, threshold=c.threshold, text_weight=c.text_weight))
-        else:
-            found_intra = self.spark.createDataFrame([], "block_id long, pairs array<struct<a_start:int,a_len:int,b_start:int,b_len:int,similarity:double>>")
-        self._intra = materialize(found_intra, "intra")
+        with self._timed("cloneDetection"):
+            if c.scope & Scope.INTER_FUNCTION:
+                found = detect_clones(narrow, DetectConfig(threshold=c.threshold, text_weight=c.text_weight, mode=c.mode))
+                scoped = filter_scope(found.groups, self.blocks.select("block_id", "file_id"), c.scope)
+                averages = found.averages.select("group_id", "avg_similarity")
+            else:
+                scoped = self.spark.createDataFrame([], "group_id long, file_id int, block_id long")
+                averages = self.spark.createDataFrame([], "group_id long, avg_similarity double")
+            self._members = materialize(scoped.join(averages, "group_id"), "scoped")
+        with self._timed("intraDetection"):
+            if c.scope & Scope.INTRA_FUNCTION:
+                found_intra = detect_intra(narrow, IntraConfig(min_region=c.min_tokens, threshold=c.threshold, text_weight=c.text_weight))
+            else:
+                found_intra = self.spark.createDataFrame([], "block_id long, pairs array<struct<a_start:int,a_len:int,b_start:int,b_len:int,similarity:double>>")
+            self._intra = materialize(found_intra, "intra")
         self._rank()
 
     def _rank(self) -> None:
@@ -128,10 +144,14 @@ class Session:
         rows = self._members.join(keys, (F.col("group_id") == F.col("g")) & F.col("file_id").eqNullSafe(F.col("f")))
         return rows.select("group_index", "size", "avg_similarity", "block_id").join(self.blocks.select("block_id", "name", "path", "start_line", "start_col", "end_line", "end_col", "token_start", "token_end"), "block_id")
 
-    def clone_groups(self, limit: int = 20, offset: int = 0, min_similarity: float = 0.0, path_part: str = "") -> DataFrame:
-        """A page of groups, each with its blocks; ``group_index`` is the place among all groups."""
-        block = F.struct("block_id", "name", "path", "start_line", "start_col", "end_line", "end_col")
-        rows = self.members().groupBy("group_index", "size", "avg_similarity").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    def clone_groups(self, limit: int = 20, offset: int = 0, min_similarity: float = 0.0, path_part: str = "", source: bool = False) -> DataFrame:
+        """A page of groups, each with its blocks, with their source lines if asked for; ``group_index`` is the place among all groups."""
+        rows = self.members()
+        if source:
+            text = self.files.select("path", F.col("content").cast("string").alias("text"))
+            rows = rows.join(text, "path").withColumn("source", C.source_lines(F.col("text"), F.col("start_line"), F.col("end_line"))).drop("text")
+        block = F.struct("block_id", "name", "path", "start_line", "start_col", "end_line", "end_col", *(["source"] if source else []))
+        rows = rows.groupBy("group_index", "size", "avg_similarity").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
         rows = rows.filter(F.col("avg_similarity") >= min_similarity)
         if path_part:
             rows = rows.filter(F.exists("blocks", lambda b: b["path"].contains(path_part)))

@@ -1,5 +1,6 @@
 import json
 import subprocess
+from pathlib import Path
 
 import pytest
 
@@ -85,3 +86,23 @@ def test_command_line(spark, tree, tmp_path):
     assert main([str(tree / "none")]) == 2
     assert main([str(tree), "--threshold", "2"]) == 2
     assert parser().parse_args(["x"]).text_sensitivity == 0.3
+    o = parser().parse_args(["x", "-t", "0.9", "-m", "12", "-s", "all", "-g", "*.cpp", "--reporter", "json", "--no-gitignore", "--no-source", "-v"])
+    assert (o.threshold, o.min_tokens, o.glob, o.report, o.no_ignore, o.show_source, o.verbose) == (0.9, 12, ["*.cpp"], ["json"], True, False, True)
+    assert main(["--version"]) == 0
+
+
+def test_sources_come_with_the_groups(session):
+    shown = text(session, source=True)
+    assert shown.count("int sum(int n)") == 1 and shown.count("int sum2(int n)") == 1
+    assert set(document(session)["summary"]["timing"]) == {"scanning", "tokenizing", "normalizing", "cloneDetection", "intraDetection", "total"}
+
+
+def test_closing_leaves_no_tables(spark, tree):
+    from echosieve.storage import shared_dir
+
+    listed = lambda: set(Path(shared_dir(spark)).glob("echosieve-*"))
+    before = listed()
+    with Session(spark, AnalysisConfig(root=str(tree), text_weight=0.0)) as s:
+        assert s.clone_groups().count() == 1 and listed() > before
+        s.reconfigure(threshold=0.9)
+    assert listed() == before

@@ -77,6 +77,11 @@ diff --git a/b.py b/b.py
 """
 
 
+def test_an_over_long_line_number_is_malformed(spark):
+    lines = diff_lines(spark, "diff --git a/x.cpp b/x.cpp\n+++ b/x.cpp\n@@ -1 +99999999999,2 @@\n@@ -1 +4,99999999999 @@\n@@ -1 +7,2 @@\n")
+    assert [(r.start_line, r.end_line) for r in parse_diff(lines).collect()] == [(7, 8)]
+
+
 def test_parse_diff(spark):
     lines = diff_lines(spark, DIFF)
     ranges = lambda *e: [(r.path, r.start_line, r.end_line) for r in parse_diff(lines, *e).orderBy("pos").collect()]
