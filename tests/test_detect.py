@@ -139,6 +139,46 @@ def test_regions_are_found_once_and_apart():
     assert regions(run, None, IntraConfig(min_region=20)) == []
 
 
+def expected_regions(ids, texts, cfg):
+    """By extending every pair of equal windows, one step at a time."""
+    n, w, found = len(ids), cfg.window, set()
+    at = {}
+    for i in range(n - w + 1):
+        at.setdefault(tuple(ids[i : i + w]), []).append(i)
+    for i, j in ((i, j) for x in at.values() if len(x) <= cfg.max_positions for i in x for j in x if j - i >= w):
+        ahead = back = 0
+        while ahead < min(n - j, j - i) and ids[i + ahead] == ids[j + ahead]:
+            ahead += 1
+        while back < i and ids[i - back - 1] == ids[j - back - 1]:
+            back += 1
+        a, b, size = i - back, j - back, ahead + back
+        if n >= 2 * cfg.min_region and size >= cfg.min_region and a + size <= b:
+            share = sum(x == y for x, y in zip(texts[a : a + size], texts[b : b + size], strict=True)) / size if texts else 1.0
+            similarity = 1.0 - cfg.text_weight + cfg.text_weight * share if texts and cfg.text_weight else 1.0
+            if similarity >= cfg.threshold:
+                found.add((a, size, b, size, similarity))
+    kept = []
+    common = lambda s, t, m, k: max(0, min(s + m, t + k) - max(s, t))
+    for p in sorted(found, key=lambda p: (-p[1], -p[4], p[0], p[2])):
+        if not any(all(2 * common(p[x], q[x], p[1], q[1]) > min(p[1], q[1]) for x in (0, 2)) for q in kept):
+            kept.append(p)
+    return kept
+
+
+@pytest.mark.parametrize("most", [2, 3, 1000])
+def test_regions_as_by_extending_every_seed(most):
+    rng, some = random.Random(most), 0
+    for case in range(400):
+        pool = [[rng.randrange(4) for _ in range(rng.randrange(1, 30))] for _ in range(3)]
+        ids = [x for _ in range(rng.randrange(1, 9)) for x in (rng.choice(pool) if rng.random() < 0.8 else [rng.randrange(9)])]
+        texts = [rng.randrange(2) for _ in ids] if case % 2 else None
+        cfg = IntraConfig(min_region=rng.choice([4, 8, 12]), window=rng.choice([1, 3, 4, 7]), max_positions=most, text_weight=0.3 if texts else 0.0, threshold=0.85)
+        want = expected_regions(ids, texts, cfg)
+        assert regions(ids, texts, cfg) == want, (ids, cfg)
+        some += len(want)
+    assert some > 50
+
+
 def test_region_texts_weigh():
     run = [1000] * 3 + list(range(200, 227))
     ids = run + [7] + run
