@@ -13,6 +13,7 @@ alignment.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,18 +60,53 @@ def frequency_cap(blocks: int) -> int:
 
 
 def capped(prints: DataFrame, cap: int) -> DataFrame:
-    """The windows of two blocks at least and ``cap`` at most."""
-    counts = prints.groupBy("fp").agg(F.sum("n").alias("blocks")).filter((F.col("blocks") >= 2) & (F.col("blocks") <= cap))
-    return prints.join(counts.select("fp"), "fp", "left_semi")
+    """The windows of two blocks at least and ``cap`` at most, with ``classes``, the number of classes that hold the window."""
+    counts = prints.groupBy("fp").agg(F.sum("n").alias("blocks"), F.count("*").alias("classes")).filter((F.col("blocks") >= 2) & (F.col("blocks") <= cap))
+    return prints.join(counts.select("fp", "classes"), "fp")
 
 
-def shared_windows(kept: DataFrame, allowed: Column | None = None) -> DataFrame:
+def _common(kept: DataFrame, allowed: Column) -> DataFrame:
+    """(a, b, len_a, len_b) for each window that two classes have in common."""
+    side = lambda s: kept.select("fp", F.col("class_id").alias(s), F.col("len").alias(f"len_{s}"))
+    return side("a").join(side("b"), "fp").filter((F.col("a") < F.col("b")) & allowed).drop("fp")
+
+
+def _common_hot(kept: DataFrame, allowed: Column, ratio: float | None, most: int) -> DataFrame:
+    """As ``_common``, for windows of many classes: no task joins more than about ``most`` classes with twice as many.
+
+    Classes are put into bands of length so wide that a pair of the given length
+    ratio lies in one band or in two that follow each other, and dealt by a hash
+    within the band. A cell is a pair of deals of a band; the lower class of a pair
+    (by band, then by id) is copied to the cells of its deal as first, the upper one
+    to those of its deal as second, in its own band and the one below.
+    """
+    width = math.log((2.0 - ratio) / ratio) + 1e-9 if ratio and 0 < ratio < 1 else None
+    band = F.floor(F.log(F.greatest("len", F.lit(1))) / width).cast("int") if width else F.lit(0)
+    rows = kept.select("fp", F.col("class_id").alias("id"), "len", band.alias("band"))
+    fullest = rows.groupBy("fp", "band").count().groupBy("fp").agg(F.ceil(F.max("count") / most).cast("int").alias("deals"))
+    rows = rows.join(fullest, "fp").withColumn("deal", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("deals") - 1))
+    low = rows.select("fp", F.col("band").alias("cell"), F.col("deal").alias("first"), others.alias("second"), F.col("id").alias("low"), F.col("len").alias("len_low"))
+    high = rows.select("fp", "band", others.alias("first"), F.col("deal").alias("second"), F.col("id").alias("high"), F.col("len").alias("len_high"))
+    high = high.withColumn("cell", F.explode(F.array("band", F.col("band") - 1) if width else F.array("band")))
+    met = low.join(high, ["fp", "cell", "first", "second"]).filter((F.col("band") > F.col("cell")) | (F.col("low") < F.col("high")))
+    swap = F.col("low") > F.col("high")
+    lengths = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(c) for c, x, y in (("len_a", "len_high", "len_low"), ("len_b", "len_low", "len_high"))]
+    return met.select(F.least("low", "high").alias("a"), F.greatest("low", "high").alias("b"), *lengths).filter(allowed)
+
+
+def shared_windows(kept: DataFrame, ratio: float | None = None, allowed: Column | None = None, most: int = 4096) -> DataFrame:
     """(a, b, len_a, len_b, shared) of class pairs with windows in common; a = b for classes of several blocks.
 
-    ``allowed`` is a condition on len_a and len_b that pairs of other lengths fail while they are joined, before they are counted.
+    ``allowed`` is a condition on len_a and len_b, either way round, that pairs of
+    other lengths fail while they are joined, before they are counted; it must imply
+    the length ratio ``ratio``. Windows of more than ``most`` classes are divided.
     """
-    side = lambda s: kept.select("fp", F.col("class_id").alias(s), F.col("len").alias(f"len_{s}"))
-    across = side("a").join(side("b"), "fp").filter((F.col("a") < F.col("b")) & (F.lit(True) if allowed is None else allowed)).groupBy("a", "b", "len_a", "len_b").agg(F.count("*").alias("shared"))
+    allowed = F.lit(True) if allowed is None else allowed
+    met, hot = _common(kept.filter(F.col("classes") <= most), allowed), kept.filter(F.col("classes") > most)
+    if not hot.isEmpty():
+        met = met.unionByName(_common_hot(hot, allowed, ratio, most))
+    across = met.groupBy("a", "b", "len_a", "len_b").agg(F.count("*").alias("shared"))
     within = kept.filter("n > 1").groupBy(F.col("class_id").alias("a"), F.col("len").alias("len_a")).agg(F.count("*").alias("shared"))
     return across.unionByName(within.select("a", F.col("a").alias("b"), "len_a", F.col("len_a").alias("len_b"), "shared"))
 
@@ -109,7 +145,7 @@ def detect_clones(blocks: DataFrame, cfg: DetectConfig = DetectConfig()) -> Dete
     classes, members = content_classes(blocks)
     n = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     prints = materialize(fingerprints(classes, cfg.window), "windows")
-    pairs = shared_windows(materialize(capped(prints, frequency_cap(n)), "capped"), _ratio_ok(cfg.threshold)).filter(F.col("shared") >= cfg.min_shared)
+    pairs = shared_windows(materialize(capped(prints, frequency_cap(n)), "capped"), cfg.threshold, _ratio_ok(cfg.threshold)).filter(F.col("shared") >= cfg.min_shared)
     least = C.least_shared(F.col("len_a"), F.col("len_b"), cfg.window, cfg.min_shared, cfg.threshold)
     pairs = materialize(pairs.filter((F.col("shared") >= least) & _ratio_ok(cfg.threshold)), "pairs")
     texts = "text_ids" if cfg.text_weight > 0 else None

@@ -94,7 +94,7 @@ class _Found:
         return D.shared_windows(self.capped)
 
     def near(self) -> DataFrame:
-        rows = D.shared_windows(self.capped, C.length_ratio_ok(F.col("len_a"), F.col("len_b"), PERCENT))
+        rows = D.shared_windows(self.capped, PERCENT / 100, C.length_ratio_ok(F.col("len_a"), F.col("len_b"), PERCENT))
         return rows.filter(F.col("shared") >= SHARED)
 
     def bags(self) -> DataFrame:

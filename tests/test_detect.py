@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from echosieve.config import DetectConfig, IntraConfig, Scope
 from echosieve.operators.components import connected_components
-from echosieve.operators.detect import detect_clones, expand_pairs, ranked_groups
+from echosieve.operators.detect import _ratio_ok, capped, detect_clones, expand_pairs, ranked_groups, shared_windows
 from echosieve.operators.intra import detect_intra, ranked_intra, regions
 from echosieve.operators.numbering import number_rows
 from echosieve.operators.scope import categorize_changed, changed_blocks, filter_changed, filter_scope, within_and_across
@@ -92,6 +92,22 @@ def test_copies_and_a_variant_weigh_by_their_pairs(spark):
     assert d.averages.first().avg_similarity == pytest.approx(sum(pairs.values()) / 6)
 
 
+@pytest.mark.parametrize("ratio", [None, 0.5, 0.8, 1.0])
+@pytest.mark.parametrize("most", [1, 3, 7, 4096])
+def test_windows_of_many_classes_are_divided(spark, ratio, most):
+    rng = random.Random(3)
+    length = {i: rng.choice([10, 12, 15, 20, 30, 45, 46]) for i in range(40)}
+    holds = {i: {0} | {rng.randrange(1, 12) for _ in range(5)} for i in length}
+    prints = spark.createDataFrame([(i, 1 + i % 2, length[i], fp) for i, fps in holds.items() for fp in fps], "class_id bigint, n bigint, len bigint, fp bigint")
+    kept = capped(prints, 1000)
+    allowed = None if ratio is None else _ratio_ok(ratio)
+    got = {(r.a, r.b): (r.len_a, r.len_b, r.shared) for r in shared_windows(kept, ratio, allowed, most).collect()}
+    fits = lambda x, y: ratio is None or 2.0 * min(x, y) / (x + y) >= ratio
+    want = {(i, j): (length[i], length[j], len(holds[i] & holds[j])) for i in length for j in length if i < j and fits(length[i], length[j])}
+    want |= {(i, i): (length[i], length[i], len(holds[i])) for i in length if i % 2}
+    assert got == want
+
+
 def test_nothing_to_compare(spark):
     assert grouped(found(spark, [(BODY, BODY)])) == []
     empty = spark.createDataFrame([], "block_id bigint, struct_ids array<bigint>, text_ids array<bigint>")
