@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from echosieve.languages import registry
 from echosieve.languages import tokens as k
 from echosieve.languages.tokens import ScanError, Token
-from echosieve.operators.numbering import number_rows
+from echosieve.operators.numbering import attach_numbers
 from echosieve.sources.encoding import to_utf8
+from echosieve.storage import materialize
 
 _TOKEN = "struct<kind:string,text:string,line:int,col:int>"
 TOKENS = f"file_id int, path string, language string, tokens array<{_TOKEN}>, error struct<message:string,line:int,col:int>"
@@ -99,8 +100,8 @@ def _extract(least: int):
 
 def extract_blocks(tokenized: DataFrame, min_tokens: int = 30) -> DataFrame:
     """Blocks of at least ``min_tokens`` counted tokens, with ``block_id`` in the order of files and places."""
-    rows = tokenized.filter("tokens is not null").mapInArrow(_extract(min_tokens), BLOCKS)
-    return number_rows(rows, ["file_id", "token_start"], "block_id")
+    rows = materialize(tokenized.filter("tokens is not null").mapInArrow(_extract(min_tokens), BLOCKS), "extracted")
+    return attach_numbers(rows, ["file_id", "token_start"], ["file_id", "token_start"], "block_id")
 
 
 def text_blocks(texts: DataFrame, id_col: str, text_col: str = "text", min_tokens: int = 30, structural: bool = False, *carried: str) -> DataFrame:

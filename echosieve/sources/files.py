@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from echosieve.functions import columns as C
 from echosieve.languages import registry
-from echosieve.operators.numbering import number_rows
+from echosieve.operators.numbering import attach_numbers
 
 
 def glob_matches(pattern: str, name: str) -> bool:
@@ -55,7 +55,7 @@ def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     language = F.lit(None).cast("string")
     for spec in registry.languages():
         language = F.coalesce(language, F.when(C.extension(F.col("path")).isin(*spec.extensions), F.lit(spec.name)))
-    numbered = number_rows(rows.select("path", language.alias("language"), "content"), ["path"], "file_id")
+    numbered = attach_numbers(rows.select("path", language.alias("language"), "content"), ["path"], ["path"], "file_id")
     return numbered.select(F.col("file_id").cast("int").alias("file_id"), "path", "language", "content")
 
 

@@ -7,7 +7,7 @@ from echosieve.config import DetectConfig, IntraConfig, Scope
 from echosieve.operators.components import connected_components
 from echosieve.operators.detect import _ratio_ok, capped, detect_clones, expand_pairs, ranked_groups, shared_windows
 from echosieve.operators.intra import detect_intra, ranked_intra, regions
-from echosieve.operators.numbering import number_rows
+from echosieve.operators.numbering import attach_numbers, number_rows
 from echosieve.operators.scope import categorize_changed, changed_blocks, filter_changed, filter_scope, within_and_across
 
 
@@ -143,6 +143,13 @@ def test_numbering(spark):
     assert sorted((r.x, r.n) for r in number_rows(df, ["x"], "n").collect()) == [(i, i) for i in range(101)]
 
 
+def test_wide_rows_stay_out_of_the_numbering(spark):
+    df = spark.range(101).selectExpr("id * 37 % 101 as x", "repeat('w', 100) as wide").repartition(7)
+    out = attach_numbers(df, ["x"], ["x"], "n")
+    assert sorted((r.x, r.n, len(r.wide)) for r in out.collect()) == [(i, i, 100) for i in range(101)]
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString().lower()
+
+
 # --- inside a block ---------------------------------------------------------------
 
 
