@@ -6,8 +6,9 @@ program (every length covered as often as it occurs, fewest sequences) is solved
 by multiplicative weights: each round prices the lengths, a knapsack dynamic
 program finds the configuration of highest price, which is added as often as the
 scarcest of its lengths allows, and lengths that are now covered get cheaper. The
-fractional counts are scaled and rounded down; what is left over goes by best
-fit, largest first, equal sequences being filled together.
+fractional counts are scaled and rounded down, and the program is solved again for
+the pieces left over. What many programs leave, and short pieces, go by best fit,
+largest first, equal sequences being filled together.
 
 Only the histogram reaches the driver, and only the list of configurations goes
 back: both are bounded by the capacity, not by the documents. Pieces of a length
@@ -216,48 +217,76 @@ class _Bins:
             n -= full * each
 
 
-def solve(histogram: dict[int, int], capacity: int, grain: int = 1, small: int = 200, rounds: int = 150, rate: float = 0.3) -> list[tuple[dict[int, int], int]]:
+def _fill(open_: list[tuple[int, list[int]]], left: dict[int, int], bins: _Bins, units: int, rounds: int, rate: float, full: float) -> int:
+    """One program over sizes and their lengths; its configurations that fill at least the share ``full`` of a sequence, rounded down and placed; how many pieces that were."""
+    sizes = np.array([c for c, _ in open_], np.int64)
+    counts = np.array([sum(left[k] for k in lengths) for _, lengths in open_], np.int64)
+    lengths_of, before = dict(open_), int(counts.sum())
+    found = fractional(sizes, counts, units, rounds, rate)
+    for config, times in sorted(found, key=lambda x: (-int((x[0] * sizes).sum()), -x[1])):
+        used = config > 0
+        copies = min(int(times), int((counts[used] // config[used]).min()))
+        if not copies or int((config * sizes).sum()) < full * units:
+            continue
+        counts = counts - copies * config
+        # every slot takes its size's lengths in turn; where a slot goes on to another length, the copies are divided
+        slots = []
+        for c, n in zip(sizes[used].tolist(), config[used].tolist(), strict=True):
+            for _ in range(n):
+                run, need = [], copies
+                while need:
+                    k = lengths_of[c][0]
+                    n_k = min(need, left[k])
+                    run.append((k, n_k))
+                    left[k] -= n_k
+                    need -= n_k
+                    if not left[k]:
+                        lengths_of[c].pop(0)
+                slots.append(run)
+        while slots[0]:
+            n = min(run[0][1] for run in slots)
+            bins.put(dict(Counter(run[0][0] for run in slots)), n)
+            slots = [([(run[0][0], run[0][1] - n)] if run[0][1] > n else []) + run[1:] for run in slots]
+    return before - int(counts.sum())
+
+
+def waiting(histogram: dict[int, int], small: int, share: float) -> int:
+    """The greatest length, at most ``small``, up to which pieces hold at most ``share`` of all tokens."""
+    total, held, most = sum(k * n for k, n in histogram.items()), 0, 0
+    for k in range(1, small + 1):
+        held += k * histogram.get(k, 0)
+        if held > share * total:
+            break
+        most = k
+    return most
+
+
+def solve(
+    histogram: dict[int, int], capacity: int, grain: int = 1, small: int = 200, small_share: float = 0.05, rounds: int = 150, rate: float = 0.3, full: float = 0.999, rest: float = 0.02, programs: int = 6
+) -> list[tuple[dict[int, int], int]]:
     """(length -> number, copies) of configurations that hold the histogram exactly.
 
-    The program is over sizes in units of ``grain``, rounded up; pieces up to
-    ``small`` wait for the room that rounding leaves.
+    The program is over sizes in units of ``grain``, rounded up. It is solved again
+    for the pieces that it leaves, until they are at most the share ``rest`` of its
+    pieces, it places no more, or ``programs`` have run. Pieces up to ``small``, as
+    far as they hold at most ``small_share`` of the tokens, wait for the room that
+    rounding leaves, and best fit places them and the rest.
     """
     left = {k: n for k, n in histogram.items() if n}
     bins = _Bins(capacity)
     if n := left.pop(capacity, 0):
         bins.put({capacity: 1}, n)
+    small = waiting(left, small, small_share)
     by_size: dict[int, list[int]] = {}
     for k in sorted(left, reverse=True):
         if k > small and -(-k // grain) * grain <= capacity:
             by_size.setdefault(-(-k // grain), []).append(k)
-    if by_size:
-        sizes = np.array(sorted(by_size), np.int64)
-        open_ = np.array([sum(left[k] for k in by_size[c]) for c in sizes.tolist()], np.int64)
-        found = fractional(sizes, open_, capacity // grain, rounds, rate)
-        for config, times in sorted(found, key=lambda x: (-int((x[0] * sizes).sum()), -x[1])):
-            used = config > 0
-            copies = min(int(times), int((open_[used] // config[used]).min()))
-            if not copies:
-                continue
-            open_ = open_ - copies * config
-            # every slot takes its size's lengths in turn; where a slot goes on to another length, the copies are divided
-            slots = []
-            for c, n in zip(sizes[used].tolist(), config[used].tolist(), strict=True):
-                for _ in range(n):
-                    run, need = [], copies
-                    while need:
-                        k = by_size[c][0]
-                        n_k = min(need, left[k])
-                        run.append((k, n_k))
-                        left[k] -= n_k
-                        need -= n_k
-                        if not left[k]:
-                            by_size[c].pop(0)
-                    slots.append(run)
-            while slots[0]:
-                n = min(run[0][1] for run in slots)
-                bins.put(dict(Counter(run[0][0] for run in slots)), n)
-                slots = [([(run[0][0], run[0][1] - n)] if run[0][1] > n else []) + run[1:] for run in slots]
+    pieces = open_pieces = sum(left[k] for lengths in by_size.values() for k in lengths)
+    for _ in range(programs):
+        open_ = sorted((c, lengths) for c, lengths in by_size.items() if lengths)
+        if open_pieces <= rest * pieces or not (placed := _fill(open_, left, bins, capacity // grain, rounds, rate, full)):
+            break
+        open_pieces -= placed
     for k in sorted(left, reverse=True):
         bins.best_fit(k, left[k])
     return [x for groups in bins.groups for x in groups]

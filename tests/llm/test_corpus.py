@@ -704,6 +704,25 @@ def test_pipeline(spark, sf):
     assert sum(r.length for r in out if r.piece == 0) > 0
 
 
+def test_program_places_short_pieces():
+    """Pieces up to ``small`` wait only while they are few; in a corpus of short ones the program places most."""
+    rng = np.random.default_rng(5)
+    histogram = {int(k): int(n) for k, n in enumerate(rng.integers(50, 200, 150)) if k >= 20}
+    assert packing.waiting(histogram, 200, 0.05) < 60 and packing.waiting({**histogram, 3000: 10_000}, 200, 0.05) == 200
+    fitted, best_fit = 0, packing._Bins.best_fit
+
+    def counted(self, k, n):
+        nonlocal fitted
+        fitted += k * n
+        best_fit(self, k, n)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing._Bins, "best_fit", counted)
+        plan = packing.solve(histogram, 1024)
+    tokens = sum(k * n for k, n in histogram.items())
+    assert fitted < 0.5 * tokens and sum(c for _, c in plan) <= -(-tokens // 1024) + 1
+
+
 def test_nothing_else_imports_these():
     root = Path(__file__).resolve().parent.parent.parent / "echosieve"
     for f in root.rglob("*.py"):
