@@ -92,8 +92,8 @@ def test_copies_and_a_variant_weigh_by_their_pairs(spark):
     assert d.averages.first().avg_similarity == pytest.approx(sum(pairs.values()) / 6)
 
 
-@pytest.mark.parametrize("ratio", [None, 0.5, 0.8, 1.0])
-@pytest.mark.parametrize("most", [1, 3, 7, 4096])
+@pytest.mark.parametrize("ratio", [None, 0.8, 1.0])
+@pytest.mark.parametrize("most", [1, 7, 4096])
 def test_windows_of_many_classes_are_divided(spark, ratio, most):
     rng = random.Random(3)
     length = {i: rng.choice([10, 12, 15, 20, 30, 45, 46]) for i in range(40)}
