@@ -77,7 +77,17 @@ def _position(u: Column, place: Column) -> Column:
 
 
 def mix(docs: DataFrame, percent: int = 150, weights: tuple[int, ...] = WEIGHTS, most: int = 2) -> DataFrame:
-    """(doc_id, text_hash, source, size, source_size, target, taken, takes) of every row.
+    """The rows of ``placed``, range-sorted by the position of their first take; rows that the mix leaves out come last.
+
+    They are written before they are sorted, as the ranges come from a sample.
+    """
+    rows = materialize(placed(docs, percent, weights, most), "mix-placed")
+    order = [F.asc_nulls_last(F.get("takes", F.lit(0))["position"]), F.asc_nulls_first("doc_id"), F.asc("size"), F.asc_nulls_first("text_hash")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def placed(docs: DataFrame, percent: int = 150, weights: tuple[int, ...] = WEIGHTS, most: int = 2) -> DataFrame:
+    """(doc_id, text_hash, source, size, source_size, target, taken, takes) of every row, in no order.
 
     takes: array of (pass, words, position), one for each pass that takes words of the document.
     """
@@ -93,8 +103,8 @@ def mix(docs: DataFrame, percent: int = 150, weights: tuple[int, ...] = WEIGHTS,
         ranges["source"].alias("s"), ranges["range"].alias("r"), "before", "source_size", "target", "place"
     )
     inner = Window.partitionBy("source", "range").orderBy("h", F.asc_nulls_first("doc_id"), "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("within", F.sum("size").over(inner) - F.col("size"))
-    placed = placed.join(ranges, same(F.col("source"), F.col("s")) & (F.col("range") == F.col("r")))
+    found = rows.withColumn("within", F.sum("size").over(inner) - F.col("size"))
+    found = found.join(ranges, same(F.col("source"), F.col("s")) & (F.col("range") == F.col("r")))
     start = F.col("before") + F.col("within")
     budget = F.floor("target").cast("long")
 
@@ -105,7 +115,7 @@ def mix(docs: DataFrame, percent: int = 150, weights: tuple[int, ...] = WEIGHTS,
         return F.struct(F.lit(k).alias("pass"), n.alias("words"), _position(middle, F.col("place")).alias("position"))
 
     takes = F.filter(F.array(*(take(k) for k in range(most))), lambda x: x["words"] > 0)
-    out = placed.select("doc_id", "text_hash", "source", "size", "source_size", "target", takes.alias("takes"))
+    out = found.select("doc_id", "text_hash", "source", "size", "source_size", "target", takes.alias("takes"))
     return out.withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
 
 
@@ -114,7 +124,7 @@ def mixed_documents(docs: DataFrame, percent: int = 150) -> DataFrame:
 
     Rows with the same id, text and source all get the takes of the first of them.
     """
-    made = mix(docs.select("doc_id", "source", "text"), percent).filter("taken > 0")
+    made = placed(docs.select("doc_id", "source", "text"), percent).filter("taken > 0")
     made = made.select(F.col("doc_id").alias("es_id"), F.col("text_hash").alias("es_hash"), F.col("source").alias("es_source"), F.col("size").alias("es_size"), "takes")
     made = made.groupBy("es_id", "es_hash", "es_source", "es_size").agg(F.min("takes").alias("takes"))
     rows = docs.select(as_row([c for c in docs.columns if c != "text"]), "text", "doc_id", "source", F.xxhash64("text").alias("hash"))

@@ -445,6 +445,12 @@ def test_positions_follow_the_schedule(spark):
         assert done / whole == pytest.approx(r.u, abs=1e-9)
 
 
+def test_mix_is_sorted_by_position(docs):
+    rows = mixing.mix(docs.repartition(3)).collect()
+    first = [r.takes[0].position if r.takes else 2.0 for r in rows]
+    assert first == sorted(first) and first[0] < 2.0
+
+
 def test_mixed_documents(docs):
     takes = {r.doc_id: r for r in mixing.mix(docs).collect()}
     out = mixing.mixed_documents(docs).collect()
