@@ -20,6 +20,7 @@ from echosieve.functions.similarity import blended_udf
 from echosieve.operators import detect as D
 from echosieve.operators import scope as S
 from echosieve.operators.blocks import text_blocks
+from echosieve.operators.candidates import similar_pairs, text_classes
 from echosieve.operators.intra import detect_intra
 from echosieve.operators.numbering import number_rows
 from echosieve.sources.diff import parse_diff
@@ -86,22 +87,20 @@ class _Found:
     """Classes of documents, and pairs of classes after each step."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.classes, self.members = D.content_classes(_documents(spark, sf_dir))
+        docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), "text")
+        self.texts, self.classes, self.members = text_classes(docs, LEAST)
         self.n = self.classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-        self.capped = D.capped(materialize(D.fingerprints(self.classes, WINDOW), "windows"), D.frequency_cap(self.n))
+        self.cap = D.frequency_cap(self.n)
 
-    def shared(self) -> DataFrame:
-        return D.shared_windows(self.capped)
+    def shared(self, least: int = 1) -> DataFrame:
+        return similar_pairs(self.texts, WINDOW, self.cap, least, last=True)
 
     def near(self) -> DataFrame:
-        rows = D.shared_windows(self.capped, PERCENT / 100, C.length_ratio_ok(F.col("len_a"), F.col("len_b"), PERCENT))
-        return rows.filter(F.col("shared") >= SHARED)
+        return similar_pairs(self.texts, WINDOW, self.cap, SHARED, PERCENT, last=True)
 
     def bags(self) -> DataFrame:
         """Pairs whose bags reach the threshold, with the size of the common bag."""
-        near = materialize(self.near(), "near")
-        rows = D.bag_overlaps(near, self.classes)
-        rows = rows.filter(200 * F.col("common") >= PERCENT * (F.col("len_a") + F.col("len_b")))
+        rows = materialize(similar_pairs(self.texts, WINDOW, self.cap, SHARED, PERCENT, True, last=True), "bags")
         return rows.withColumn("similarity", 2.0 * F.col("common") / (F.col("len_a") + F.col("len_b")))
 
     def documents(self, pairs: DataFrame) -> DataFrame:
@@ -193,9 +192,11 @@ def posting_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CAPPED} SELECT doc_id, count(*) AS n_kept FROM kept GROUP BY doc_id")
 def capped_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _Found(spark, sf_dir)
-    kept = found.capped.groupBy("class_id").agg(F.count("*").alias("n_kept"))
-    return found.members.join(kept, "class_id").select(F.col("block_id").alias("doc_id"), "n_kept")
+    classes, members = D.content_classes(_documents(spark, sf_dir))
+    n = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    windows = D.capped(materialize(D.fingerprints(classes, WINDOW), "windows"), D.frequency_cap(n))
+    kept = windows.groupBy("class_id").agg(F.count("*").alias("n_kept"))
+    return members.join(kept, "class_id").select(F.col("block_id").alias("doc_id"), "n_kept")
 
 
 # --- candidate pairs ---------------------------------------------------------------------
@@ -210,7 +211,7 @@ def shared_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SHARED} SELECT a, b, len_a, len_b, shared FROM shared WHERE shared >= {SHARED}")
 def candidates_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _Found(spark, sf_dir)
-    return found.documents(found.shared().filter(F.col("shared") >= SHARED)).select("a", "b", "len_a", "len_b", "shared")
+    return found.documents(found.shared(SHARED)).select("a", "b", "len_a", "len_b", "shared")
 
 
 _SURVIVE = (1.0 - (1.0 - 0.97) * WINDOW) * 0.5
