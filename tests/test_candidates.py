@@ -70,3 +70,38 @@ def test_little_is_written(spark):
     core.QUERIES["bag_dice_pairs"](spark, str(SF)).count()
     written = sum(f.stat().st_size for d in set(folder.iterdir()) - before for f in d.glob("*.parquet"))
     assert written < 2 * (SF / "documents.parquet").stat().st_size
+
+
+def common_length(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last = row
+        row = [0]
+        for k, b in enumerate(y):
+            row.append(last[k] + 1 if a == b else max(row[k], last[k + 1]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("hot, unit", [(1, 7), (64, 16_384)])
+def test_aligned_pairs(spark, texts, monkeypatch, hot, unit):
+    """Pairs are aligned where their bags are compared; texts of one bag in another order are told apart."""
+    monkeypatch.setattr(candidates, "UNIT_CLASSES", unit)
+    docs = spark.createDataFrame([*enumerate(texts)], "block_id long, text string")
+    full, _, _ = candidates.text_classes(docs, 30)
+    got = candidates.similar_pairs(full, WINDOW, 45, LEAST, PERCENT, True, hot=hot, aligned=True).collect()
+    bags, want = expected(texts, 45, LEAST, PERCENT, True), {}
+    for (a, b), (x, y, shared, _) in bags.items():
+        common = common_length(texts[a].split(), texts[b].split())
+        if 200 * common >= PERCENT * (x + y):
+            want[a, b] = (x, y, shared, common)
+    assert 0 < len(want) < len(bags)
+    assert len(got) == len(want) and {(r.a, r.b): (r.len_a, r.len_b, r.shared, r.common) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["lcs_dice_documents"])
+def test_whole_cascade_writes_little(spark, name):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    core.QUERIES[name](spark, str(SF)).count()
+    written = sum(f.stat().st_size for d in set(folder.iterdir()) - before for f in d.glob("*.parquet"))
+    assert written < 2 * (SF / "documents.parquet").stat().st_size
