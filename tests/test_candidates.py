@@ -98,7 +98,7 @@ def test_aligned_pairs(spark, texts, monkeypatch, hot, unit):
     assert len(got) == len(want) and {(r.a, r.b): (r.len_a, r.len_b, r.shared, r.common) for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["lcs_dice_documents"])
+@pytest.mark.parametrize("name", ["lcs_dice_documents", "clone_detection"])
 def test_whole_cascade_writes_little(spark, name):
     folder = Path(shared_dir(spark).removeprefix("file:"))
     before = set(folder.iterdir()) if folder.exists() else set()
