@@ -114,3 +114,16 @@ def test_tables_go_early(spark):
     core.QUERIES["clone_groups"](spark, str(SF)).count()
     left = {d.name.removeprefix("echosieve-").rsplit("-", 1)[0] for d in set(folder.iterdir()) - before}
     assert "needed" in left and not left & {"keys", "rare", "hot", "counted", "class-texts"}
+
+
+@pytest.mark.parametrize("hot, unit", [(1, 7), (64, 16_384)])
+def test_share_of_windows(spark, texts, monkeypatch, hot, unit):
+    """Pairs that share too few windows for their lengths don't leave the cells."""
+    monkeypatch.setattr(candidates, "UNIT_CLASSES", unit)
+    docs = spark.createDataFrame([*enumerate(texts)], "block_id long, text string")
+    full, _, _ = candidates.text_classes(docs, 30)
+    got = candidates.similar_pairs(full, WINDOW, 45, LEAST, hot=hot, share=0.35).collect()
+    every = expected(texts, 45, LEAST, None, False)
+    want = {(a, b): v for (a, b), v in every.items() if a == b or v[2] >= int(0.35 * (min(v[:2]) - WINDOW + 1))}
+    assert 0 < len(want) < len(every)
+    assert len(got) == len(want) and {(r.a, r.b): (r.len_a, r.len_b, r.shared, r.common) for r in got} == want
