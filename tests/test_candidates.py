@@ -149,7 +149,7 @@ def test_pairs_of_blocks_are_made_in_the_cells(spark, texts, monkeypatch, least,
     assert len(several) > 1 and len(got) == len(want) and {(r.a, r.b): (r.len_a, r.len_b, r.shared) for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["shared_window_counts", "candidates_static"])
+@pytest.mark.parametrize("name", ["shared_window_counts", "candidates_static", "length_ratio_pairs"])
 def test_pairs_are_not_shuffled(spark, name):
     """The only shuffle over the cells' rows deals the classes out to the cells; a join of the pairs came after it before."""
     plan = core.QUERIES[name](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
