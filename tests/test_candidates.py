@@ -177,7 +177,7 @@ def test_waves(spark, texts, monkeypatch):
     assert {(r.a, r.b): (r.len_a, r.len_b, r.shared, r.common) for r in got} == expected(texts, 45, LEAST, PERCENT, True)
 
 
-@pytest.mark.parametrize("name", ["duplicated_lines_by_source", "groups_page", "scope_intra_file", "summary", "within_vs_cross_file", "cross_language_groups", "diff_filtered_groups", "duplicates_existing_vs_new", "group_avg_similarity", "groups_ranked", "scope_inter_file"])
+@pytest.mark.parametrize("name", ["duplicated_lines_by_source", "groups_page", "scope_intra_file", "summary", "within_vs_cross_file", "cross_language_groups", "diff_filtered_groups", "duplicates_existing_vs_new", "group_avg_similarity", "groups_ranked", "scope_inter_file", "file_duplicates"])
 def test_groups_come_from_waves(spark, monkeypatch, name):
     """The groups' search sends its classes to the cells in waves; its rows are those of one wave."""
     want = sorted(core.QUERIES[name](spark, str(SF)).collect(), key=str)
