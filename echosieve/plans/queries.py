@@ -28,6 +28,8 @@ from echosieve.sources.encoding import detect_encoding_col, to_utf8_col
 from echosieve.storage import materialize
 
 WINDOW, LEAST, SHARED, PERCENT = 10, 30, 3, 80
+#: Passes over the texts that write their windows, some 2.5 times the input in all.
+PASSES = 3
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -101,7 +103,7 @@ class _Found:
 
     def bags(self, aligned: bool = False) -> DataFrame:
         """Pairs whose bags, or texts if ``aligned``, reach the threshold, with the size of the common bag or subsequence."""
-        rows = materialize(similar_pairs(self.texts, WINDOW, self.cap, SHARED, PERCENT, True, last=True, aligned=aligned), "bags")
+        rows = materialize(similar_pairs(self.texts, WINDOW, self.cap, SHARED, PERCENT, True, PASSES, last=True, aligned=aligned), "bags")
         return rows.withColumn("similarity", 2.0 * F.col("common") / (F.col("len_a") + F.col("len_b")))
 
     def documents(self, pairs: DataFrame) -> DataFrame:

@@ -189,6 +189,39 @@ def test_groups_come_from_waves(spark, monkeypatch, name):
     assert written.count("met") > 1 and got == want
 
 
+@pytest.mark.parametrize("name", ["groups_page"])
+def test_groups_search_writes_in_small_parts(spark, monkeypatch, name):
+    """All windows lay in one shuffle before, and a wave sent four copies of the tokens."""
+    monkeypatch.setattr(candidates, "UNIT_CLASSES", 5)
+    written, copies = [], []
+
+    def waves(units, most, of=candidates._Units.waves):
+        sent = {u * units.total + v: units.tokens[u] + units.tokens[v] * (u != v) for u in range(units.total) for v in units.meets[u] if u <= v}
+        out = of(units, most)
+        copies.extend(sum(n for cell, n in sent.items() if low <= cell < high) / most * candidates.COPIES for low, high in out)
+        return out
+
+    monkeypatch.setattr(candidates._Units, "waves", waves)
+    monkeypatch.setattr(candidates, "materialize", lambda df, name, *a, keep=candidates.materialize, **k: written.append(name) or keep(df, name, *a, **k))
+    core.QUERIES[name](spark, str(SF)).count()
+    assert written.count("rare") >= 3 and max(copies) < 2.5
+
+
+def test_waves_send_two_copies(monkeypatch):
+    """Four copies of the tokens before."""
+    monkeypatch.setattr(candidates, "UNIT_CLASSES", 20)
+    units = candidates._Units([(n, 10) for n in range(30, 200)], PERCENT)
+    sent = {u * units.total + v: units.tokens[u] + units.tokens[v] * (u != v) for u in range(units.total) for v in units.meets[u] if u <= v}
+    waves = units.waves(candidates.COPIES * sum(units.tokens))
+    assert max(sum(n for cell, n in sent.items() if low <= cell < high) for low, high in waves) < 2.5 * sum(units.tokens)
+
+
+def test_bucket_of_one_class():
+    """The header of a single class could not be read."""
+    columns = [7], [2], [30], [4]
+    assert candidates._spread(candidates._squeezed(*map(candidates.np.array, columns)), 4, 1).tolist() == [*columns]
+
+
 def test_classes_of_a_bucket_are_packed_small():
     """32 bytes a class and bucket before, beside some 7 for each window; there are the more buckets, the more tokens."""
     import numpy as np
