@@ -99,7 +99,7 @@ class _Found:
         return similar_pairs(self.texts, WINDOW, self.cap, least, passes=2, last=True, share=share, members=self.members)
 
     def near(self) -> DataFrame:
-        return similar_pairs(self.texts, WINDOW, self.cap, SHARED, PERCENT, last=True, members=self.members)
+        return similar_pairs(self.texts, WINDOW, self.cap, SHARED, PERCENT, passes=PASSES, last=True, members=self.members)
 
     def bags(self, aligned: bool = False) -> DataFrame:
         """Pairs whose bags, or texts if ``aligned``, reach the threshold, with the size of the common bag or subsequence."""

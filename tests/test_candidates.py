@@ -207,6 +207,15 @@ def test_groups_search_writes_in_small_parts(spark, monkeypatch, name):
     assert written.count("rare") >= 3 and max(copies) < 2.5
 
 
+@pytest.mark.parametrize("name", ["length_ratio_pairs"])
+def test_windows_of_pairs_come_in_three_passes(spark, monkeypatch, name):
+    """One or two passes before; the windows of a pass lie in one shuffle, beside the texts."""
+    written = []
+    monkeypatch.setattr(candidates, "materialize", lambda df, name, *a, keep=candidates.materialize, **k: written.append(name) or keep(df, name, *a, **k))
+    core.QUERIES[name](spark, str(SF)).count()
+    assert written.count("rare") == 3
+
+
 def test_waves_send_two_copies(monkeypatch):
     """Four copies of the tokens before."""
     monkeypatch.setattr(candidates, "UNIT_CLASSES", 20)
