@@ -96,7 +96,7 @@ class _Found:
 
     def shared(self, least: int = 1, share: float = 0.0) -> DataFrame:
         """Pairs of documents, as many as there are: they are made in the cells, not joined."""
-        return similar_pairs(self.texts, WINDOW, self.cap, least, passes=2, last=True, share=share, members=self.members)
+        return similar_pairs(self.texts, WINDOW, self.cap, least, passes=PASSES, last=True, share=share, members=self.members)
 
     def near(self) -> DataFrame:
         return similar_pairs(self.texts, WINDOW, self.cap, SHARED, PERCENT, passes=PASSES, last=True, members=self.members)

@@ -207,7 +207,7 @@ def test_groups_search_writes_in_small_parts(spark, monkeypatch, name):
     assert written.count("rare") >= 3 and max(copies) < 2.5
 
 
-@pytest.mark.parametrize("name", ["length_ratio_pairs"])
+@pytest.mark.parametrize("name", ["length_ratio_pairs", "candidates_static"])
 def test_windows_of_pairs_come_in_three_passes(spark, monkeypatch, name):
     """One or two passes before; the windows of a pass lie in one shuffle, beside the texts."""
     written = []
