@@ -189,7 +189,7 @@ def test_groups_come_from_waves(spark, monkeypatch, name):
     assert written.count("met") > 1 and got == want
 
 
-@pytest.mark.parametrize("name", ["groups_page", "scope_intra_file", "summary", "within_vs_cross_file", "cross_language_groups", "diff_filtered_groups", "duplicates_existing_vs_new", "group_avg_similarity", "groups_ranked", "file_duplicates"])
+@pytest.mark.parametrize("name", ["groups_page", "scope_intra_file", "summary", "within_vs_cross_file", "cross_language_groups", "diff_filtered_groups", "duplicates_existing_vs_new", "group_avg_similarity", "groups_ranked", "file_duplicates", "scope_inter_file"])
 def test_groups_search_writes_in_small_parts(spark, monkeypatch, name):
     """All windows lay in one shuffle before, and a wave sent four copies of the tokens."""
     monkeypatch.setattr(candidates, "UNIT_CLASSES", 5)
