@@ -3,8 +3,10 @@ from collections import Counter
 from itertools import combinations
 from pathlib import Path
 
+import numpy as np
 import pytest
 
+from echosieve.functions.similarity import lcs_length
 from echosieve.operators import candidates
 from echosieve.plans import queries as core
 from echosieve.storage import shared_dir
@@ -255,3 +257,41 @@ def test_overlaps_take_either_way(monkeypatch):
     for choice in (True, False):
         monkeypatch.setattr(candidates, "_by_matrix", lambda *_, choice=choice: choice)
         assert candidates._Bags(packed, counts, np.full(30, 80), np.arange(5), 80.0).common(i, j).tolist() == want
+
+
+@pytest.mark.parametrize("together, size", [(1, 1 << 20), (2, 1 << 12), (16, 1 << 20), (10**6, 1 << 20)])
+def test_alignment(monkeypatch, together, size):
+    """Near copies, texts of one bag in another order, ends that differ and long texts among short ones, aligned together and alone."""
+    monkeypatch.setattr(candidates, "ALIGNED", size)
+    monkeypatch.setattr(candidates, "TOGETHER", together)
+    rng = random.Random(3)
+    sides = []
+    for k in range(160):
+        x = [rng.randrange(rng.choice([3, 30, 400])) for _ in range(rng.choice([30, 62, 63, 64, 126, 127, 300, 900]))]
+        y = [rng.randrange(400) if rng.random() < rng.choice([0, 0.05, 0.2]) else t for t in x if rng.random() > rng.choice([0, 0.02, 0.15])]
+        if k % 4 == 1:
+            y = [*y[len(y) // 6 :], *y[: len(y) // 6]]
+        if k % 4 == 2:
+            rng.shuffle(y)
+        sides.append((x, y or [1]) if k % 2 else (y or [1], x))
+    bags = [np.unique(np.array(t, np.uint64), return_inverse=True) for pair in sides for t in pair]
+    texts = candidates._Texts([memoryview(candidates._packed(u, 6)) for u, _ in bags], [memoryview(p.astype(candidates._places(len(u))).tobytes()) for u, p in bags])
+    i, j = np.arange(0, len(bags), 2), np.arange(1, len(bags), 2)
+    least = np.array([-(-PERCENT * (len(x) + len(y)) // 200) for x, y in sides])
+    want = np.array([lcs_length(x, y) for x, y in sides])
+    assert 20 < (want >= least).sum() < 140
+    got = texts.common(i, j, least)
+    assert (np.where(want >= least, want, -1) == np.where(got >= least, got, -1)).all()
+    assert (texts.common(i, j, np.zeros(len(i), np.int64)) == want).all()
+
+
+def test_alignment_takes_many_pairs_at_once(monkeypatch):
+    """A pair of near copies costs no pass of its own."""
+    monkeypatch.setattr(candidates, "_alone", None)
+    rng = random.Random(4)
+    texts = [[rng.randrange(200) for _ in range(450)] for _ in range(64)]
+    near = [[rng.randrange(200) if rng.random() < 0.05 else t for t in x] for x in texts]
+    bags = [np.unique(np.array(t, np.uint64), return_inverse=True) for t in [*texts, *near]]
+    held = candidates._Texts([memoryview(candidates._packed(u, 6)) for u, _ in bags], [memoryview(p.astype(np.uint16).tobytes()) for _, p in bags])
+    got = held.common(np.arange(64), np.arange(64, 128), np.full(64, 360))
+    assert got.tolist() == [lcs_length(x, y) for x, y in zip(texts, near, strict=True)]
