@@ -295,3 +295,13 @@ def test_alignment_takes_many_pairs_at_once(monkeypatch):
     held = candidates._Texts([memoryview(candidates._packed(u, 6)) for u, _ in bags], [memoryview(p.astype(np.uint16).tobytes()) for _, p in bags])
     got = held.common(np.arange(64), np.arange(64, 128), np.full(64, 360))
     assert got.tolist() == [lcs_length(x, y) for x, y in zip(texts, near, strict=True)]
+
+
+def test_alignment_is_spread():
+    """A few million tokens come in several units if they are aligned; many come in units of the usual size."""
+    lengths = [(n, 500) for n in range(400, 500)]
+    tokens = sum(n * k for n, k in lengths)
+    spread, usual = (candidates._Units(lengths, PERCENT, candidates._unit_tokens(tokens, aligned)) for aligned in (True, False))
+    assert spread.total >= 2 * usual.total
+    assert max(spread.tokens) <= max(1 << 21, tokens // candidates.ALIGNED_UNITS)
+    assert candidates._unit_tokens(10**9, True) == candidates.UNIT_TOKENS
